@@ -14,9 +14,9 @@ candidate's own sorted set, until T is reached or out of reach.
 * Before any set is moved, a pair must pass a bound on its overlap: the sum over
   ``BUCKETS`` hash buckets of the smaller of both counts can't be below the overlap.
 * Lists over ``LIST_ROWS`` rows are dealt to pairs of blocks; nothing is capped.
-* Two rounds keep large groups of near copies linear in practice: the first verifies
-  for each list entry one partner and forms components, the second searches all pairs
-  that these components don't join yet.
+* Two rounds keep large groups of near copies linear in practice: from a list with many
+  pairs the first verifies one partner of each entry and forms components; the second
+  searches all pairs of such lists that these components don't join yet.
 
 Defined cases: null, empty and wordless texts have an empty set (n_shingles 0) and link
 with nothing; fewer words than ``k``: the whole sequence is one shingle; equal sets link;
@@ -43,6 +43,8 @@ HOT_ROWS, HOT_MAX = 32, 100_000
 LIST_ROWS = 2048
 #: Buckets of the bound on a pair's overlap.
 BUCKETS = 128
+#: Bits of the filter (1 MB) for the documents whose sets are needed.
+BITMAP = 1 << 23
 
 
 def _prefix(n: int, num: int, den: int) -> int:
@@ -60,14 +62,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _digests(k: int, num: int, den: int):
-    """(id, n, digest of the set, the first shingles by hash: twice the short lists)."""
+    """(id, n, digest of the set)."""
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), k)
-            low = [s[: 2 * _prefix(len(s), num, den)] if len(s) else s for s in sets]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), _lists(low)], names=["id", "n", "digest", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], names=["id", "n", "digest"])
+
+    return run
+
+
+def _low(k: int, num: int, den: int):
+    """The first shingles by hash: a quarter more than the short lists would be."""
+
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(b.column(1).to_pylist(), k)
+            low = [s[: 1 + 5 * _prefix(len(s), num, den) // 4] for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(low) if low else np.empty(0, np.uint64))], names=["token"])
 
     return run
 
@@ -90,15 +103,20 @@ def _short(k: int, num: int, den: int, hot):
                 else:
                     short.append(s[:p])
                 counts = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS) if len(s) else np.zeros(BUCKETS, np.int64)
-                sketch.append(counts.astype("<u2" if len(s) < 65536 else "<u4").tobytes())
+                sketch.append(counts.astype("u1" if counts.max() < 256 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(short), pa.array(sketch, pa.binary())], names=["id", "n", "short", "sketch"])
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted):
+    """Sets of the documents whose bit is in the bitmap."""
+
     def run(batches):
+        bits = np.frombuffer(wanted.value, dtype=np.uint8)
         for b in batches:
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(shingle_sets(b.column(1).to_pylist(), k))], names=["id", "items"])
 
     return run
@@ -107,27 +125,45 @@ def _sets(k: int):
 def _counts(binary: pa.Array, n: np.ndarray) -> np.ndarray:
     out = np.zeros((len(n), BUCKETS), dtype=np.int32)
     for i, x in enumerate(binary.to_pylist()):
-        out[i] = np.frombuffer(x, dtype="<u2" if len(x) == 2 * BUCKETS else "<u4")
+        out[i] = np.frombuffer(x, dtype="u1" if len(x) == BUCKETS else "<u4")
     return out
 
 
-def _merge_lists(num: int, den: int, first_only: bool):
-    """Merge sorted lists: rows sorted by (token, bi, bj, n, id) become pairs (x, y)."""
+def _bitmap(ids: DataFrame, bits: int = BITMAP) -> bytes:
+    """A bitmap of the hashes of ``ids``: a filter of fixed size that lets all of them pass."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1  # the functions number bits from 1
+    parts = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
+    out = bytearray(bits // 8)
+    for r in parts.collect():
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["map"]
+    return bytes(out)
+
+
+def _merge_lists(num: int, den: int, everything: bool):
+    """Merge sorted lists: rows sorted by (token, bi, bj, n, id) become pairs (x, y).
+
+    Unless ``everything`` is asked for, a list with over twice as many pairs as entries
+    returns the first partner of each further entry, and a row with its ``token``."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         token, bi, bj, blk, n, ident, comp = (t.column(c).to_numpy() for c in ("token", "bi", "bj", "blk", "n", "id", "comp"))
         sketch = _counts(t.column("sketch"), n)
         active, xs, ys = np.arange(len(n) - 1), [], []
         done = np.zeros(len(n), dtype=bool)
+        new = (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+        part = np.concatenate(([0], np.cumsum(new)))
+        room, made = 2 * np.bincount(part), np.zeros(part[-1] + 1, dtype=np.int64)
+        rest = np.zeros(part[-1] + 1, dtype=bool)
         d = 1
         while len(active):
             active = active[active + d < len(n)]
             j = active + d
-            same = (token[active] == token[j]) & (bi[active] == bi[j]) & (bj[active] == bj[j]) & (den * n[active] >= num * n[j])
+            same = (part[active] == part[j]) & (den * n[active] >= num * n[j])
             active, j = active[same], j[same]
             ask = (ident[active] != ident[j]) & (comp[active] != comp[j]) & ((bi[active] == bj[active]) | (blk[active] != blk[j]))
-            if first_only:
-                ask &= ~done[j]
+            if not everything:
+                rest |= made > room
+                ask &= ~(done[j] & rest[part[j]])
             for at in range(0, len(active), 20_000):
                 a, b = active[at : at + 20_000], j[at : at + 20_000]
                 a, b = a[ask[at : at + 20_000]], b[ask[at : at + 20_000]]
@@ -135,12 +171,18 @@ def _merge_lists(num: int, den: int, first_only: bool):
                 fit = den * most >= num * (n[a] + n[b] - most)
                 a, b = a[fit], b[fit]
                 done[b] = True
+                np.add.at(made, part[a], 1)
                 xs.append(ident[a])
                 ys.append(ident[b])
             d += 1
         x = np.concatenate(xs) if xs else np.empty(0, np.int64)
         y = np.concatenate(ys) if ys else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+        more = np.unique(token[rest[part]])
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        none, empty = np.zeros(len(more), np.int64), np.ones(len(more), bool)
+        column = lambda v, null: pa.array(np.concatenate(v), mask=np.concatenate(null))
+        there = np.zeros(len(x), bool)
+        return pa.RecordBatch.from_arrays([column((low, none), (there, empty)), column((high, none), (there, empty)), column((low, more), (~there, ~empty))], names=["x", "y", "token"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -206,11 +248,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     den * intersection >= num * union of the sets of ``k``-word shingles."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = written(docs.mapInArrow(_digests(k, num, den), "id long, n long, digest binary, low array<long>"))
-    full = seen.where("n > 0 and id is not null").select("id", "n", "digest")
+    seen = written(docs.mapInArrow(_digests(k, num, den), "id long, n long, digest binary"))
+    full = seen.where("n > 0 and id is not null")
     classes = full.groupBy("n", "digest").agg(F.min("id").alias("rep"))
     members = written(full.join(classes, ["n", "digest"]).select("id", "n", "rep"))
-    common = seen.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") >= HOT_ROWS)
+    common = docs.mapInArrow(_low(k, num, den), "token long").groupBy("token").count().where(F.col("count") >= HOT_ROWS)
     rows = common.orderBy(F.desc("count"), "token").limit(HOT_MAX).collect()
     top = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)[::-1]
     order = np.argsort(top)
@@ -220,23 +262,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     short = written(docs.mapInArrow(_short(k, num, den, hot), "id long, n long, short array<long>, sketch binary").where("n > 0").join(reps, "id", "left_semi").dropDuplicates(["id"]))
     entries = short.select("id", F.explode("short").alias("token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    merged = in_blocks(written(entries.join(lists, "token").join(short.select("id", "n", "sketch"), "id")), "rows", "id", LIST_ROWS).drop("rows")
+    merged = written(entries.join(lists, "token"))
     order_by = ["token", "bi", "bj", "n", "id"]
 
-    def search(rows: DataFrame, first_only: bool) -> DataFrame:
-        dealt = rows.select("token", "bi", "bj", "blk", "n", "id", "comp", "sketch").repartition("token", "bi", "bj").sortWithinPartitions(*order_by)
-        found = written(dealt.mapInArrow(_merge_lists(num, den, first_only), "x long, y long").distinct())
-        ids = found.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        sets = written(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, items array<long>"))
-        both = found.join(sets.select(F.col("id").alias("x"), F.col("items").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("items").alias("sy")), "y")
-        return both.select("x", "y", "sx", "sy").mapInArrow(_verify(num, den), "x long, y long")
-
-    links = written(search(merged.withColumn("comp", F.col("id")), True))
+    def search(rows: DataFrame, everything: bool) -> tuple[DataFrame, DataFrame]:
+        """Verified links, and the tokens of the lists that hold more pairs."""
+        known = rows.join(short.select("id", "n", "sketch"), "id")
+        dealt = in_blocks(known, "rows", "id", LIST_ROWS).select("token", "bi", "bj", "blk", "n", "id", "comp", "sketch").repartition("token", "bi", "bj").sortWithinPartitions(*order_by)
+        found = written(dealt.mapInArrow(_merge_lists(num, den, everything), "x long, y long, token long").distinct())
+        pairs = found.where("token is null").select("x", "y")
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        bits = spark.sparkContext.broadcast(_bitmap(ids))
+        marked = docs.where("id is not null").withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(BITMAP)))
+        sets = written(marked.mapInArrow(_sets(k, bits), "id long, items array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        both = pairs.join(sets.select(F.col("id").alias("x"), F.col("items").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("items").alias("sy")), "y")
+        links = both.select("x", "y", "sx", "sy").mapInArrow(_verify(num, den), "x long, y long")
+        return written(links), found.where("token is not null").select("token").distinct()
+
+    links, rest = search(merged.withColumn("comp", F.col("id")), False)
     group = written(components(links).withColumnRenamed("id", "rep"))
-    joined = merged.join(group.withColumnRenamed("rep", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    more = written(search(joined, False))
-    if not more.isEmpty():
-        group = components(links.union(more)).withColumnRenamed("id", "rep")
+    if not rest.isEmpty():
+        joined = merged.join(rest, "token", "left_semi").join(group.withColumnRenamed("rep", "id"), "id", "left")
+        more, _ = search(joined.withColumn("comp", F.coalesce("component", "id")), True)
+        if not more.isEmpty():
+            group = components(links.union(more)).withColumnRenamed("id", "rep")
     inside = members.join(group, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     outside = seen.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
     return inside.union(outside).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
