@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, ngram_join
+from . import byte_bpe, embedding_dedup, mixing, ngram_join, token_counts
 from .common import table
 
 
@@ -18,6 +18,25 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _tokenizer() -> tuple[str, str]:
+    """The ranks' path and the pattern: parameters of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), *_tokenizer(), ids=False)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), *_tokenizer())
+
+
 _REACH = """
 links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach AS (
