@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 WORDS_HELD, LONG = 300_000, 64
 #: Code points with Unicode's White_Space property, as the tokenizer's pattern means by \s.
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _coders: dict[tuple[str, str], "Coder"] = {}
 
 
