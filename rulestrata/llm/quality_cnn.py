@@ -196,3 +196,16 @@ def classify(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, th
     """One row per row: doc_id, held_out, score, predicted."""
     net = fit(docs, labels, lambda c: ~labelled.held_out(c, mod, held))
     return scores(docs, net).select("doc_id", labelled.held_out(F.col("doc_id"), mod, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, net: Network, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield b.filter(pa.array(model.score(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
