@@ -34,7 +34,8 @@ def check(prompts: DataFrame, judge: Callable[[str], str]) -> DataFrame:
     d = prompts.mapInPandas(run, "change_set string, rule_id string, answer string, error string")
     v = parsed(F.col("answer"))
     ok = is_valid(F.col("answer"))
-    return d.select("change_set", "rule_id", F.when(ok, F.expr("try_variant_get(try_parse_json(answer), '$.status', 'string')")).otherwise("uncertain").alias("status"), F.when(ok, F.expr("try_variant_get(try_parse_json(answer), '$.confidence', 'double')")).otherwise(0.0).alias("confidence"), "error", F.when(ok, v.cast("string")).alias("raw"))
+    status, confidence = F.try_variant_get(v, "$.status", "string"), F.try_variant_get(v, "$.confidence", "double")
+    return d.select("change_set", "rule_id", F.when(ok, status).otherwise("uncertain").alias("status"), F.when(ok, confidence).otherwise(0.0).alias("confidence"), "error", F.when(ok, unfenced(F.col("answer"))).alias("raw"))
 
 
 def unfenced(answer: Column) -> Column:
