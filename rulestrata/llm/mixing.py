@@ -93,8 +93,7 @@ def _round(b: pd.DataFrame) -> pd.DataFrame:
     owed, copies = 0, []
     for size, rate in zip(b["size"].tolist(), b.rate.tolist(), strict=True):
         owed += size * rate
-        least = rate // UNIT
-        c = least + (1 if rate % UNIT and 2 * (owed - least * size * UNIT) >= size * UNIT else 0)
+        c = min(CAP, max(0, (2 * owed + size * UNIT) // (2 * size * UNIT))) if size else 0
         owed -= c * size * UNIT
         copies.append(c)
     return b.assign(copies=copies)[["seq", "doc_id", "source", "size", "copies"]]
