@@ -5,21 +5,23 @@ The kernel of two words is the gap-weighted subsequence kernel: common subsequen
 the kernel is normalised. Inserted or doubled letters lengthen spans but break nothing,
 so a word with letters put in stays close; letters spaced out (``i d i o t``) are joined
 to a word first, and signs inside a word are left out. Landmarks are words of the
-training sentences: those that speak most for the toxic label, and common others. A word
+training sentences: those that speak most for toxic documents which the landmarks before
+them leave unexplained, so that a rare language gets its share, and common others. A word
 is mapped to its kernels with the landmarks times the inverse root of theirs (Nyström).
 
 The SVM learns from labelled sentences as a multiple-instance problem: in a toxic
 document at least one word of one sentence is toxic, in others none. The linear SVM and
 the choice of each toxic document's witness alternate. A document's score is a logistic
 function, fitted to the labels, of its largest margin and of the numbers of words with
-margins over 0 and 0.5, over all of its words.
+margins over 0 and 0.5, over all of its words, and of how many words it has (at least
+``FEW_WORDS``), since long texts hold chance likenesses.
 
 A word is mapped only if it has the letters of a toxic landmark (all of up to five
 different ones, all but one of up to seven, all but two of more); all other words have the margin of the bias. Words are mapped once per
 batch; a worker's table of margins has a fixed bound. Words over ``WINDOW`` letters count
 as overlapping windows, of which the largest margin holds.
 
-Defined cases: null, empty and wordless texts have the score of a text without any
+Defined cases: null, empty and wordless texts have the score of a short text without any
 kernel; without labels of both kinds, or words that
 set them apart, every score is 0.5; null ids and repeated rows keep
 a row each; other columns are not read; an empty table gives an empty result."""
@@ -37,10 +39,10 @@ from pyspark.sql import functions as F
 from . import labelled
 
 ORDER, DECAY, WINDOW, LONGEST = 3, 0.6, 16, 10
-TOXIC_LANDMARKS, OTHER_LANDMARKS, WORDS_HELD = 24, 4, 400_000
+TOXIC_LANDMARKS, OTHER_LANDMARKS, WORDS_HELD, FEW_WORDS = 24, 4, 400_000, 30
 #: Log odds that a toxic landmark needs, these times the root of its documents, and its
 #: largest kernel with another landmark.
-LEAST_ODDS, LEAST_EVIDENCE, ALIKE = 1.5, 4.0, 0.7
+LEAST_ODDS, LEAST_EVIDENCE, ALIKE, CANDIDATES = 1.5, 4.0, 0.7, 300
 _SIGNS = {c: None for c in range(33, 127) if not chr(c).isalnum()} | {c: None for c in range(48, 58)}
 _SPACED = re.compile(r"(?<!\S)[a-z](?:[ \t]+[a-z]){3,}(?!\S)")
 _letters = np.zeros(0x250, dtype=np.uint64)
@@ -155,10 +157,10 @@ class Model:
 
     def features(self, docs: list[set[str]]) -> np.ndarray:
         held = self.margins(set().union(*docs)) if docs else {}
-        out = np.empty((len(docs), 3))
+        out = np.empty((len(docs), 4))
         for i, d in enumerate(docs):
             f = [held[w] for w in d]
-            out[i] = (min(1.0, max(0.0, max(f, default=0.0))), np.log1p(sum(x > 0 for x in f)), np.log1p(sum(x > 0.5 for x in f)))
+            out[i] = (min(1.0, max(0.0, max(f, default=0.0))), np.log1p(sum(x > 0 for x in f)), np.log1p(sum(x > 0.5 for x in f)), np.log1p(max(FEW_WORDS, len(d))))
         return out
 
     def score(self, docs: list[set[str]]) -> np.ndarray:
@@ -179,6 +181,26 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600) ->
     return w, float(b)
 
 
+def _landmarks(ranked: list[str], odds: dict[str, float], docs: list[set[str]]) -> list[str]:
+    """Toxic landmarks, one after the other: the word that speaks most for the toxic
+    documents, of which each counts less the more landmarks it holds already."""
+    if not ranked:
+        return []
+    codes = _codes(ranked, LONGEST)
+    own = _self_kernel(codes)
+    alike = subsequence_kernel(codes, codes) / np.sqrt(np.outer(own, own)) >= ALIKE
+    holds = np.array([[w in d for d in docs] for w in ranked], dtype=float)
+    speaks = np.array([odds[w] for w in ranked])
+    covers, free, chosen = np.zeros(len(docs)), np.ones(len(ranked), dtype=bool), []
+    while free.any() and len(chosen) < TOXIC_LANDMARKS:
+        i = int(np.argmax(np.where(free, speaks * np.sqrt(holds @ (1 / (1 + covers))), -1.0)))
+        chosen.append(i)
+        free &= ~alike[i]
+        free[i] = False
+        covers += holds[alike[i]].any(0)
+    return [ranked[i] for i in chosen]
+
+
 def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     docs, y = [words_of(t) for t, _ in rows], np.array([v for _, v in rows])
     if len(set(y.tolist())) < 2:
@@ -189,16 +211,8 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     n1, n0 = int(y.sum()), int((1 - y).sum())
     odds = {w: np.log((c + 0.5) / n1) - np.log((other[w] + 0.5) / n0) for w, c in toxic.items() if c >= 4}
     evidence = {w: odds[w] * np.sqrt(toxic[w]) for w in odds}
-    first: list[str] = []
-    ranked = sorted((w for w in odds if odds[w] >= LEAST_ODDS and evidence[w] >= LEAST_EVIDENCE), key=lambda w: (-evidence[w], w))[:300]
-    if ranked:
-        codes = _codes(ranked, LONGEST)
-        alike = subsequence_kernel(codes, codes) / np.sqrt(np.outer(_self_kernel(codes), _self_kernel(codes)))
-        chosen: list[int] = []
-        for i in range(len(ranked)):
-            if len(chosen) < TOXIC_LANDMARKS and all(alike[i, j] < ALIKE for j in chosen):
-                chosen.append(i)
-        first = [ranked[i] for i in chosen]
+    ranked = sorted((w for w in odds if odds[w] >= LEAST_ODDS and evidence[w] >= LEAST_EVIDENCE), key=lambda w: (-evidence[w], w))[:CANDIDATES]
+    first = _landmarks(ranked, odds, [d for d, v in zip(docs, y.tolist(), strict=True) if v])
     if not first:
         return None
     common = [w for w, _ in sorted(other.items(), key=lambda p: (-p[1], p[0])) if w not in first]
@@ -208,7 +222,7 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     live = np.flatnonzero(np.abs(phi).sum(1) > 0)
     row = {vocabulary[i]: k for k, i in enumerate(live)}
     x = phi[live]
-    bags = [[row[w[:WINDOW]] for w in d if w[:WINDOW] in row] for d in docs]
+    bags = [sorted({row[w[:WINDOW]] for w in d if w[:WINDOW] in row}) for d in docs]
     clean = np.unique(np.concatenate([np.array(b, dtype=int) for b, v in zip(bags, y, strict=True) if not v] + [np.empty(0, int)]))
     f = np.array([evidence.get(vocabulary[i], 0.0) for i in live]) - 1
     for _ in range(4):

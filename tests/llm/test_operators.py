@@ -228,6 +228,16 @@ def test_string_kernel():
     assert k[0, 1] * 0.6**-2 * 0.6**2 == pytest.approx(brute("idiot", "idxiot"), rel=1e-3)
 
 
+def test_landmarks_reach_small_groups():
+    many = [f"{a}zq{b}x{a}" for a in "abcdefgh" for b in "klmnop"]
+    rows = [(" ".join(["calm", "river", "stone", *many]), 1)] * 40 + [("calm bridge wuvuwu", 1)] * 6 + [("calm river stone bridge", 0)] * 60
+    model = toxicity_svm.train(rows, 0.4)
+    again = toxicity_svm.train(rows, 0.4)
+    assert "wuvuwu" in model.landmarks and model.landmarks == again.landmarks
+    score = model.score([toxicity_svm.words_of(t) for t in ("calm wuvuwu", "calm river", "", None)])
+    assert score[0] > 0.3 > max(score[1:]) and score[2] == score[3]
+
+
 def test_sample_is_bounded(spark):
     d, lab = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     assert len(labelled.sample(d, lab, "quality", lambda c: c >= 0, 5)) <= 10
