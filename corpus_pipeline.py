@@ -44,9 +44,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    taken = docs.select(COLUMNS).join(copies, "doc_id")
+    """Each document as often as the mix takes it. Rows that repeat a doc_id and source, a
+    null doc_id included, are all taken as often as the one of them that is taken most."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").cast("int").alias("copies"))
+    d, c = docs.select(COLUMNS).alias("d"), copies.alias("c")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
+    taken = d.join(c, same).select("d.*", "c.copies")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
