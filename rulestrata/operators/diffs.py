@@ -44,6 +44,16 @@ def hunk_lines(diff_lines: DataFrame) -> DataFrame:
     return attributed(diff_lines).where(F.col("header").isNull() & F.col("path").isNotNull() & kept).select("change_set", "path", "line_no", "line")
 
 
+def hunk_lists(diff_lines: DataFrame) -> DataFrame:
+    """(change_set, hunks): all hunk lines of a change set, files in first-seen order."""
+    file = Window.partitionBy("change_set", "path")
+    first = F.min(F.when(F.col("header").isNotNull(), F.col("line_no"))).over(file)
+    line = F.col("line")
+    kept = line.startswith("+") | line.startswith("-") | line.startswith("@@")
+    d = attributed(diff_lines).where("path is not null").withColumn("ord", first).where(F.col("header").isNull() & kept)
+    return d.groupBy("change_set").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line_no", "line"))), lambda x: x["line"]).alias("hunks"))
+
+
 def added_lines(hunks: DataFrame) -> DataFrame:
     """Added lines with the added line before, of the same file, across hunks."""
     before = Window.partitionBy("change_set", "path").orderBy("line_no")

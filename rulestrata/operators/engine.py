@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import hash32
+from .deterministic import Rule
+
 ALLOWED = [("proposed", "active"), ("active", "deprecated"), ("proposed", "deprecated")]
 SMALL_BUDGET = 6000
 
@@ -16,6 +22,18 @@ def decide(cached: Column, check: Column, det: Column, has_key: bool, judged: Co
     return F.when(cached.isNotNull(), cached).when(check == "deterministic", F.coalesce(det, F.lit("pass"))).when((check == "both") & (det == "violation"), F.lit("violation")).otherwise(semantic)
 
 
+def rule_content(rule: Rule) -> str:
+    """All of a rule as JSON: whatever changes in it changes the cache key."""
+    return json.dumps(asdict(rule), ensure_ascii=False, default=str)
+
+
+def cache_key(content: Column, hunks: Column, mode: Column) -> Column:
+    """The compatible key of a rule's content, all hunk lines in order and the mode
+    (``semantic`` or ``deterministic-only``). Nothing is cut."""
+    lines = F.array_join(F.coalesce(hunks, F.array().cast("array<string>")), "\n")
+    return hash32(F.concat(content, F.lit("|||"), lines, F.lit("|||"), mode))
+
+
 def lookup_cache(candidates: DataFrame, cache: DataFrame) -> DataFrame:
     return candidates.join(cache, "cache_key", "left")
 

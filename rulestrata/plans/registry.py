@@ -190,6 +190,19 @@ def cache_key(spark, d):
     return C.table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", X.hash32(F.substring("text", 1, 200)).alias("cache_key"))
 
 
+_CONTENT = ", ".join("('{}', '{}')".format(r.id, engine.rule_content(r).replace("'", "''")) for r in _ACTIVE)
+
+
+@query(PRE + f""", content AS (SELECT * FROM (VALUES {_CONTENT}) v(rule_id, content)),
+input AS (SELECT change_set, rule_id, content || '|||' || coalesce(body, '') || '|||deterministic-only' AS s FROM cand JOIN content USING (rule_id) LEFT JOIN (SELECT change_set, string_agg(line, chr(10) ORDER BY ord, line_no) AS body FROM hunk JOIN files USING (change_set, path) GROUP BY 1) USING (change_set))
+SELECT change_set, rule_id, lpad(lower(hex(list_reduce(list_prepend(CAST(5381 AS BIGINT), [CAST(ord(c) AS BIGINT) for c in string_split(s, '')]), lambda h, c: xor((h * 33) & 4294967295, c)))), 8, '0') AS cache_key FROM input""")
+def verdict_cache_key(spark, d):
+    """Of a rule's content, all hunk lines and the mode: the compatible key, nothing cut."""
+    v = deterministic.in_scope(_files(spark, d), C.RULES).join(diffs.hunk_lists(C.diff_lines(spark, d)), "change_set", "left")
+    content = F.coalesce(*[F.when(F.col("rule_id") == r.id, F.lit(engine.rule_content(r))) for r in _ACTIVE])
+    return v.select("change_set", "rule_id", engine.cache_key(content, F.col("hunks"), F.lit("deterministic-only")).alias("cache_key"))
+
+
 @query("""WITH r AS (SELECT source, doc_id, text, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tk, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents QUALIFY rn <= 15),
 u AS (SELECT *, coalesce(sum(tk) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r)
 SELECT source, count(*) AS n_files, CAST(sum(CAST(ceil(length(left(text, CAST(4 * (6000 - used) AS INT))) / 4.0) AS BIGINT)) AS BIGINT) AS tokens, CAST(sum(length(left(text, CAST(4 * (6000 - used) AS INT)))) AS BIGINT) AS chars FROM u WHERE used < 6000 GROUP BY 1""")

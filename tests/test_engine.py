@@ -113,6 +113,25 @@ def test_hash(spark):
     assert all(r.h == h32(r.s) for r in got)
 
 
+def test_cache_key(spark):
+    def h32(s):
+        h = 5381
+        for c in s:
+            h = (h * 33 % 2**32) ^ ord(c)
+        return f"{h:08x}"
+
+    long = "+" + "x" * 400
+    texts = {"a": ["+++ b/q", "+1", "+++ b/p", "+2", "+++ b/q", long + "y"], "b": ["+++ b/q", "+1", "+++ b/p", "+2", "+++ b/q", long + "z"], "c": ["no diff"]}
+    lines = diffs.lines(spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "change_set string, text string"))
+    hunks = {r.change_set: r.hunks for r in diffs.hunk_lists(lines).collect()}
+    assert hunks == {"a": ["+1", long + "y", "+2"], "b": ["+1", long + "z", "+2"]}
+    rows = [(k, c, hunks.get(k), m) for k in texts for c in ("rule", "rule é") for m in ("semantic", "deterministic-only")]
+    d = spark.createDataFrame(rows, "change_set string, content string, hunks array<string>, mode string")
+    got = d.select("*", engine.cache_key(F.col("content"), F.col("hunks"), F.col("mode")).alias("key")).collect()
+    assert len({r.key for r in got}) == len(rows)
+    assert all(r.key == h32(r.content + "|||" + "\n".join(r.hunks or []) + "|||" + r.mode) for r in got)
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9000), max_size=25), min_size=1, max_size=10))
 def test_budget(spark, keys):
