@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diffs
@@ -22,9 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _path() -> Column:
+    return F.concat(F.lit("src/"), "lang", F.lit("/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".ts"))
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): every document as a file, whole."""
+    return table(spark, sf_dir, "documents").select(_path().alias("path"), F.col("text").alias("content"))
+
+
 def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), F.col("doc_id")
-    path = F.concat(F.lit("src/"), "lang", F.lit("/"), "source", F.lit("/doc_"), i.cast("string"), F.lit(".ts"))
+    path = _path()
     plus = lambda k, s: F.when(i % k == 0, F.lit(s))
     body = F.concat(F.lit("+"), F.replace("text", F.lit("\n"), F.lit("\n+")))
     text = F.concat_ws("\n", F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.lit("@@ -0,0 +1 @@"), plus(11, "+// rule-disable-next-line no-lodash"), plus(7, "+import _ from 'lodash';"), plus(13, "+import m from 'moment'; // rule-disable-line"), plus(17, "+import m from 'moment';"), body)

@@ -220,6 +220,16 @@ def context_merge(spark, d):
     return context.merge(a, b, "doc_id").select("doc_id", F.md5("content").alias("content"))
 
 
+@query(PRE + """SELECT coalesce(b.path, a.path) AS path, md5(coalesce(b.content, a.content)) AS content FROM (SELECT p AS path, text AS content FROM paths) a
+FULL JOIN (SELECT path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM hunk GROUP BY 1) b ON a.path = b.path""")
+def context_merge_paths(spark, d):
+    """Whole texts as snippets, all hunk lines of each path as diff entries."""
+    snippets = C.snippets(spark, d)
+    item = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    entries = _hunks(spark, d).groupBy("path").agg(F.array_join(F.transform(item, lambda x: x["line"]), "\n").alias("content"))
+    return context.merge(snippets, entries, "path").select("path", F.md5("content").alias("content"))
+
+
 _EXT = ", ".join(f"'{e}'" for e in context.EXTENSIONS)
 
 

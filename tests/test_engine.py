@@ -132,6 +132,18 @@ def test_cache_key(spark):
     assert all(r.key == h32(r.content + "|||" + "\n".join(r.hunks or []) + "|||" + r.mode) for r in got)
 
 
+def test_context_merge_is_whole(spark, tmp_path):
+    from hashlib import md5
+
+    from rulestrata.plans.registry import QUERIES
+
+    texts = {3: "a" * 300 + "1", 9: "a" * 300 + "2", 4: "b" * 90 + "\n- c", 5: "e"}
+    rows = [(i, t, "en", "web", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.path: r.content for r in QUERIES["context_merge_paths"](spark, str(tmp_path)).collect()}
+    assert got == {f"src/en/web/doc_{i}.ts": md5(("@@ -0,0 +1 @@\n+" + t.replace("\n", "\n+")).encode()).hexdigest() for i, t in texts.items()}
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9000), max_size=25), min_size=1, max_size=10))
 def test_budget(spark, keys):
