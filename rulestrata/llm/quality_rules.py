@@ -5,13 +5,15 @@ Jensen-Shannon distance (base 2, 0 to 1): classes of characters, and the languag
 common words against all others. The references are sums over all documents of the
 language, so one pass makes the histograms, which are written, and a second, over a row
 of counts per document, compares. Minimum lengths guard both: a short text says little.
+The languages with the most rows are broadcast; the rows of all others, none of which can
+be hot, meet their references in a shuffled join.
 
 DataFrame functions only. Long work is bound to lambda variables (``_let``), since an
 expression inside a lambda would otherwise be worked out again for each element.
 
 Defined cases: null, empty and wordless texts have zero counts and fail the base rule;
-a null or rare language (beyond ``MAX_LANGS`` by words) has no reference: only the base
-rule decides; repeated rows keep a row each; an empty table gives an empty result."""
+a null language is judged, by characters only, against the sums over all documents; a
+language without common words here compares characters only; repeated rows keep a row each; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -27,7 +29,8 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "au"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "una", "para", "es", "al", "lo"],
 }
-#: Largest distances that are kept, and the lengths from which they are asked.
+#: Largest distances that are kept, the lengths from which they are asked, and how many
+#: languages are broadcast (the result is the same for any number).
 MAX_CHARS, MAX_WORDS, MIN_CHARS, MIN_WORDS, MAX_LANGS = 0.21, 0.28, 400, 120, 64
 
 
@@ -112,22 +115,35 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(counts: DataFrame) -> DataFrame:
-    """(lang, ref_chars, ref_common): sums over all documents of each language."""
-    out = []
-    for name in ("chars", "common"):
-        n = 7 if name == "chars" else 1 + max(map(len, COMMON.values()))
-        sums = [F.sum(F.coalesce(F.get(F.col(name), F.lit(i)), F.lit(0.0))).alias(f"{name}{i}") for i in range(n)]
-        out.append((name, n, sums))
-    g = counts.where("lang is not null").groupBy("lang").agg(F.sum("n_words").alias("weight"), F.max(F.size("common")).alias("n"), *out[0][2], *out[1][2])
-    g = g.orderBy(F.desc("weight"), "lang").limit(MAX_LANGS)
-    arrays = [F.array(*[f"{name}{i}" for i in range(n)]) for name, n, _ in out]
-    return g.select("lang", arrays[0].alias("ref_chars"), F.slice(arrays[1], F.lit(1), F.col("n")).alias("ref_common"))
+    """(lang, weight, ref_chars, ref_common): sums over all documents of each language, and
+    over all documents for the null language. ``weight``: the language's rows."""
+    cells = [("chars", i) for i in range(7)] + [("common", i) for i in range(1 + max(map(len, COMMON.values())))]
+    names = [f"{a}{i}" for a, i in cells]
+    sums = [F.sum(F.coalesce(F.get(F.col(a), F.lit(i)), F.lit(0.0))).alias(f"{a}{i}") for a, i in cells]
+    g = written(counts.groupBy("lang").agg(F.count("*").alias("weight"), F.max(F.size("common")).alias("n"), *sums))
+    every = g.agg(F.sum("weight").alias("weight"), *[F.sum(x).alias(x) for x in names]).select(F.lit(None).cast("string").alias("lang"), "weight", F.lit(1).alias("n"), *names)
+    both = g.where("lang is not null").select("lang", "weight", "n", *names).union(every)
+    chars, common = F.array(*[x for x in names if x.startswith("chars")]), F.array(*[x for x in names if x.startswith("common")])
+    return both.select("lang", "weight", chars.alias("ref_chars"), F.slice(common, F.lit(1), F.col("n")).alias("ref_common"))
+
+
+def _with_references(counts: DataFrame) -> DataFrame:
+    known = written(references(counts))
+    named = known.where("lang is not null")
+    top = written(named.orderBy(F.desc("weight"), "lang").limit(MAX_LANGS))
+    near = top.union(known.where("lang is null")).drop("weight").withColumnRenamed("lang", "_lang")
+    d = counts.join(F.broadcast(near), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+    rest = named.join(F.broadcast(top.select("lang")), "lang", "left_anti")
+    if rest.isEmpty():
+        return d
+    rare = counts.where("lang is not null").join(F.broadcast(top.select("lang")), "lang", "left_anti")
+    return d.unionByName(rare.join(rest.drop("weight").hint("shuffle_merge"), "lang"))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row: the base counts, base_failed, kept, char_distance, word_distance."""
     counts = written(_counts(docs, id_col, text_col, lang_col))
-    d = counts.join(F.broadcast(references(counts)), "lang", "left")  # MAX_LANGS rows at most
+    d = _with_references(counts)
     d = d.withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", F.when(F.size("common") > 1, js_distance(F.col("common"), F.col("ref_common"))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = ((F.col("word_chars") >= MIN_CHARS) & (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHARS)) | ((F.col("n_words") >= MIN_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORDS))

@@ -150,6 +150,21 @@ def test_quality_rules(docs, odd):
     assert quality_rules.assess(odd.limit(0)).count() == 0
 
 
+def test_quality_references_of_every_language(spark):
+    good = "a calm river runs past the old stone bridge and the small mill beside it " * 12
+    good = " ".join(w + str(i) for i, w in enumerate(good.split()))
+    junk = " ".join(f"{i}{i}{i}{i}{i}{i}{i}" for i in range(100, 300))
+    rows = [(100 * k + i, junk if i == 9 else good, f"l{k:03}") for k in range(70) for i in range(10)]
+    rows += [(10**6 + i, junk if i == 9 else good, None) for i in range(10)]
+    got = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        assert got[i].char_distance is not None and got[i].kept == (t == good), i
+    alone = [r for r in rows if r[2] == "l069"]
+    for r in quality_rules.assess(spark.createDataFrame(alone, "doc_id long, text string, lang string")).collect():
+        assert r == got[r.doc_id]
+
+
 def luhn(d):
     return sum((2 * int(x) - 9 * (int(x) > 4)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
 
