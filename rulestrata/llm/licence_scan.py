@@ -99,6 +99,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     return d.select("doc_id", "r.*")
 
 
+def scan_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+    """One row per row: doc_id, n_notices, licences (names, by name), best_dice.
+
+    Windows slide over the words of the whole document, whatever its lines: a template of b
+    bigrams meets every window of up to b * (2 - t) / t bigrams. Only windows that begin and
+    end with a bigram of the template are tried, as others at the ends only lower the
+    coefficient. Of each first bigram and template the best window counts, the shortest of
+    equal ones; of windows that overlap, from the left, the better one stays, else the
+    earlier, else the first template by name."""
+    templates = TEMPLATES if templates is None else templates
+    sets = {k: bigrams(normalise(v)) for k, v in sorted(templates.items())}
+    most = {k: int(len(v) * (2 - least) / least + 1e-9) for k, v in sets.items()}
+    every = sorted({g for v in sets.values() for g in v})
+    marked = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors(templates, least))) + r")(?![a-z0-9])"
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    item = "struct<i:int,worse:double,name:string,j:int>"
+    bound = lambda value, then: F.transform(F.array(value), then).getItem(0)
+    known = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, v)).alias("grams"), F.lit(most[k]).alias("most")) for k, v in sets.items()])
+
+    def of_grams(g: Column) -> Column:
+        near = F.filter(F.transform(g, lambda x, i: F.struct(i.alias("i"), x.alias("g"))), lambda x: x["g"].isin(every))
+        return bound(near, lambda n: F.flatten(F.transform(known, lambda t: bound(F.filter(n, lambda x: F.array_contains(t["grams"], x["g"])), lambda hits: of_template(g, t, hits)))))
+
+    def of_template(g: Column, t: Column, hits: Column) -> Column:
+        def tried(x: Column, y: Column) -> Column:
+            run = F.array_distinct(F.slice(g, x["i"] + 1, y["i"] - x["i"] + 1))
+            return bound(run, lambda r: F.struct((-2.0 * F.size(F.array_intersect(r, t["grams"])) / (F.size(r) + F.size(t["grams"]))).alias("worse"), y["i"].alias("j")))
+
+        def best(x: Column, k: Column) -> Column:
+            # Hits are in order: those in reach are among the next ``most``.
+            ends = F.filter(F.slice(hits, k + 1, t["most"]), lambda y: y["i"] - x["i"] < t["most"])
+            return bound(F.array_min(F.transform(ends, lambda y: tried(x, y))), lambda b: F.struct(x["i"].alias("i"), b["worse"].alias("worse"), t["name"].alias("name"), b["j"].alias("j")))
+
+        return F.filter(F.transform(hits, best), lambda f: f["worse"] <= -least)
+
+    def settle(kept: Column, f: Column) -> Column:
+        last = F.element_at(kept, -1)
+        swapped = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(f))
+        return F.when(F.size(kept) == 0, F.array(f)).when(f["i"] > last["j"], F.concat(kept, F.array(f))).when(f["worse"] < last["worse"], swapped).otherwise(kept)
+
+    def of_words(w: Column) -> Column:
+        grams = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+        return bound(grams, of_grams)
+
+    none = F.array().cast(f"array<{item}>")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    found = F.when(F.col("text").rlike(marked), bound(_line_words(F.col("text")), of_words).cast(f"array<{item}>")).otherwise(none)
+    settled = bound(F.sort_array(found), lambda s: F.aggregate(s, none, settle))
+    names = lambda k: F.array_join(F.array_sort(F.array_distinct(F.transform(k, lambda x: x["name"]))), ",")
+    result = bound(settled, lambda k: F.struct(F.size(k).cast("long").alias("n_notices"), names(k).alias("licences"), (-F.array_min(F.transform(k, lambda x: x["worse"]))).alias("best_dice")))
+    return d.select("doc_id", result.alias("r")).select("doc_id", "r.*")
+
+
 def duckdb_sql(templates: dict[str, str] | None = None, least: float = LEAST) -> str:
     rows = ", ".join(f"('{k}', '{v}')" for k, v in (TEMPLATES if templates is None else templates).items())
     norm = "regexp_split_to_array(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9.]+', ' ', 'g'), '\\.([^0-9]|$)', ' \\1', 'g')), ' +')"

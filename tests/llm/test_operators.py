@@ -207,6 +207,39 @@ def test_licences(docs, odd):
     assert licence_scan.scan(odd).count() == len(ODD)
 
 
+def licence_windows(text):
+    grams = {k: set(licence_scan.bigrams(licence_scan.normalise(v))) for k, v in licence_scan.TEMPLATES.items()}
+    w = licence_scan.normalise(text or "")
+    g = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    found = []
+    for name, t in grams.items():
+        for i in range(len(g)):
+            ends = range(i, min(len(g), i + int(len(t) * 1.5 + 1e-9))) if g[i] in t else ()
+            worse, j = min(((-2.0 * len(set(g[i : j + 1]) & t) / (len(set(g[i : j + 1])) + len(t)), j) for j in ends), default=(0, 0))
+            if worse <= -0.8:
+                found.append((i, worse, name, j))
+    kept = []
+    for f in sorted(found):
+        if not kept or f[0] > kept[-1][3]:
+            kept.append(f)
+        elif f[1] < kept[-1][1]:
+            kept[-1] = f
+    return len(kept), ",".join(sorted({k[2] for k in kept})), max((-k[1] for k in kept), default=None)
+
+
+def test_licence_windows(spark, docs, odd):
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    t = licence_scan.TEMPLATES
+    texts = [wrap(t[k], n, mark) for k in ("mit-text", "isc", "bsd-3-clause", "gpl-3.0") for n in (4, 9) for mark in ("", " * ", "// ")]
+    texts += ["A tale of rivers. " * 9 + t["mit-text"] + " and more of the tale. " * 9, "Code: licensed under CC BY-NC 4.0. " * 3, "all rights all rights reserved", "Licensed", t["mit-text"] + "\n\n" + t["isc"]]
+    extra = spark.createDataFrame([(10**6 + i, x, "en", "s", 0) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = docs.unionByName(extra)
+    got = {r.doc_id: (r.n_notices, r.licences, r.best_dice) for r in licence_scan.scan_windows(df).collect()}
+    assert got == {r.doc_id: licence_windows(r.text) for r in df.collect()}
+    assert [got[10**6 + i][1] for i in (0, 6, 12, 18, 24, 25, 28)] == ["mit-text", "isc", "bsd-3-clause", "gpl-3.0", "mit-text", "cc-by-nc-4.0", "isc,mit-text"]
+    assert licence_scan.scan_windows(odd).count() == len(ODD) and licence_scan.scan_windows(odd.limit(0)).count() == 0
+
+
 def auc(score, y):
     rank = np.argsort(np.argsort(score)) + 1
     return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
