@@ -1,13 +1,69 @@
-"""Reports: rows for terminals and Markdown, the rule index, the manifest, comments."""
+"""Reports: status rows, whole reports for terminals and in Markdown, the rule index, the
+manifest, comments."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import percent
 
 
+_ICONS = {"pass": ("✓", "✅"), "violation": ("✗", "❌"), "uncertain": ("?", "⚠️"), "stale-intent": ("⚠", "🔶")}
+
+
+def _icon(i: int) -> Column:
+    return F.coalesce(*[F.when(F.col("status") == k, F.lit(v[i])) for k, v in _ICONS.items()], F.lit("?"))
+
+
+def _with_evidence(verdicts: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``evidence``, by file, module and line, and ``has_hint``."""
+    item = F.struct("path", "to_ord", "line_no", "excerpt", "reason")
+    lists = found.groupBy("change_set", "rule_id").agg(F.sort_array(F.collect_list(item)).alias("evidence"))
+    none = F.array().cast(lists.schema["evidence"].dataType)
+    d = verdicts.join(lists, ["change_set", "rule_id"], "left").withColumn("evidence", F.coalesce("evidence", none))
+    return d.withColumn("has_hint", F.coalesce(F.col("suggestion") != "", F.lit(False)))
+
+
+def _lines(*lines: Column | str) -> Column:
+    return F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
+
+
+def _per_set(sets: DataFrame, verdicts: DataFrame, *columns: Column) -> DataFrame:
+    """Per change set: its verdicts by rule, and counts by status; none leaves nulls."""
+    counts = [F.count_if(F.col("status") == s).cast("string").alias(f"n_{s}") for s in ("pass", "violation", "uncertain")]
+    d = verdicts.select("change_set", "status", F.struct("rule_id", *columns).alias("v"))
+    return sets.select("change_set").distinct().join(d.groupBy("change_set").agg(F.sort_array(F.collect_list("v")).alias("v"), *counts), "change_set", "left")
+
+
+def terminal(sets: DataFrame, verdicts: DataFrame, found: DataFrame) -> DataFrame:
+    """(change_set, report): a line per verdict, its evidence and suggestion, a summary."""
+    head = F.concat(_icon(0), F.lit(" ["), "rule_id", F.lit("] "), F.upper("status"), F.lit(" (confidence: "), percent(F.col("confidence")).cast("string"), F.lit("%, engine: "), "engine", F.lit(")"))
+    shown = F.flatten(F.transform("evidence", lambda e: F.array(*[F.concat(F.lit("    "), e[x]) for x in ("path", "excerpt", "reason")])))
+    hint = F.when(F.col("has_hint"), F.array(F.concat(F.lit("    💡 "), "suggestion"))).otherwise(F.array().cast("array<string>"))
+    d = _per_set(sets, _with_evidence(verdicts, found), F.concat(F.array(head), shown, hint).alias("lines"))
+    summary = F.concat(F.lit("Summary: "), "n_pass", F.lit(" pass · "), "n_violation", F.lit(" violation · "), "n_uncertain", F.lit(" uncertain"))
+    text = F.array_join(F.concat(F.flatten(F.transform("v", lambda v: v["lines"])), _lines("", summary)), "\n")
+    return d.select("change_set", F.coalesce(text, F.lit("✓ No rules in scope — nothing to check")).alias("report"))
+
+
+def markdown(sets: DataFrame, verdicts: DataFrame, found: DataFrame, ref: str) -> DataFrame:
+    """(change_set, report): a table of all verdicts, details of violations, counts."""
+    row = F.concat(F.lit("| `"), "rule_id", F.lit("` | "), _icon(1), F.lit(" "), "status", F.lit(" | "), "engine", F.lit(" | "), percent(F.col("confidence")).cast("string"), F.lit("% |"))
+    one = lambda e: _lines(F.concat(F.lit("**"), e["path"], F.lit("**")), "", "```", e["excerpt"], "```", "", F.concat(F.lit("> "), e["reason"]), "")
+    none = F.array().cast("array<string>")
+    hint = F.when(F.col("has_hint"), _lines(F.concat(F.lit("💡 **Suggestion:** "), "suggestion"), "")).otherwise(none)
+    details = F.concat(_lines(F.concat(F.lit("#### `"), "rule_id", F.lit("`")), ""), F.flatten(F.transform("evidence", one)), hint)
+    d = _per_set(sets, _with_evidence(verdicts, found), row.alias("row"), F.when(F.col("status") == "violation", details).otherwise(none).alias("details"))
+    title = _lines("## Drift Report", "", f"> Checked at commit: `{ref}`", "")
+    more = F.flatten(F.transform("v", lambda v: v["details"]))
+    shown = F.when(F.size(more) > 0, F.concat(_lines("", "### Violations", ""), more)).otherwise(none)
+    counts = F.concat(F.lit("_"), "n_pass", F.lit(" pass · "), "n_violation", F.lit(" violation · "), "n_uncertain", F.lit(" uncertain_"))
+    table = _lines("| Rule | Status | Engine | Confidence |", "|--------|--------|--------|------------|")
+    full = F.concat(title, table, F.transform("v", lambda v: v["row"]), shown, _lines("", "---", counts))
+    return d.select("change_set", F.array_join(F.coalesce(full, F.concat(title, _lines("✅ No rules in scope for this diff."))), "\n").alias("report"))
+
+
 def report_rows(verdicts: DataFrame) -> DataFrame:
     line = F.format_string("%s [%s] %s%%", F.upper("status"), F.col("rule_id"), percent(F.col("confidence")).cast("string"))
     return verdicts.select("change_set", "rule_id", line.alias("line"))

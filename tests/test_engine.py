@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rulestrata.functions.globs import Globs
 from rulestrata.functions.text import hash32, imports
-from rulestrata.operators import context, deterministic, diffs, engine, judge
+from rulestrata.operators import context, deterministic, diffs, engine, judge, report
 from rulestrata.operators.deterministic import Rule
 from rulestrata.sources import rules as R
 
@@ -182,6 +182,20 @@ def test_judge(spark):
     assert got == {"r": ("pass", 0.9, None), "s": ("uncertain", 0.0, None), "t": ("uncertain", 0.0, "LLM call failed: down")}
 
 
+def test_reports(spark):
+    sets = spark.createDataFrame([("a",), ("b",)], "change_set string")
+    v = spark.createDataFrame([("a", "r1", "violation", 0.95, "Fix it", "deterministic"), ("a", "r2", "pass", 1.0, None, "deterministic"), ("a", "r3", "uncertain", 0.0, "Set a key", "semantic")], "change_set string, rule_id string, status string, confidence double, suggestion string, engine string")
+    e = spark.createDataFrame([("a", "r1", "q.ts", 0, 4, "+two", "why 2"), ("a", "r1", "p.ts", 0, 9, "+one", "why 1")], "change_set string, rule_id string, path string, to_ord int, line_no int, excerpt string, reason string")
+    t = {r.change_set: r.report for r in report.terminal(sets, v, e).collect()}
+    assert t["a"].split("\n") == ["✗ [r1] VIOLATION (confidence: 95%, engine: deterministic)", "    p.ts", "    +one", "    why 1", "    q.ts", "    +two", "    why 2", "    💡 Fix it", "✓ [r2] PASS (confidence: 100%, engine: deterministic)", "? [r3] UNCERTAIN (confidence: 0%, engine: semantic)", "    💡 Set a key", "", "Summary: 1 pass · 1 violation · 1 uncertain"]
+    assert t["b"] == "✓ No rules in scope — nothing to check"
+    m = {r.change_set: r.report for r in report.markdown(sets, v, e, "abc").collect()}
+    top = ["## Drift Report", "", "> Checked at commit: `abc`", ""]
+    shown = [x for p, o, w in (("p.ts", "+one", "why 1"), ("q.ts", "+two", "why 2")) for x in (f"**{p}**", "", "```", o, "```", "", f"> {w}", "")]
+    assert m["a"].split("\n") == [*top, "| Rule | Status | Engine | Confidence |", "|--------|--------|--------|------------|", "| `r1` | ❌ violation | deterministic | 95% |", "| `r2` | ✅ pass | deterministic | 100% |", "| `r3` | ⚠️ uncertain | semantic | 0% |", "", "### Violations", "", "#### `r1`", "", *shown, "💡 **Suggestion:** Fix it", "", "", "---", "_1 pass · 1 violation · 1 uncertain_"]
+    assert m["b"].split("\n") == [*top, "✅ No rules in scope for this diff."]
+
+
 def test_stream(spark, tmp_path):
     from rulestrata.streaming.watch import watch
 
