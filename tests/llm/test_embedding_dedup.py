@@ -48,7 +48,7 @@ def test_balls_save_comparisons_and_lose_no_link(spark):
     p = E.pruning(df).first()
     assert p.classes == 800 and p.in_cells < 850 and p.all_pairs == 800 * 799 // 2
     assert near.sum() // 2 <= p.compared < p.all_pairs / 3
-    cut = E.balls_of(u[::2], 0.2)
+    cut = E.balls_of(u[::3], 0.2)
     assert len(cut[1]) >= 4
     row, cell, home = E.cells_of(u, cut, 0.2)
     where = [set(cell[row == i]) for i in range(len(u))]
