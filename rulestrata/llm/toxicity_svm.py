@@ -2,34 +2,42 @@
 
 The kernel of two words is the gap-weighted subsequence kernel: common subsequences of
 ``ORDER`` letters count ``DECAY`` to the power of the span they take in both words, and
-the kernel is normalised. Inserted or doubled letters lengthen spans but break nothing,
-so a word with letters put in stays close; letters spaced out (``i d i o t``) are joined
-to a word first, and signs inside a word are left out. Landmarks are words of the
-training sentences: those that speak most for toxic documents which the landmarks before
-them leave unexplained, so that a rare language gets its share, and common others. A word
-is mapped to its kernels with the landmarks times the inverse root of theirs (Nyström).
-
-The SVM learns from labelled sentences as a multiple-instance problem: in a toxic
-document at least one word of one sentence is toxic, in others none. The linear SVM and
-the choice of each toxic document's witness alternate. A document's score is a logistic
-function, fitted to the labels, of its largest margin and of the numbers of words with
-margins over 0 and 0.5, over all of its words, and of how many words it has (at least
-``FEW_WORDS``), since long texts hold chance likenesses.
-
-A word is mapped only if it has the letters of a toxic landmark (all of up to five
-different ones, all but one of up to seven, all but two of more); all other words have the margin of the bias. Words are mapped once per
-batch; a worker's table of margins has a fixed bound. Words over ``WINDOW`` letters count
-as overlapping windows, of which the largest margin holds.
+the kernel is normalised. Inserted letters lengthen spans but break nothing, so a word
+with letters put in stays close. Before that a word is brought to one form: signs and
+digits inside it are left out, runs of a letter become one letter, letters spaced out
+(``i d i o t``) are joined, and of a word with the same letter at every second place the
+other letters are read as a word too. Landmarks are words of the training sentences:
+those that speak most for toxic documents which the landmarks before them leave
+unexplained, so that a rare language gets its share, and common others. A word is mapped
+to its kernels with the landmarks times the inverse root of theirs (Nyström).
+
+The SVM learns from labelled sentences as a multiple-instance problem: toxic landmarks,
+also with a letter put in, and at least one word of each toxic document are toxic, no
+word of others is. The linear
+SVM and the choice of each toxic document's witness alternate. A document's score is a
+logistic function, fitted to the labels, of its largest margin and of the numbers of
+words with margins over 0 and 0.5, over all of its words, and of how many words it has
+(at least ``FEW_WORDS``), since long texts hold chance likenesses.
+
+Only margins over 0 count, so a kernel is not computed where a bound shows the margin
+below it: by Cauchy-Schwarz a word's margin is at most the bias and the length of the
+SVM's normal over those subsequences whose letter pairs the word has in order.
+The scores are the same with and without the bound. Words are mapped once per batch; a
+worker's table of margins has a fixed bound. Words over ``WINDOW`` letters count, in
+fitting and scoring, as overlapping windows that cover them, of which the largest margin
+holds.
 
 Defined cases: null, empty and wordless texts have the score of a short text without any
-kernel; without labels of both kinds, or words that
-set them apart, every score is 0.5; null ids and repeated rows keep
-a row each; other columns are not read; an empty table gives an empty result."""
+kernel; without labels of both kinds, or words that set them apart, every score is 0.5;
+null ids keep a row each and are not held out; repeated rows keep a row each with equal
+scores; very long texts are read whole; other columns, whatever their names, are not
+read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +46,17 @@ from pyspark.sql import functions as F
 
 from . import labelled
 
-ORDER, DECAY, WINDOW, LONGEST = 3, 0.6, 16, 10
+ORDER, DECAY, WINDOW, LONGEST = 3, 0.9, 16, 16
 TOXIC_LANDMARKS, OTHER_LANDMARKS, WORDS_HELD, FEW_WORDS = 24, 4, 400_000, 30
 #: Log odds that a toxic landmark needs, these times the root of its documents, and its
 #: largest kernel with another landmark.
-LEAST_ODDS, LEAST_EVIDENCE, ALIKE, CANDIDATES = 1.5, 4.0, 0.7, 300
+LEAST_ODDS, LEAST_EVIDENCE, ALIKE = 1.5, 4.0, 0.7
+#: In fitting, words whose kernels can only be below this have none; letters that are put
+#: into toxic landmarks as further examples.
+FAINT, INSERTED = 0.3, "aekqxz"
 _SIGNS = {c: None for c in range(33, 127) if not chr(c).isalnum()} | {c: None for c in range(48, 58)}
-_SPACED = re.compile(r"(?<!\S)[a-z](?:[ \t]+[a-z]){3,}(?!\S)")
-_letters = np.zeros(0x250, dtype=np.uint64)
-for _c in range(0x250):
-    _letters[_c] = 1 << (ord("a") <= _c <= ord("z") and _c - 97 or 26 + _c % 37)
+_SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]+[^\W\d_]){2,}(?!\S)")
+_RUNS = re.compile(r"(.)\1+")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -61,6 +70,14 @@ def words_of(text: str | None) -> set[str]:
     return out
 
 
+def forms(word: str) -> list[str]:
+    """What a word is compared as: overlapping windows of its forms without runs."""
+    own = [_RUNS.sub(r"\1", word)]
+    if len(own[0]) > 4 and len(set(own[0][1::2])) == 1:
+        own.append(_RUNS.sub(r"\1", own[0][::2]))
+    return [w[a : a + WINDOW] for w in own for a in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)]
+
+
 def _codes(words: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(words), width), dtype=np.uint16)
     for i, w in enumerate(words):
@@ -68,11 +85,6 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    m = np.where(codes > 0, _letters[np.minimum(codes, 0x24F)], np.uint64(0))
-    return np.bitwise_or.reduce(m, axis=1)
-
-
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Kernels of all rows of ``a`` with all rows of ``b`` (codes, 0 beyond the end)."""
     match = (a[:, None, :, None] == b[None, :, None, :]) & (a > 0)[:, None, :, None]
@@ -107,51 +119,86 @@ def _self_kernel(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _image(word: str) -> dict[str, float]:
+    """A word's image: each subsequence of ``ORDER`` letters with its weight."""
+    out: dict[str, float] = {}
+    for at in combinations(range(len(word)), ORDER):
+        u = "".join(word[i] for i in at)
+        out[u] = out.get(u, 0.0) + DECAY ** (at[-1] - at[0] + 1)
+    return out
+
+
 class Model:
-    def __init__(self, landmarks: list[str], n_toxic: int):
+    def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.codes = _codes(landmarks, LONGEST)
-        self.masks = _masks(self.codes[:n_toxic])
-        letters = np.bitwise_count(self.masks)
-        self.need = letters.astype(int) - (letters > 5) - (letters > 7)
         self.own = np.sqrt(_self_kernel(self.codes))
         k = subsequence_kernel(self.codes, self.codes) / (self.own[:, None] * self.own[None, :] + 1e-9)
         values, vectors = np.linalg.eigh((k + k.T) / 2)
         self.root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+        images = [_image(w) for w in landmarks]
+        triples = sorted(set().union(*images))
+        self.alphabet = np.full(0x10000, -1, dtype=np.int16)
+        letters = sorted(set("".join(triples)))
+        for i, c in enumerate(letters):
+            self.alphabet[ord(c)] = i
+        self.n_letters = len(letters)
+        at = np.array([[int(self.alphabet[ord(c)]) for c in u] for u in triples])
+        self.triples = [at[:, i] * self.n_letters + at[:, j] for i, j in ((0, 1), (1, 2), (0, 2))]
+        self.images = np.zeros((len(triples), len(landmarks)), dtype=np.float32)
+        place = {u: i for i, u in enumerate(triples)}
+        for j, image in enumerate(images):
+            length = sum(v * v for v in image.values()) ** 0.5
+            for u, v in image.items():
+                self.images[place[u], j] = v / length
         self.w, self.bias = np.zeros(len(landmarks)), 0.0
         self.doc: tuple[np.ndarray, float] | None = None
         self.held: dict[str, float] = {}
 
-    def kernels(self, words: list[str]) -> np.ndarray:
+    def possible(self, codes: np.ndarray) -> np.ndarray:
+        """Of each word the subsequences of the landmarks whose letter pairs it has in order."""
+        n, a = len(codes), self.alphabet[codes]
+        pairs = np.zeros((n, self.n_letters * self.n_letters), dtype=bool)
+        for j in range(1, codes.shape[1]):
+            for i in range(j):
+                ok = np.flatnonzero((a[:, i] >= 0) & (a[:, j] >= 0))
+                pairs[ok, a[ok, i].astype(int) * self.n_letters + a[ok, j]] = True
+        there = pairs[:, self.triples[0]]
+        for t in self.triples[1:]:
+            there &= pairs[:, t]
+        return there
+
+    def kernels(self, words: list[str], asked) -> np.ndarray:
+        """Kernels of words with the landmarks; of those that ``asked`` is true for."""
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float64)
-        for at in range(0, len(words), 1024):
-            codes = _codes(words[at : at + 1024], WINDOW)
-            common = np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :])
-            near = np.flatnonzero((common >= self.need[None, :]).any(1))
-            if len(near):
-                c = codes[near]
+        for at in range(0, len(words), 2048):
+            codes = _codes(words[at : at + 2048], WINDOW)
+            near = np.flatnonzero(asked(self.possible(codes)))
+            for lo in range(0, len(near), 128):
+                c = codes[near[lo : lo + 128]]
                 k = subsequence_kernel(c, self.codes) / (np.sqrt(_self_kernel(c))[:, None] * self.own[None, :] + 1e-9)
-                out[at + near] = k
+                out[at + near[lo : lo + 128]] = k
         return out
 
-    def map(self, words: list[str]) -> np.ndarray:
-        return self.kernels(words) @ self.root
+    def positive(self):
+        """Whether a margin over 0 is possible: the margin is the product of the word's unit
+        image and the SVM's normal, so the normal's part over the possible subsequences bounds it."""
+        normal = np.maximum(self.images @ (self.root @ self.w).astype(np.float32), 0) ** 2
+        return lambda there: np.sqrt(there @ normal) * 1.001 + self.bias > 0
 
-    def margins(self, words) -> dict[str, float]:
-        """Margins of ``words``, those of long ones over their windows."""
+    def margins(self, words, pruned: bool = True) -> dict[str, float]:
+        """Margins of ``words`` over all of their forms; -1 where they are not over 0."""
         new = [w for w in words if w not in self.held]
         if new:
             if len(self.held) + len(new) > WORDS_HELD:
                 self.held = {}
                 new = list(words)
-            cut, owner = [], []
-            for i, w in enumerate(new):
-                for a in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
-                    cut.append(w[a : a + WINDOW])
-                    owner.append(i)
-            f = self.map(cut) @ self.w + self.bias
-            best = np.full(len(new), -np.inf)
-            np.maximum.at(best, owner, f)
+            each = [forms(w) for w in new]
+            owner = np.repeat(np.arange(len(new)), [len(f) for f in each])
+            asked = self.positive() if pruned else (lambda there: np.ones(len(there), dtype=bool))
+            f = self.kernels([x for own in each for x in own], asked) @ (self.root @ self.w) + self.bias
+            best = np.full(len(new), -1.0)
+            np.maximum.at(best, owner, np.where(f > 0, f, -1.0))
             self.held.update(zip(new, best.tolist(), strict=True))
         return self.held
 
@@ -170,15 +217,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Linear SVM by subgradients of the squared hinge, classes of equal weight."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ w + b)) * weight * y
-        rate = 0.5 / (1 + t / 200)
-        w -= rate * (1e-3 * w - 2 * x.T @ slack)
-        b += rate * 2 * slack.sum()
-    return w, float(b)
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear SVM with the squared hinge, by Newton's method on the rows inside the margin."""
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    keep = np.full(z.shape[1], decay)
+    keep[-1] = 1e-9
+    loss = lambda v: 0.5 * (keep * v * v).sum() + (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    v = np.zeros(z.shape[1])
+    for _ in range(60):
+        slack = np.maximum(0, 1 - y * (z @ v))
+        gradient = keep * v - 2 * z.T @ (weight * y * slack)
+        a = z[slack > 0]
+        step = np.linalg.solve(np.diag(keep) + 2 * (a.T * weight[slack > 0]) @ a + 1e-10 * np.eye(len(v)), gradient)
+        size, now = 1.0, loss(v)
+        while size > 1e-4 and loss(v - size * step) > now:
+            size /= 2
+        if size <= 1e-4 or now - loss(v - size * step) < 1e-10:
+            break
+        v = v - size * step
+    return v[:-1], float(v[-1])
 
 
 def _landmarks(ranked: list[str], odds: dict[str, float], docs: list[set[str]]) -> list[str]:
@@ -188,7 +245,7 @@ def _landmarks(ranked: list[str], odds: dict[str, float], docs: list[set[str]])
         return []
     codes = _codes(ranked, LONGEST)
     own = _self_kernel(codes)
-    alike = subsequence_kernel(codes, codes) / np.sqrt(np.outer(own, own)) >= ALIKE
+    alike = np.concatenate([subsequence_kernel(codes[a : a + 64], codes) for a in range(0, len(codes), 64)]) / np.sqrt(np.outer(own, own)) >= ALIKE
     holds = np.array([[w in d for d in docs] for w in ranked], dtype=float)
     speaks = np.array([odds[w] for w in ranked])
     covers, free, chosen = np.zeros(len(docs)), np.ones(len(ranked), dtype=bool), []
@@ -202,41 +259,46 @@ def _landmarks(ranked: list[str], odds: dict[str, float], docs: list[set[str]])
 
 
 def train(rows: list[tuple[str, int]], share: float) -> Model | None:
-    docs, y = [words_of(t) for t, _ in rows], np.array([v for _, v in rows])
+    y = np.array([v for _, v in rows])
     if len(set(y.tolist())) < 2:
         return None
+    plain = [words_of(t) for t, _ in rows]
+    known: dict[str, list[str]] = {}
+    docs = [{f for w in d for f in known.setdefault(w, forms(w))} for d in plain]
     toxic, other = Counter(), Counter()
     for d, v in zip(docs, y.tolist(), strict=True):
-        (toxic if v else other).update(w for w in d if 3 <= len(w) <= LONGEST)
+        (toxic if v else other).update(w for w in d if len(w) >= ORDER and max(w) < "\uffff")
     n1, n0 = int(y.sum()), int((1 - y).sum())
     odds = {w: np.log((c + 0.5) / n1) - np.log((other[w] + 0.5) / n0) for w, c in toxic.items() if c >= 4}
     evidence = {w: odds[w] * np.sqrt(toxic[w]) for w in odds}
-    ranked = sorted((w for w in odds if odds[w] >= LEAST_ODDS and evidence[w] >= LEAST_EVIDENCE), key=lambda w: (-evidence[w], w))[:CANDIDATES]
+    ranked = sorted((w for w in odds if odds[w] >= LEAST_ODDS and evidence[w] >= LEAST_EVIDENCE), key=lambda w: (-evidence[w], w))
     first = _landmarks(ranked, odds, [d for d, v in zip(docs, y.tolist(), strict=True) if v])
     if not first:
         return None
     common = [w for w, _ in sorted(other.items(), key=lambda p: (-p[1], p[0])) if w not in first]
-    model = Model(first + common[:OTHER_LANDMARKS], len(first))
-    vocabulary = sorted({w[:WINDOW] for d in docs for w in d})
-    phi = model.map(vocabulary)
+    model = Model(first + common[:OTHER_LANDMARKS])
+    vocabulary = sorted(set().union(*docs))
+    parts = model.images**2
+    phi = model.kernels(vocabulary, lambda there: (there @ parts).max(1) >= FAINT**2) @ model.root
     live = np.flatnonzero(np.abs(phi).sum(1) > 0)
     row = {vocabulary[i]: k for k, i in enumerate(live)}
     x = phi[live]
-    bags = [sorted({row[w[:WINDOW]] for w in d if w[:WINDOW] in row}) for d in docs]
+    put_in = [w[:i] + c + w[i:] for w in first for i in range(1, len(w)) for c in INSERTED if c not in (w[i - 1], w[i])]
+    extra = model.kernels([w[:WINDOW] for w in put_in], lambda there: np.ones(len(there), dtype=bool)) @ model.root
+    bags = [sorted(row[w] for w in d if w in row) for d in docs]
     clean = np.unique(np.concatenate([np.array(b, dtype=int) for b, v in zip(bags, y, strict=True) if not v] + [np.empty(0, int)]))
     f = np.array([evidence.get(vocabulary[i], 0.0) for i in live]) - 1
+    marks = Counter({row[w]: toxic[w] for w in first if w in row})
     for _ in range(4):
-        witness = Counter(max(b, key=lambda k: f[k]) for b, v in zip(bags, y, strict=True) if v and b and f[b].max() > 0)
-        if not witness:
-            break
+        witness = Counter(max(b, key=lambda k: f[k]) for b, v in zip(bags, y, strict=True) if v and b and f[b].max() > 0) | marks
         pos = np.array(sorted(witness))
         neg = np.setdiff1d(clean, pos)
-        weight = np.concatenate([np.sqrt([witness[k] for k in pos]), np.ones(len(neg) + 1)])
-        weight[: len(pos)] /= 2 * weight[: len(pos)].sum()
-        weight[len(pos) :] /= 2 * weight[len(pos) :].sum()
-        model.w, model.bias = _svm(np.concatenate([x[pos], x[neg], np.zeros((1, x.shape[1]))]), np.concatenate([np.ones(len(pos)), -np.ones(len(neg) + 1)]), weight)
+        yes = np.concatenate([np.sqrt([witness[k] for k in pos]), np.ones(len(extra))])
+        no = np.ones(len(neg) + 1)
+        both = np.concatenate([np.ones(len(yes)), -no])
+        model.w, model.bias = _svm(np.concatenate([x[pos], extra, x[neg], np.zeros((1, x.shape[1]))]), both, np.concatenate([yes / (2 * yes.sum()), no / (2 * no.sum())]))
         f = x @ model.w + model.bias
-    w, b = labelled.logistic(model.features(docs), y.astype(float))
+    w, b = labelled.logistic(model.features(plain), y.astype(float))
     own = float(y.mean())
     model.doc = (w, b + np.log(share / (1 - share)) - np.log(own / (1 - own)))
     model.held = {}
