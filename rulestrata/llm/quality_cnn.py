@@ -9,12 +9,15 @@ fills, combine into one probability.
 Pairs of filter taps are folded into tables over byte pairs, so scoring is gathers and
 sums over one array for many documents.
 
-It is fitted on at most 2 * ``labelled.PER_LABEL`` documents (``PIECES`` chunks each),
-by Adam; everything is seeded. The classifier is then calibrated to the labels' shares.
+It is fitted on a bounded sample of labelled documents (``labelled``), by Adam: each epoch
+draws ``PIECES`` chunks anew from anywhere in each document, and the document's logits
+are fitted over all of its chunks. Everything is seeded. The classifier is then
+calibrated to the labels' shares.
 
 Defined cases: null and empty texts are scored as one chunk of padding; without labels
-of both kinds every score is 0.5; null ids and repeated rows keep a row each; other
-columns are not read; an empty table gives an empty result."""
+of both kinds every score is 0.5; null ids keep a row each and are not held out; repeated
+rows keep a row each with equal scores; very long texts are read whole; other columns,
+whatever their names, are not read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -126,31 +129,38 @@ def train(rows: list[tuple[str, int]], share: float, seed: int = 7) -> Network:
         return net
     r = np.random.default_rng(seed)
     texts = [(t or "").encode("utf-8", "surrogatepass") for t, _ in rows]
-    pieces = []
-    for t in texts:
-        at = np.linspace(0, max(0, len(t) - CHUNK), PIECES).astype(int)
-        pieces.append([t[a : a + CHUNK] for a in at])
-    flat = [p for own in pieces for p in own]
-    x = np.zeros((len(flat), CHUNK + WIDTH), dtype=np.uint8)
-    for i, p in enumerate(flat):
-        x[i, : len(p)] = np.frombuffer(p, dtype=np.uint8)
-    buf, first, _ = _layout(flat)
-    match = 4 * self_match(buf, first, (len(buf) - 64) // STEP)
+    lengths = np.array([len(t) for t in texts])
+    at = np.concatenate(([0], np.cumsum(lengths + CHUNK)))
+    whole = np.zeros(at[-1] + CHUNK + WIDTH, dtype=np.uint8)
+    for t, i in zip(texts, at.tolist(), strict=False):
+        whole[i : i + len(t)] = np.frombuffer(t, dtype=np.uint8)
+
+    def drawn() -> tuple[np.ndarray, np.ndarray]:
+        """``PIECES`` chunks of each document, and four times their match with themselves."""
+        begin = (r.random((len(texts), PIECES)) * (np.maximum(0, lengths - CHUNK) + 1)[:, None]).astype(np.int64)
+        x = np.zeros((begin.size, CHUNK + WIDTH), dtype=np.uint8)
+        x[:, :CHUNK] = whole[(begin + at[:-1, None]).reshape(-1, 1) + np.arange(CHUNK)]
+        apart = np.zeros((begin.size, CHUNK + 2 * STEP), dtype=np.uint8)  # no lag reaches the chunk before
+        apart[:, :CHUNK] = x[:, :CHUNK]
+        steps = apart.shape[1] // STEP
+        return x, 4 * self_match(apart.ravel(), np.arange(begin.size) * steps, begin.size * steps)
+
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     params = [net.taps, net.bias, net.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     for _ in range(EPOCHS):
+        x, match = drawn()
         for docs in np.array_split(r.permutation(len(rows)), max(1, len(rows) // 32)):
             step += 1
-            at = (docs[:, None] * PIECES + np.arange(PIECES)).ravel()
-            b = x[at]
+            drew = (docs[:, None] * PIECES + np.arange(PIECES)).ravel()
+            b = x[drew]
             conv = net.taps[0][b[:, :CHUNK]]
             for j in range(1, WIDTH):
                 conv += net.taps[j][b[:, j : CHUNK + j]]
             where = conv.argmax(1)
             top = np.take_along_axis(conv, where[:, None, :], 1)[:, 0] + net.bias
-            h = np.concatenate([np.maximum(top, 0), match[at][:, None]], 1)
+            h = np.concatenate([np.maximum(top, 0), match[drew][:, None]], 1)
             z = (h @ net.out + net.shift).reshape(-1, PIECES).mean(1)
             g = np.repeat((1 / (1 + np.exp(-z)) - y[docs]) * weight[docs] / (len(docs) * PIECES), PIECES).astype(np.float32)
             d_out = h.T @ g

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 
-ORDER, DECAY, WINDOW, LONGEST = 3, 0.9, 16, 16
+ORDER, DECAY, WINDOW = 3, 0.9, 16
 TOXIC_LANDMARKS, OTHER_LANDMARKS, WORDS_HELD, FEW_WORDS = 24, 4, 400_000, 30
 #: Log odds that a toxic landmark needs, these times the root of its documents, and its
 #: largest kernel with another landmark.
@@ -81,7 +81,8 @@ def forms(word: str) -> list[str]:
 def _codes(words: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(words), width), dtype=np.uint16)
     for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w[:width].encode("utf-16-le", "surrogatepass"), dtype="<u2")[:width]
+        c = np.frombuffer(w.encode("utf-16-le", "surrogatepass"), dtype="<u2")[:width]
+        out[i, : len(c)] = c
     return out
 
 
@@ -131,7 +132,7 @@ def _image(word: str) -> dict[str, float]:
 class Model:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = _codes(landmarks, LONGEST)
+        self.codes = _codes(landmarks, max(map(len, landmarks)))
         self.own = np.sqrt(_self_kernel(self.codes))
         k = subsequence_kernel(self.codes, self.codes) / (self.own[:, None] * self.own[None, :] + 1e-9)
         values, vectors = np.linalg.eigh((k + k.T) / 2)
@@ -174,8 +175,10 @@ class Model:
         for at in range(0, len(words), 2048):
             codes = _codes(words[at : at + 2048], WINDOW)
             near = np.flatnonzero(asked(self.possible(codes)))
+            near = near[np.argsort((codes[near] > 0).sum(1), kind="stable")]
             for lo in range(0, len(near), 128):
                 c = codes[near[lo : lo + 128]]
+                c = c[:, : max(ORDER, int((c > 0).sum(1).max()))]
                 k = subsequence_kernel(c, self.codes) / (np.sqrt(_self_kernel(c))[:, None] * self.own[None, :] + 1e-9)
                 out[at + near[lo : lo + 128]] = k
         return out
@@ -198,7 +201,7 @@ class Model:
             asked = self.positive() if pruned else (lambda there: np.ones(len(there), dtype=bool))
             f = self.kernels([x for own in each for x in own], asked) @ (self.root @ self.w) + self.bias
             best = np.full(len(new), -1.0)
-            np.maximum.at(best, owner, np.where(f > 0, f, -1.0))
+            np.maximum.at(best, owner, np.where(f > 0, np.round(f, 4), -1.0))
             self.held.update(zip(new, best.tolist(), strict=True))
         return self.held
 
@@ -243,7 +246,7 @@ def _landmarks(ranked: list[str], odds: dict[str, float], docs: list[set[str]])
     documents, of which each counts less the more landmarks it holds already."""
     if not ranked:
         return []
-    codes = _codes(ranked, LONGEST)
+    codes = _codes(ranked, WINDOW)
     own = _self_kernel(codes)
     alike = np.concatenate([subsequence_kernel(codes[a : a + 64], codes) for a in range(0, len(codes), 64)]) / np.sqrt(np.outer(own, own)) >= ALIKE
     holds = np.array([[w in d for d in docs] for w in ranked], dtype=float)
