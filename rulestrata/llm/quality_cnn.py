@@ -38,7 +38,7 @@ def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One buffer with each text padded to whole chunks; the first step of each chunk;
     the number of chunks of each text."""
     n = np.array([max(1, -(-(len(t) - STEP) // STRIDE)) for t in texts])
-    sizes = n * STRIDE + STEP
+    sizes = n * STRIDE + 3 * STEP  # two steps of padding, so that no filter or lag reaches the next text
     at = np.concatenate(([0], np.cumsum(sizes)))
     buf = np.zeros(at[-1] + 64, dtype=np.uint8)
     for t, a in zip(texts, at, strict=False):
