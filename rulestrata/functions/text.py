@@ -20,6 +20,14 @@ def imports(line: Column, module: str) -> Column:
     return line.contains(module) & line.rlike(import_pattern(module))
 
 
+
+
+def imported(line: Column) -> Column:
+    """All modules that a line imports or requires (no parentheses): what ``import_pattern``
+    finds for names without quotes, as an array."""
+    return F.regexp_extract_all(line, F.lit(r"""(?:import|require)\s*(?:[^'"]*from\s*)?['"]([^'"]*)['"]"""), F.lit(1))
+
+
 def suppressed_here(line: Column, rule_id: Column | str, token: str = TOKEN) -> Column:
     return _suppressed(line, f"{token}-disable-line", rule_id)
 

@@ -1,20 +1,24 @@
 """Deterministic checks: scope, forbidden imports, suppression, evidence and verdicts.
 
-Rules are few: up to ``LITERAL_RULES`` become literals of one projection per line (regex
-compiled once, literal prefixes first, no join). More rules meet files in a broadcast
-theta join, guarded by that count."""
+The modules that a line imports are taken out of it once; a rule forbids a line that has
+one of its modules. Up to ``LITERAL_RULES`` rules become literals of one projection per
+file (regex compiled once, literal prefixes first, no join). More rules meet the imported
+modules in an equi-join on the module, whatever their number: which side is broadcast, if
+any, is left to the measured sizes. Files carry their rules in scope and their hits in one
+row, so verdicts are one aggregation without a join."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.globs import Globs
 
 LITERAL_RULES = 200
+HIT = "struct<rule_id:string,to_ord:int,reason:string>"
 
 
 @dataclass(frozen=True)
@@ -27,7 +31,7 @@ class Rule:
     status: str = "active"
     title: str = ""
     rule: str = ""
-    anchors: int = 0
+    anchors: tuple = ()
     extra: dict = field(default_factory=dict, compare=False)
 
 
@@ -36,13 +40,41 @@ def active(rules: list[Rule]) -> list[Rule]:
     return sorted((r for r in rules if r.status == "active"), key=lambda r: r.id)
 
 
-def _matching(path, rules: list[Rule], globs) -> F.Column:
+def reason(rule: Rule, module: str) -> str:
+    return f"Import of '{module}' is not allowed from {','.join(rule.frm or ())}"
+
+
+def suggestion(rule: Rule) -> str:
+    return f"Remove imports of {', '.join(rule.to)} from {', '.join(rule.frm or ())}"
+
+
+def _matching(path: Column, rules: list[Rule], globs) -> Column:
     return F.array_compact(F.array(*[F.when(Globs.of(list(globs(r))).matches(path), F.lit(r.id)) for r in rules])) if rules else F.array().cast("array<string>")
 
 
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(rule_id, module, to_ord, from_in, from_out, reason): a row per forbidden module."""
+    rows = []
+    for r in rules:
+        g = Globs.of(list(r.frm or ()))
+        rows += [(r.id, m, i, g.include and g.include[:-1] + r"\z", g.exclude and g.exclude[:-1] + r"\z", reason(r, m)) for i, m in enumerate(r.to if r.frm else ())]
+    return spark.createDataFrame(rows, "rule_id string, module string, to_ord int, from_in string, from_out string, reason string")
+
+
+def scope_table(spark: SparkSession, rules: list[Rule], globs=lambda r: r.scope) -> DataFrame:
+    every = [(r.id, Globs.of(list(globs(r)))) for r in rules]
+    rows = [(i, g.include[:-1] + r"\z", g.exclude and g.exclude[:-1] + r"\z", g.prefix) for i, g in every if g.include]
+    return spark.createDataFrame(rows, "rule_id string, rx string, no string, prefix string")
+
+
 def file_rules(files: DataFrame, rules: list[Rule], globs=lambda r: r.scope) -> DataFrame:
-    """(change_set, path, rule_id) of every file that a rule's globs match."""
-    return files.select("change_set", "path", F.explode(_matching(F.col("path"), rules, globs)).alias("rule_id"))
+    """(change_set, path, rule_id) of every file that a rule's globs match. Many rules meet
+    the distinct paths, not the files."""
+    if len(rules) <= LITERAL_RULES:
+        return files.select("change_set", "path", F.explode(_matching(F.col("path"), rules, globs)).alias("rule_id"))
+    table = scope_table(files.sparkSession, rules, globs)
+    fits = F.expr("startswith(path, prefix) and path rlike rx and not coalesce(path rlike no, false)")
+    return files.join(files.select("path").distinct().join(table, fits).select("path", "rule_id"), "path").select("change_set", "path", "rule_id")
 
 
 def in_scope(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -54,49 +86,91 @@ def from_files(files: DataFrame, rules: list[Rule]) -> DataFrame:
     return file_rules(files, [r for r in rules if r.frm], lambda r: r.frm)
 
 
-def evidence(hunks: DataFrame, rules: list[Rule], token: str = X.TOKEN) -> DataFrame:
-    """(change_set, rule_id, path, to_ord, line_no, excerpt, reason), a row for each
-    added line, rule and forbidden module that is not suppressed."""
-    from .diffs import added_lines
+def _hits(line: Column, path: Column, previous: Column, rules: list[Rule], token: str) -> Column:
+    """array<HIT>: a hit for each rule and forbidden module of a line that is not suppressed."""
+
+    def of(modules: Column) -> Column:
+        hits = []
+        for r in rules:
+            if not r.frm or not r.to:
+                continue
+            where = Globs.of(list(r.frm)).matches(path) & ~X.suppressed_here(line, r.id, token) & ~X.suppressed_next(previous, r.id, token)
+            for i, module in enumerate(r.to):
+                there = X.imports(line, module) if "'" in module or '"' in module else F.array_contains(modules, module)
+                hits.append(F.when(there & where, F.struct(F.lit(r.id).alias("rule_id"), F.lit(i).alias("to_ord"), F.lit(reason(r, module)).alias("reason"))))
+        return F.array_compact(F.array(*(hits or [F.lit(None).cast(HIT)])))
+
+    return F.transform(F.array(X.imported(line)), of).getItem(0)
 
-    line, path, prev = F.col("line"), F.col("path"), F.col("previous")
-    hits = []
-    for r in rules:
-        if not r.frm or not r.to:
-            continue
-        where = Globs.of(list(r.frm)).matches(path) & ~X.suppressed_here(line, r.id, token) & ~X.suppressed_next(prev, r.id, token)
-        for i, module in enumerate(r.to):
-            reason = f"Import of '{module}' is not allowed from {','.join(r.frm)}"
-            hits.append(F.when(X.imports(line, module) & where, F.struct(F.lit(r.id).alias("rule_id"), F.lit(i).alias("to_ord"), F.lit(reason).alias("reason"))))
-    if not hits:
-        hits = [F.lit(None).cast("struct<rule_id:string,to_ord:int,reason:string>")]
-    # A necessary condition, after the window so that it sees every added line.
-    likely = added_lines(hunks).where(line.contains("import") | line.contains("require"))
-    found = likely.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    return found.select("change_set", "hit.rule_id", "path", "hit.to_ord", "line_no", F.substring(line, 1, 300).alias("excerpt"), "hit.reason")
-
-
-def by_join(hunks: DataFrame, rules: DataFrame, token: str = X.TOKEN) -> DataFrame:
-    """The same for any number of rules: rows (rule_id, from_rx, module, module_rx)."""
-    from .diffs import added_lines
-
-    likely = added_lines(hunks).where(F.col("line").contains("import") | F.col("line").contains("require"))
-    met = likely.join(rules, F.expr("contains(line, module) and path rlike from_rx and line rlike module_rx"))
-    fine = ~X.suppressed_here(F.col("line"), F.col("rule_id"), token) & ~X.suppressed_next(F.col("previous"), F.col("rule_id"), token)
-    return met.where(fine).select("change_set", "rule_id", "path", "module", "line_no", F.substring("line", 1, 300).alias("excerpt"))
 
+def _likely(line: Column) -> Column:
+    return line.contains("import") | line.contains("require")
 
-def verdicts(candidates: DataFrame, found: DataFrame, rules: list[Rule]) -> DataFrame:
+
+def evidence(files: DataFrame, rules: list[Rule], token: str = X.TOKEN) -> DataFrame:
+    """(change_set, rule_id, path, ord, to_ord, line_no, excerpt, reason) of files with their
+    added lines: a row for each added line, rule and forbidden module that is not suppressed."""
+    added = files.select("change_set", "path", "ord", F.explode(F.filter("added", lambda x: _likely(x["line"]))).alias("x"))
+    added = added.select("change_set", "path", "ord", "x.*")
+    if len(rules) > LITERAL_RULES:
+        return by_join(added, rule_table(files.sparkSession, rules), token)
+    hit = F.explode(_hits(F.col("line"), F.col("path"), F.col("previous"), rules, token)).alias("hit")
+    found = added.select("change_set", "path", "ord", "line_no", "line", hit)
+    return found.select("change_set", "hit.rule_id", "path", "ord", "hit.to_ord", "line_no", F.substring("line", 1, 300).alias("excerpt"), "hit.reason")
+
+
+def by_join(added: DataFrame, table: DataFrame, token: str = X.TOKEN) -> DataFrame:
+    """The same for any number of rules (``rule_table``), by an equi-join on the module."""
+    one = added.where(_likely(F.col("line"))).withColumn("module", F.explode(F.array_distinct(X.imported(F.col("line")))))
+    met = one.join(table, "module").where(F.expr("path rlike from_in and not coalesce(path rlike from_out, false)"))
+    fine = ~X.suppressed_here(F.col("line"), F.col("rule_id"), token) & ~X.suppressed_next(F.col("previous"), F.col("rule_id"), token)
+    return met.where(fine).select("change_set", "rule_id", "path", "ord", "to_ord", "line_no", F.substring("line", 1, 300).alias("excerpt"), "reason")
+
+
+def _counted(files: DataFrame, rules: list[Rule], token: str) -> DataFrame:
+    """(change_set, path, rule_id, in_scope, hits) of files, in one pass."""
+    hits = F.flatten(F.transform(F.filter("added", lambda x: _likely(x["line"])), lambda x: F.transform(_hits(x["line"], F.col("path"), x["previous"], rules, token), lambda h: F.struct(h["rule_id"].alias("rule_id"), F.col("ord"), h["to_ord"].alias("to_ord"), x["line_no"].alias("line_no"), F.col("path"), F.substring(x["line"], 1, 300).alias("excerpt"), h["reason"].alias("reason")))))
+    d = files.select("change_set", _matching(F.col("path"), rules, lambda r: r.scope).alias("scope"), hits.alias("hits"))
+    d = d.withColumn("rule_id", F.explode(F.array_union("scope", F.transform("hits", lambda h: h["rule_id"]))))
+    return d.select("change_set", "rule_id", F.array_contains("scope", F.col("rule_id")).alias("in_scope"), F.filter("hits", lambda h: h["rule_id"] == F.col("rule_id")).alias("hits"))
+
+
+def check(files: DataFrame, rules: list[Rule], token: str = X.TOKEN, items: bool = True) -> DataFrame:
+    """(change_set, rule_id, n_evidence, evidence) of active rules with a file in scope, from
+    files with their added lines. Evidence is in first-seen order of files, then by module
+    and line. Without ``items`` only counts are moved."""
+    rules = active(rules)
+    kind = "array<struct<file:string,line:double,excerpt:string,reason:string>>"
+    if len(rules) > LITERAL_RULES:
+        found = evidence(files, rules, token)
+        item = F.struct("ord", "to_ord", "line_no", "path", "excerpt", "reason")
+        lists = found.groupBy("change_set", "rule_id").agg(F.sort_array(F.collect_list(item)).alias("hits"))
+        d = in_scope(files, rules).join(lists, ["change_set", "rule_id"], "left")
+        d = d.withColumn("n_evidence", F.coalesce(F.size("hits"), F.lit(0)).cast("long"))
+    else:
+        d = _counted(files, rules, token).withColumn("n", F.size("hits"))
+        hits = [F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits")] if items else []
+        d = d.groupBy("change_set", "rule_id").agg(F.bool_or("in_scope").alias("in_scope"), F.sum("n").alias("n_evidence"), *hits).where("in_scope")
+    if not items:
+        return d.select("change_set", "rule_id", "n_evidence")
+    rows = F.transform(F.coalesce("hits", F.array().cast(d.schema["hits"].dataType)), lambda h: F.struct(h["path"].alias("file"), F.lit(None).cast("double").alias("line"), h["excerpt"].alias("excerpt"), h["reason"].alias("reason")))
+    return d.select("change_set", "rule_id", "n_evidence", rows.cast(kind).alias("evidence"))
+
+
+def per_rule(rules: list[Rule], value) -> Column:
+    """A literal for each rule id; null for others."""
+    pairs = [F.lit(x) for r in rules for x in (r.id, value(r))]
+    return F.try_element_at(F.create_map(*pairs), F.col("rule_id")) if pairs else F.lit(None).cast("string")
+
+
+def verdicts(checked: DataFrame, rules: list[Rule], commit: str = "unknown") -> DataFrame:
     """A verdict per candidate: violation (0.95) with evidence, else pass (1)."""
-    n = found.groupBy("change_set", "rule_id").agg(F.count("*").alias("n"))
-    hint = {r.id: f"Remove imports of {', '.join(r.to)} from {', '.join(r.frm or ())}" for r in rules}
-    hints = F.coalesce(*[F.when(F.col("rule_id") == k, F.lit(v)) for k, v in hint.items()], F.lit(None).cast("string"))
-    d = candidates.join(n, ["change_set", "rule_id"], "left").withColumn("n_evidence", F.coalesce("n", F.lit(0)))
     bad = F.col("n_evidence") > 0
-    return d.select("change_set", "rule_id", F.when(bad, "violation").otherwise("pass").alias("status"), F.when(bad, F.lit(0.95)).otherwise(F.lit(1.0)).alias("confidence"), "n_evidence", F.when(bad, hints).alias("suggestion"), F.lit("deterministic").alias("engine"))
+    more = [c for c in ("evidence",) if c in checked.columns]
+    return checked.select("change_set", "rule_id", F.when(bad, "violation").otherwise("pass").alias("status"), F.when(bad, F.lit(0.95)).otherwise(F.lit(1.0)).alias("confidence"), "n_evidence", *more, F.when(bad, per_rule(rules, suggestion)).alias("suggestion"), F.lit(commit).alias("checked_at_commit"), F.lit("deterministic").alias("engine"))
 
 
 def grouped_evidence(found: DataFrame) -> DataFrame:
-    """Evidence as one ordered list: by file, module and line."""
-    item = F.struct("path", "to_ord", "line_no", "excerpt")
+    """Evidence as one ordered list: files in first-seen order, then by module and line."""
+    item = F.struct("ord", "to_ord", "line_no", "excerpt")
     return found.groupBy("change_set", "rule_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(item)), lambda x: x["excerpt"])).alias("excerpts"), F.count("*").alias("n"))

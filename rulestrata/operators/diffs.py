@@ -1,15 +1,26 @@
-"""Unified diffs as tables: changed files and hunk lines.
+"""Unified diffs as tables: sections of files, changed files, hunk lines, added lines.
 
-The parser's one state - the current file - is a forward fill over a change set's lines,
-so a change set is the unit of parallelism; both windows share one hash partitioning."""
+A text is parsed inside its row: the places of its header lines cut it into sections of one
+file, which are exploded, so no line is shuffled or sorted. What the parser carries from
+line to line - the current file - is the section's path; what the suppression check carries
+from section to section of a file that comes twice - the last added line - is looked up
+among the row's sections. Texts have one row per change set; parts of a larger diff, cut
+where a file begins (``sources.git.diff_parts``), may be rows of their own with an
+orderable column ``at``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _DOT = r"[^\r\n\u2028\u2029]"
 HEADER = rf"^(?:diff --git a/{_DOT}+ b/|\+\+\+ b/)({_DOT}+)\z"
+_ADDED = "array<struct<no:int,line:string>>"
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.transform(F.array(value), then).getItem(0)
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -17,48 +28,143 @@ def lines(texts: DataFrame) -> DataFrame:
     return texts.select("change_set", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def joined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Staged and unstaged texts of change sets as one text: the first's lines come first."""
+    a, b = first.withColumnRenamed("text", "_a"), second.withColumnRenamed("text", "_b")
+    return a.join(b, "change_set", "full_outer").select("change_set", F.concat_ws("\n", "_a", "_b").alias("text"))
+
+
 def parts(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Staged and unstaged texts of change sets as one: the first's lines come first."""
-    both = lines(first).withColumn("part", F.lit(0)).unionByName(lines(second).withColumn("part", F.lit(1)))
-    at = Window.partitionBy("change_set").orderBy("part", "line_no")
-    return both.select("change_set", (F.row_number().over(at) - 1).alias("line_no"), "line")
+    return lines(joined(first, second))
 
 
-def attributed(diff_lines: DataFrame) -> DataFrame:
-    """Adds ``header`` (path of a header line, else null) and ``path`` (the current file)."""
-    header = F.when(F.col("line").rlike(HEADER), F.regexp_extract("line", HEADER, 1))
-    filled = Window.partitionBy("change_set").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return diff_lines.withColumn("header", header).withColumn("path", F.last("header", ignorenulls=True).over(filled))
+def _header(line: Column) -> Column:
+    maybe = line.startswith("diff --git a/") | line.startswith("+++ b/")
+    return F.when(maybe & line.rlike(HEADER), F.regexp_extract(line, HEADER, 1))
+
+
+def _is_hunk(line: Column) -> Column:
+    return line.startswith("+") | line.startswith("-") | line.startswith("@@")
+
+
+def _sections(text: Column) -> Column:
+    """array<struct<path, no, lines: array<struct<no, line>>>>: runs of lines of one file, the
+    header lines left out; only added, removed and @@ lines."""
+
+    def of(all_lines: Column) -> Column:
+        heads = F.filter(F.transform(all_lines, lambda x, i: F.struct(_header(x).alias("path"), i.alias("no"))), lambda h: h["path"].isNotNull())
+
+        def cut(h: Column) -> Column:
+            def section(s: Column, k: Column) -> Column:
+                size = F.coalesce(F.get(h, k + 1)["no"], F.size(all_lines)) - s["no"]
+                body = F.transform(F.slice(all_lines, s["no"] + 1, size), lambda x, i: F.struct((s["no"] + i).alias("no"), x.alias("line")))
+                kept = F.filter(body, lambda x: _is_hunk(x["line"]) & (x["no"] > s["no"]))
+                return F.struct(s["path"].alias("path"), s["no"].alias("no"), kept.alias("lines"))
+
+            return F.transform(h, section)
+
+        return let(heads, cut)
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def _place(texts: DataFrame) -> list[Column]:
+    return [F.col(c) for c in ("change_set", "at") if c in texts.columns]
+
+
+def _number(texts: DataFrame, no: Column) -> Column:
+    return F.struct(F.col("at"), no.alias("no")) if "at" in texts.columns else no
 
 
-def changed_files(diff_lines: DataFrame) -> DataFrame:
-    """(change_set, path, ord): distinct files in first-seen order. Needs no fill."""
-    header = F.when(F.col("line").rlike(HEADER), F.regexp_extract("line", HEADER, 1))
-    return diff_lines.withColumn("path", header).where("path is not null").groupBy("change_set", "path").agg(F.min("line_no").alias("ord"))
+def sections(texts: DataFrame) -> DataFrame:
+    """(change_set, path, ord, lines): a row per header line, with the lines after it."""
+    d = texts.select(*_place(texts), F.explode(_sections(F.col("text"))).alias("s"))
+    return d.select("change_set", F.col("s.path").alias("path"), _number(texts, F.col("s.no")).alias("ord"), F.col("s.lines").alias("lines"), *([F.col("at")] if "at" in texts.columns else []))
 
 
-def hunk_lines(diff_lines: DataFrame) -> DataFrame:
+def changed_files(texts: DataFrame) -> DataFrame:
+    """(change_set, path, ord): distinct files in first-seen order."""
+    heads = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(_header(x).alias("path"), i.alias("no"))), lambda h: h["path"].isNotNull())
+    d = texts.select(*_place(texts), F.explode(heads).alias("h"))
+    return d.select("change_set", F.col("h.path").alias("path"), _number(texts, F.col("h.no")).alias("ord")).groupBy("change_set", "path").agg(F.min("ord").alias("ord"))
+
+
+def hunk_lines(texts: DataFrame) -> DataFrame:
     """(change_set, path, line_no, line): added, removed and @@ lines of a file."""
-    line = F.col("line")
-    kept = line.startswith("+") | line.startswith("-") | line.startswith("@@")
-    return attributed(diff_lines).where(F.col("header").isNull() & F.col("path").isNotNull() & kept).select("change_set", "path", "line_no", "line")
+    d = sections(texts).select("*", F.explode("lines").alias("l"))
+    return d.select("change_set", "path", _number(texts, F.col("l.no")).alias("line_no"), F.col("l.line").alias("line"))
+
+
+def _by_path(all_sections: Column) -> Column:
+    """Sections by path, then place, with ``first`` (the file's first place), ``added`` and
+    ``carry`` (the last added line of the same file's sections before)."""
+    added = F.transform(all_sections, lambda s: F.struct(s["path"].alias("path"), s["no"].alias("no"), F.filter(s["lines"], lambda x: x["line"].startswith("+")).alias("added")))
+
+    def of(s: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            again = F.coalesce(F.get(s, k - 1)["path"] == x["path"], F.lit(False))
+            before = F.filter(s, lambda y: (y["path"] == x["path"]) & (y["no"] < x["no"]))
+            lines_before = F.flatten(F.transform(before, lambda y: y["added"]))
+            first = F.when(again, F.array_min(F.transform(before, lambda y: y["no"]))).otherwise(x["no"])
+            carry = F.when(again, F.get(lines_before, F.size(lines_before) - 1)["line"])
+            return F.struct(x["path"].alias("path"), first.alias("first"), x["added"].alias("added"), carry.alias("carry"), again.alias("again"))
+
+        return F.transform(s, one)
+
+    return let(F.array_sort(added), of)
+
+
+def files_added(texts: DataFrame) -> DataFrame:
+    """(change_set, path, ord, added, again): a row per section; ``added`` are its added lines
+    with the added line before, of the same file, across hunks and sections."""
+    d = texts.select(*_place(texts), F.explode(_by_path(_sections(F.col("text")))).alias("s"))
+    prior = lambda i: F.coalesce(F.get(F.col("s.added"), i - 1)["line"], F.col("s.carry"))
+    added = F.transform("s.added", lambda x, i: F.struct(_number(texts, x["no"]).alias("line_no"), x["line"].alias("line"), prior(i).alias("previous")))
+    return d.select("change_set", F.col("s.path").alias("path"), _number(texts, F.col("s.first")).alias("ord"), added.alias("added"), F.col("s.again").alias("again"))
+
 
+def added_lines(texts: DataFrame) -> DataFrame:
+    """(change_set, path, ord, line_no, line, previous)."""
+    return files_added(texts).select("change_set", "path", "ord", F.inline("added"))
 
-def hunk_lists(diff_lines: DataFrame) -> DataFrame:
-    """(change_set, hunks): all hunk lines of a change set, files in first-seen order."""
-    file = Window.partitionBy("change_set", "path")
-    first = F.min(F.when(F.col("header").isNotNull(), F.col("line_no"))).over(file)
-    line = F.col("line")
-    kept = line.startswith("+") | line.startswith("-") | line.startswith("@@")
-    d = attributed(diff_lines).where("path is not null").withColumn("ord", first).where(F.col("header").isNull() & kept)
-    return d.groupBy("change_set").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line_no", "line"))), lambda x: x["line"]).alias("hunks"))
 
+def from_rows(hunks: DataFrame) -> DataFrame:
+    """``files_added`` of hunk lines that are rows (change_set, path, line_no, line): one
+    shuffle of the added lines, none of which is sorted outside its file."""
+    item = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    d = hunks.where(F.col("line").startswith("+")).groupBy("change_set", "path").agg(item.alias("a"))
+    prior = lambda i: F.get(F.col("a"), i - 1)["line"]
+    added = F.transform("a", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), prior(i).alias("previous")))
+    return d.select("change_set", "path", F.get("a", F.lit(0))["line_no"].alias("ord"), added.alias("added"), F.lit(False).alias("again"))
 
-def added_lines(hunks: DataFrame) -> DataFrame:
-    """Added lines with the added line before, of the same file, across hunks."""
-    before = Window.partitionBy("change_set", "path").orderBy("line_no")
-    return hunks.where(F.col("line").startswith("+")).withColumn("previous", F.lag("line").over(before))
+
+def hunk_text(text: Column) -> Column:
+    """All hunk lines of a text, files in first-seen order, joined by line ends; null without any."""
+
+    def of(s: Column) -> Column:
+        paths = F.array_distinct(F.transform(s, lambda x: x["path"]))
+        flat = lambda xs: F.transform(F.flatten(F.transform(xs, lambda x: x["lines"])), lambda x: x["line"])
+        merged = F.flatten(F.transform(paths, lambda p: flat(F.filter(s, lambda x: x["path"] == p))))
+        runs = F.transform(s, lambda x: x["path"])
+        starts = F.filter(runs, lambda p, i: ~F.coalesce(F.get(runs, i - 1) == p, F.lit(False)))  # a file's two headers follow each other
+        every = F.when(F.size(paths) == F.size(starts), flat(s)).otherwise(merged)
+        return let(every, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
+
+    return let(_sections(text), of)
+
+
+def hunk_lists(texts: DataFrame) -> DataFrame:
+    """(change_set, hunks): all hunk lines of a change set as one text."""
+    return texts.select("change_set", hunk_text(F.col("text")).alias("hunks")).where("hunks is not null")
+
+
+def attributed(diff_lines: DataFrame) -> DataFrame:
+    """For lines that are rows already: adds ``header`` (path of a header line, else null) and
+    ``path`` (the current file), by a forward fill."""
+    filled = Window.partitionBy("change_set").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return diff_lines.withColumn("header", _header(F.col("line"))).withColumn("path", F.last("header", ignorenulls=True).over(filled))
 
 
-def is_blank(text) -> F.Column:
+def is_blank(text: Column) -> Column:
+    """Whether nothing is left when all white space of Unicode goes."""
     return F.regexp_replace(text, F.lit(r"(?U)^[\s\uFEFF]+"), F.lit("")) == ""

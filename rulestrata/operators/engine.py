@@ -1,18 +1,23 @@
-"""The decision table over cache, deterministic result and key; lifecycle; summaries."""
+"""The run over change sets: rules in scope, cache, deterministic checks, judges, verdicts;
+the decision table, cache keys, lifecycle and summaries."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import hash32
+from . import deterministic, diffs, judge
 from .deterministic import Rule
 
 ALLOWED = [("proposed", "active"), ("active", "deprecated"), ("proposed", "deprecated")]
 SMALL_BUDGET = 6000
+MODES = {True: "semantic", False: "deterministic-only"}
 
 
 def decide(cached: Column, check: Column, det: Column, has_key: bool, judged: Column | None = None) -> Column:
@@ -28,20 +33,108 @@ def rule_content(rule: Rule) -> str:
 
 
 def cache_key(content: Column, hunks: Column, mode: Column) -> Column:
-    """The compatible key of a rule's content, all hunk lines in order and the mode
+    """The compatible key of a rule's content, all hunk lines joined by line ends and the mode
     (``semantic`` or ``deterministic-only``). Nothing is cut."""
-    lines = F.array_join(F.coalesce(hunks, F.array().cast("array<string>")), "\n")
-    return hash32(F.concat(content, F.lit("|||"), lines, F.lit("|||"), mode))
+    return hash32(F.concat(content, F.lit("|||"), F.coalesce(hunks, F.lit("")), F.lit("|||"), mode))
+
+
+def lookup_key(content: Column, hunks_digest: Column, mode: Column) -> Column:
+    """The key that ``run`` looks up: 256 bits of the same parts, the hunks read once for all rules."""
+    return F.sha2(F.concat_ws("|||", F.sha2(content, 256), hunks_digest, mode), 256)
 
 
 def lookup_cache(candidates: DataFrame, cache: DataFrame) -> DataFrame:
     return candidates.join(cache, "cache_key", "left")
 
 
-def write_cache(verdicts: DataFrame, path: str, cache_failures: bool = False) -> None:
-    """Appends in one batch; failed judge calls only in the compatible mode."""
-    keep = verdicts if cache_failures else verdicts.where("not (status = 'uncertain' and engine = 'semantic')")
-    keep.write.mode("append").parquet(path)
+def write_cache(verdicts: DataFrame, path: str, cache_failures: bool = True) -> None:
+    """Appends the rows of a run that were not cached, in one batch: (cache_key, verdict).
+    Failed judge calls too, unless told otherwise."""
+    new = verdicts.where("not cached") if "cached" in verdicts.columns else verdicts
+    keep = new if cache_failures else new.where("not (status = 'uncertain' and engine = 'semantic')")
+    keep.select(*[c for c in schemas.names(schemas.CACHE) if c in keep.columns]).write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(cache_key, verdict): of rows with one key the same one each time. A cache that does
+    not exist is empty."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schemas.CACHE)
+    value = F.struct(*[c for c in schemas.names(schemas.CACHE) if c != "cache_key"])
+    rows = spark.read.schema(schemas.CACHE).parquet(path)
+    return rows.groupBy("cache_key").agg(F.min(value).alias("v")).select("cache_key", "v.*")
+
+
+@dataclass
+class Result:
+    """``verdicts`` (schemas.VERDICTS, cache_key, cached); ``metrics``: a row per change set
+    with n_files, n_rules, n_candidates, n_skipped, n_cache_hits; ``log``: judge calls."""
+
+    verdicts: DataFrame
+    metrics: DataFrame
+    log: DataFrame | None = None
+
+
+def run(texts: DataFrame, rules: list[Rule], commit: str = "unknown", cache: DataFrame | None = None, ask: Callable | None = None, context: DataFrame | None = None, model: str = "small") -> Result:
+    """Verdicts of all change sets (change_set, text) by all rules. ``ask`` is a judge: with
+    it the mode is that of a key being present. Blank texts have no files, so no verdicts.
+
+    Per candidate rule, the first that applies: the cached verdict as it was written; the
+    deterministic result (a rule without a deterministic block passes); for 'both' its
+    violation; without a judge 'uncertain' with a hint; the judge's answer, 'uncertain' with
+    the reason if the call failed."""
+    spark = texts.sparkSession
+    has_key = ask is not None
+    rules_on = deterministic.active(rules)
+    texts = texts.where(~diffs.is_blank(F.col("text")))
+    files = diffs.files_added(texts)
+    checked = deterministic.check(files, rules_on)
+    det = deterministic.verdicts(checked, rules_on, commit).drop("n_evidence")
+    hunks = diffs.hunk_text(F.col("text"))
+    digests = texts.select("change_set", F.sha2(F.coalesce(hunks, F.lit("")), 256).alias("digest"))
+    d = det.join(digests, "change_set")
+    key = lookup_key(deterministic.per_rule(rules_on, rule_content), F.col("digest"), F.lit(MODES[has_key]))
+    d = d.withColumn("cache_key", key).withColumn("check", deterministic.per_rule(rules_on, lambda r: r.check)).drop("digest")
+    value = [c for c in schemas.names(schemas.VERDICTS) if c not in ("change_set", "rule_id")]
+    if cache is not None:
+        held = cache.select("cache_key", F.struct(*value).alias("_cached"))
+        d = lookup_cache(d, held)
+    else:
+        d = d.withColumn("_cached", F.lit(None).cast("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in d.select(*value).schema) + ">"))
+    own = F.struct(*value)
+    hit = F.col("_cached").isNotNull()
+    settled = (F.col("check") == "deterministic") | ((F.col("check") == "both") & (F.col("status") == "violation"))
+    none = F.array().cast(schemas.EVIDENCE)
+    semantic = lambda status, confidence, ev, hint: F.struct(status.alias("status"), confidence.alias("confidence"), ev.alias("evidence"), hint.alias("suggestion"), F.lit(commit).alias("checked_at_commit"), F.lit("semantic").alias("engine"))
+    log = None
+    if has_key:
+        open_rows = d.where(~hit & ~settled).select("change_set", "rule_id", "cache_key")
+        prompts = judge.prompts(open_rows, texts, rules_on, context)
+        answers = judge.check(prompts, ask, model)
+        answered = answers.select("change_set", "rule_id", semantic(F.col("status"), F.col("confidence"), F.col("evidence"), F.col("suggestion")).alias("_judged"))
+        d = d.join(answered, ["change_set", "rule_id"], "left")
+        log = judge.log_rows(answers)
+        last = F.col("_judged")
+    else:
+        last = semantic(F.lit("uncertain"), F.lit(0.0), none, F.lit(judge.HINT))
+    verdict = F.when(hit, F.col("_cached")).when(settled, own).otherwise(last)
+    out = d.select("change_set", "rule_id", verdict.alias("v"), "cache_key", hit.alias("cached"))
+    out = out.select("change_set", "rule_id", *[F.col(f"v.{c}").alias(c) for c in value], "cache_key", "cached")
+    n_files = diffs.changed_files(texts).groupBy("change_set").agg(F.count("*").alias("n_files"))
+    per = out.groupBy("change_set").agg(F.count("*").alias("n_candidates"), F.count_if("cached").alias("n_cache_hits"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    m = texts.select("change_set").join(n_files, "change_set", "left").join(per, "change_set", "left")
+    metrics = m.select("change_set", zero("n_files"), F.lit(len(rules)).cast("long").alias("n_rules"), zero("n_candidates"), (F.lit(len(rules)) - F.coalesce("n_candidates", F.lit(0))).cast("long").alias("n_skipped"), zero("n_cache_hits"))
+    return Result(out, metrics, log)
+
+
+def skipped(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(change_set, rule_id): rules of any status that are no candidates of a change set."""
+    sets = files.select("change_set").distinct()
+    every = sets.select("change_set", F.explode(F.array(*[F.lit(r.id) for r in rules])).alias("rule_id"))
+    return every.join(deterministic.in_scope(files, rules), ["change_set", "rule_id"], "left_anti")
 
 
 def summary(verdicts: DataFrame, *keys: str) -> DataFrame:

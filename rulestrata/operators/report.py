@@ -16,13 +16,14 @@ def _icon(i: int) -> Column:
     return F.coalesce(*[F.when(F.col("status") == k, F.lit(v[i])) for k, v in _ICONS.items()], F.lit("?"))
 
 
-def _with_evidence(verdicts: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds ``evidence``, by file, module and line, and ``has_hint``."""
-    item = F.struct("path", "to_ord", "line_no", "excerpt", "reason")
-    lists = found.groupBy("change_set", "rule_id").agg(F.sort_array(F.collect_list(item)).alias("evidence"))
-    none = F.array().cast(lists.schema["evidence"].dataType)
-    d = verdicts.join(lists, ["change_set", "rule_id"], "left").withColumn("evidence", F.coalesce("evidence", none))
-    return d.withColumn("has_hint", F.coalesce(F.col("suggestion") != "", F.lit(False)))
+def _place(e: Column) -> Column:
+    """A file, with its line where there is one."""
+    line = F.when(e["line"] == F.floor(e["line"]), e["line"].cast("bigint").cast("string")).otherwise(e["line"].cast("string"))
+    return F.concat(e["file"], F.when(F.coalesce(e["line"], F.lit(0.0)) != 0, F.concat(F.lit(":"), line)).otherwise(""))
+
+
+def _has_hint() -> Column:
+    return F.coalesce(F.col("suggestion") != "", F.lit(False))
 
 
 def _lines(*lines: Column | str) -> Column:
@@ -36,25 +37,26 @@ def _per_set(sets: DataFrame, verdicts: DataFrame, *columns: Column) -> DataFram
     return sets.select("change_set").distinct().join(d.groupBy("change_set").agg(F.sort_array(F.collect_list("v")).alias("v"), *counts), "change_set", "left")
 
 
-def terminal(sets: DataFrame, verdicts: DataFrame, found: DataFrame) -> DataFrame:
+def terminal(sets: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(change_set, report): a line per verdict, its evidence and suggestion, a summary."""
     head = F.concat(_icon(0), F.lit(" ["), "rule_id", F.lit("] "), F.upper("status"), F.lit(" (confidence: "), percent(F.col("confidence")).cast("string"), F.lit("%, engine: "), "engine", F.lit(")"))
-    shown = F.flatten(F.transform("evidence", lambda e: F.array(*[F.concat(F.lit("    "), e[x]) for x in ("path", "excerpt", "reason")])))
-    hint = F.when(F.col("has_hint"), F.array(F.concat(F.lit("    💡 "), "suggestion"))).otherwise(F.array().cast("array<string>"))
-    d = _per_set(sets, _with_evidence(verdicts, found), F.concat(F.array(head), shown, hint).alias("lines"))
+    shown = F.flatten(F.transform("evidence", lambda e: F.array(*[F.concat(F.lit("    "), x) for x in (_place(e), e["excerpt"], e["reason"])])))
+    hint = F.when(_has_hint(), F.array(F.concat(F.lit("    💡 "), "suggestion"))).otherwise(F.array().cast("array<string>"))
+    d = _per_set(sets, verdicts, F.concat(F.array(head), shown, hint).alias("lines"))
     summary = F.concat(F.lit("Summary: "), "n_pass", F.lit(" pass · "), "n_violation", F.lit(" violation · "), "n_uncertain", F.lit(" uncertain"))
     text = F.array_join(F.concat(F.flatten(F.transform("v", lambda v: v["lines"])), _lines("", summary)), "\n")
     return d.select("change_set", F.coalesce(text, F.lit("✓ No rules in scope — nothing to check")).alias("report"))
 
 
-def markdown(sets: DataFrame, verdicts: DataFrame, found: DataFrame, ref: str) -> DataFrame:
+def markdown(sets: DataFrame, verdicts: DataFrame, ref: str) -> DataFrame:
     """(change_set, report): a table of all verdicts, details of violations, counts."""
     row = F.concat(F.lit("| `"), "rule_id", F.lit("` | "), _icon(1), F.lit(" "), "status", F.lit(" | "), "engine", F.lit(" | "), percent(F.col("confidence")).cast("string"), F.lit("% |"))
-    one = lambda e: _lines(F.concat(F.lit("**"), e["path"], F.lit("**")), "", "```", e["excerpt"], "```", "", F.concat(F.lit("> "), e["reason"]), "")
+    place = lambda e: F.concat(F.lit("**"), e["file"], F.lit("**"), F.substring(_place(e), F.length(e["file"]) + 1, F.length(_place(e))))
+    one = lambda e: _lines(place(e), "", "```", e["excerpt"], "```", "", F.concat(F.lit("> "), e["reason"]), "")
     none = F.array().cast("array<string>")
-    hint = F.when(F.col("has_hint"), _lines(F.concat(F.lit("💡 **Suggestion:** "), "suggestion"), "")).otherwise(none)
+    hint = F.when(_has_hint(), _lines(F.concat(F.lit("💡 **Suggestion:** "), "suggestion"), "")).otherwise(none)
     details = F.concat(_lines(F.concat(F.lit("#### `"), "rule_id", F.lit("`")), ""), F.flatten(F.transform("evidence", one)), hint)
-    d = _per_set(sets, _with_evidence(verdicts, found), row.alias("row"), F.when(F.col("status") == "violation", details).otherwise(none).alias("details"))
+    d = _per_set(sets, verdicts, row.alias("row"), F.when(F.col("status") == "violation", details).otherwise(none).alias("details"))
     title = _lines("## Drift Report", "", f"> Checked at commit: `{ref}`", "")
     more = F.flatten(F.transform("v", lambda v: v["details"]))
     shown = F.when(F.size(more) > 0, F.concat(_lines("", "### Violations", ""), more)).otherwise(none)
@@ -64,21 +66,66 @@ def markdown(sets: DataFrame, verdicts: DataFrame, found: DataFrame, ref: str) -
     return d.select("change_set", F.array_join(F.coalesce(full, F.concat(title, _lines("✅ No rules in scope for this diff."))), "\n").alias("report"))
 
 
+def outputs(reports: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(change_set, report, violations): what a CI run hands on; the count is a text."""
+    n = verdicts.groupBy("change_set").agg(F.count_if(F.col("status") == "violation").alias("n"))
+    return reports.join(n, "change_set", "left").select("change_set", "report", F.coalesce("n", F.lit(0)).cast("string").alias("violations"))
+
+
+def write_text(df: DataFrame, column: str, path: str) -> None:
+    """The one text of a one-row table, as a file."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(df.first()[column].encode()))
+    out.close()
+
+
 def report_rows(verdicts: DataFrame) -> DataFrame:
     line = F.format_string("%s [%s] %s%%", F.upper("status"), F.col("rule_id"), percent(F.col("confidence")).cast("string"))
     return verdicts.select("change_set", "rule_id", line.alias("line"))
 
 
+#: Statuses in the order of the index, with their headings and how a link is set.
+SECTIONS = [("active", "Active", "**", "**"), ("proposed", "Proposed", "", ""), ("deprecated", "Deprecated", "~~", "~~")]
+
+
 def index_sections(rules: DataFrame) -> DataFrame:
-    """(rank, section, body): rules of a status, by id, in the status's style."""
-    style = F.when(F.col("status") == "active", F.concat(F.lit("- **"), "id", F.lit("**: "), "title")).when(F.col("status") == "deprecated", F.concat(F.lit("- ~~"), "id", F.lit("~~: "), "title")).otherwise(F.concat(F.lit("- "), "id", F.lit(": "), "title"))
-    rank = F.when(F.col("status") == "active", 1).when(F.col("status") == "proposed", 2).otherwise(3)
-    d = rules.select(rank.alias("rank"), F.initcap("status").alias("section"), F.struct("id", style.alias("row")).alias("r"))
+    """(rank, section, body, n): the list items of the rules of a status, by id."""
+    known = [F.when(F.col("status") == s, F.struct(F.lit(i + 1).alias("rank"), F.lit(h).alias("section"), F.lit(a).alias("a"), F.lit(z).alias("z"))) for i, (s, h, a, z) in enumerate(SECTIONS)]
+    d = rules.withColumn("_s", F.coalesce(*known)).where("_s is not null")
+    row = F.concat(F.lit("- "), "_s.a", F.lit("["), "id", F.lit("]("), "id", F.lit(".md)"), "_s.z", F.lit(" — "), "title")
+    d = d.select("_s.rank", "_s.section", F.struct("id", row.alias("row")).alias("r"))
     return d.groupBy("rank", "section").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("r")), lambda x: x["row"])).alias("body"), F.count("*").alias("n"))
 
 
+def index(rules: DataFrame) -> DataFrame:
+    """One row (body): the index file, empty sections left out, with a line for the total."""
+    block = F.concat(F.lit("## "), "section", F.lit("\n\n"), "body", F.lit("\n\n"))
+    d = index_sections(rules).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "").alias("all"))
+    head = F.lit("# Intent Index\n\n_Generated by `rulestrata compile` — do not edit manually._\n\n")
+    total = rules.agg(F.count("*").alias("n"))
+    return d.crossJoin(total).select(F.concat(head, "all", F.lit("_Total: "), F.col("n").cast("string"), F.lit(" intent(s)_")).alias("body"))  # two single rows
+
+
 def manifest(rules: DataFrame) -> DataFrame:
-    return rules.select("id", "title", "status", "check", F.coalesce(F.size("scope"), F.lit(0)).alias("scope_count"), F.coalesce("anchor_count", F.lit(0)).alias("anchor_count"))
+    """A row per rule: id, title, status, check, scope, filePath, anchorCount."""
+    return rules.select("id", "title", "status", "check", "scope", F.col("file_path").alias("filePath"), F.greatest(F.lit(0), F.coalesce(F.size("anchors"), F.lit(0))).alias("anchorCount"))
+
+
+def manifest_json(rules: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """One row (body): generatedAt, intentCount and the entries by id, as JSON."""
+    entry = F.struct("id", "title", "status", "check", "scope", "filePath", "anchorCount")
+    at = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    d = manifest(rules).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return d.select(F.to_json(F.struct(at.alias("generatedAt"), F.col("n").alias("intentCount"), "entries")).alias("body"))
+
+
+def health(rules: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: rules of each status, all rules, errors."""
+    counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s, *_ in SECTIONS]
+    return rules.agg(F.count("*").alias("total"), *counts).crossJoin(errors.agg(F.count("*").alias("n_errors")))  # two single rows
 
 
 def upserts(reports: DataFrame, comments: DataFrame, key: str, marker: str) -> DataFrame:

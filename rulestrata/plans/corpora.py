@@ -9,11 +9,11 @@ from ..operators import diffs
 from ..operators.deterministic import Rule
 
 RULES = [
-    Rule("no-lodash", ("src/**",), "deterministic", ("src/**",), ("lodash",), "active", "No lodash", "Use the standard library", 2),
-    Rule("no-moment", ("src/en/**",), "both", ("src/en/**",), ("moment",), "active", "No moment", "Use Temporal", 0),
-    Rule("layering", ("lib/**",), "semantic", None, (), "active", "Layers", "Keep layers apart", 1),
-    Rule("old-rule", ("src/**",), "deterministic", ("src/**",), ("jquery",), "deprecated", "No jQuery", "Gone", 0),
-    Rule("new-rule", ("src/fr/**", "src/de/**"), "semantic", None, (), "proposed", "Naming", "Name things well", 0),
+    Rule("no-lodash", ("src/**",), "deterministic", ("src/**",), ("lodash",), "active", "No lodash", "Use the standard library", (("path", "src"), ("symbol", "map"))),
+    Rule("no-moment", ("src/en/**",), "both", ("src/en/**",), ("moment",), "active", "No moment", "Use Temporal"),
+    Rule("layering", ("lib/**",), "semantic", None, (), "active", "Layers", "Keep layers apart", (("path", "lib"),)),
+    Rule("old-rule", ("src/**",), "deterministic", ("src/**",), ("jquery",), "deprecated", "No jQuery", "Gone"),
+    Rule("new-rule", ("src/fr/**", "src/de/**"), "semantic", None, (), "proposed", "Naming", "Name things well"),
 ]
 BRANDS = [Rule(f"no-brand-{n}", ("pkg/**",), "deterministic", (f"pkg/{folder}/**",), (f"Brand#{n}",)) for n, folder in ((12, "*"), (34, "*"), (45, "*"), (23, "*"))]
 
@@ -40,18 +40,24 @@ def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.cast("string").alias("change_set"), text.alias("text"))
 
 
-def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.lines(diff_texts(spark, sf_dir))
+def one_diff(spark: SparkSession, sf_dir: str, n_files: int, path: str) -> None:
+    """Writes one diff of ``n_files`` files, the documents' in turn, as one .diff file."""
+    d = diff_texts(spark, sf_dir).orderBy(F.col("change_set").cast("bigint")).limit(n_files)
+    rows = [r.text for r in d.toLocalIterator()]
+    again = [t.replace(".ts", f"_{i}.ts", 2) for i, t in enumerate(rows * (n_files // max(1, len(rows)) + 1))][: n_files - len(rows)]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(rows + again) + "\n")
 
 
 def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hunk lines: a change set per order, a file per part, an import of its brand."""
+    """Files with added lines: a change set per order, a file per part, an import of its brand."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     d = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     path = F.concat(F.lit("pkg/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".ts"))
     at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    return d.select(F.col("l_orderkey").alias("change_set"), path.alias("path"), at.alias("line_no"), F.concat(F.lit("+import x from '"), "p_brand", F.lit("'")).alias("line"))
+    hunks = d.select(F.col("l_orderkey").alias("change_set"), path.alias("path"), at.alias("line_no"), F.concat(F.lit("+import x from '"), "p_brand", F.lit("'")).alias("line"))
+    return diffs.from_rows(hunks)
 
 
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:

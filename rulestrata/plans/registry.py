@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as X
 from ..operators import context, deterministic, diffs, engine, judge, report
 from ..sources.rules import error_columns
@@ -50,20 +51,24 @@ _ACTIVE = deterministic.active(C.RULES)
 
 
 def _hunks(spark, d):
-    return diffs.hunk_lines(C.diff_lines(spark, d))
+    return diffs.hunk_lines(C.diff_texts(spark, d))
 
 
 def _files(spark, d):
-    return diffs.changed_files(C.diff_lines(spark, d))
+    return diffs.changed_files(C.diff_texts(spark, d))
+
+
+def _added(spark, d):
+    return diffs.added_lines(C.diff_texts(spark, d))
 
 
 def _evidence(spark, d):
-    return deterministic.evidence(_hunks(spark, d), _ACTIVE)
+    return deterministic.evidence(diffs.files_added(C.diff_texts(spark, d)), _ACTIVE)
 
 
 def _rules(spark) -> DataFrame:
-    rows = [(f"rules/{r.id}.md", r.id, r.title, r.status, r.check, list(r.scope), r.anchors) for r in C.RULES]
-    return spark.createDataFrame(rows, "file_path string, id string, title string, status string, check string, scope array<string>, anchor_count int")
+    rows = [(f"rules/{r.id}.md", r.id, r.title, r.status, r.check, list(r.scope), list(r.anchors)) for r in C.RULES]
+    return spark.createDataFrame(rows, "file_path string, id string, title string, status string, check string, scope array<string>, anchors array<struct<type:string,value:string>>")
 
 
 @query(PRE + "SELECT change_set, path, CAST(ord AS INT) AS ord FROM files")
@@ -89,9 +94,7 @@ def scope_candidates(spark, d):
 
 @query(PRE + "SELECT f.change_set, r.id AS rule_id FROM (SELECT DISTINCT change_set FROM files) f, rules r WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.change_set = f.change_set AND c.rule_id = r.id)")
 def scope_skipped(spark, d):
-    sets = _files(spark, d).select("change_set").distinct()
-    every = sets.select("change_set", F.explode(F.array(*[F.lit(r.id) for r in C.RULES])).alias("rule_id"))
-    return every.join(deterministic.in_scope(_files(spark, d), C.RULES), ["change_set", "rule_id"], "left_anti")
+    return engine.skipped(_files(spark, d), C.RULES)
 
 
 @query(PRE + "SELECT DISTINCT change_set, path, id AS rule_id FROM files JOIN rules ON from_rx IS NOT NULL AND regexp_matches(path, from_rx) WHERE status = 'active'")
@@ -101,7 +104,7 @@ def from_match(spark, d):
 
 @query(PRE + "SELECT change_set, path, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM added GROUP BY 1, 2")
 def added_lines(spark, d):
-    return diffs.added_lines(_hunks(spark, d)).groupBy("change_set", "path").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    return _added(spark, d).groupBy("change_set", "path").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
 _PR = r"""
@@ -119,8 +122,7 @@ def import_hits(spark, d):
 
 @query(_PR + "SELECT change_set, rule_id, 'violation' AS status, count(*) AS n_evidence FROM hit GROUP BY 1, 2")
 def pr_drift(spark, d):
-    found = deterministic.evidence(C.pull_requests(spark, d), C.BRANDS)
-    return found.groupBy("change_set", "rule_id").agg(F.count("*").alias("n_evidence")).withColumn("status", F.lit("violation"))
+    return _pr_verdicts(spark, d).where("status = 'violation'").select("change_set", "rule_id", "status", "n_evidence")
 
 
 @query(_PR + "SELECT rule_id, count(*) FILTER (n = 0) AS n_pass, count(*) FILTER (n > 0) AS n_violation, CAST(0 AS BIGINT) AS n_uncertain, count(*) AS total FROM (SELECT c.change_set, c.rule_id, count(h.path) AS n FROM (SELECT DISTINCT change_set, 'no-brand-' || n AS rule_id FROM pr, b) c LEFT JOIN hit h USING (change_set, rule_id) GROUP BY 1, 2) GROUP BY 1")
@@ -129,8 +131,7 @@ def verdict_summary(spark, d):
 
 
 def _pr_verdicts(spark, d):
-    hunks = C.pull_requests(spark, d)
-    return deterministic.verdicts(deterministic.in_scope(hunks, C.BRANDS), deterministic.evidence(hunks, C.BRANDS), C.BRANDS)
+    return deterministic.verdicts(deterministic.check(C.pull_requests(spark, d), C.BRANDS, items=False), C.BRANDS)
 
 
 @query(_PR + "SELECT c.change_set, coalesce(bool_or(h.path IS NOT NULL), false) AS fails FROM (SELECT DISTINCT change_set FROM pr) c LEFT JOIN hit h USING (change_set) GROUP BY 1")
@@ -140,41 +141,42 @@ def strict_gate(spark, d):
 
 @query(PRE + "SELECT change_set, line_no, contains(line, 'rule-disable-line') AND regexp_extract(line, 'rule-disable-line(?:\\s+(\\S+))?', 1) IN ('', 'no-moment') AS dropped FROM added WHERE contains(line, 'moment')")
 def suppress_inline(spark, d):
-    a = diffs.added_lines(_hunks(spark, d)).where(F.col("line").contains("moment"))
+    a = _added(spark, d).where(F.col("line").contains("moment"))
     return a.select("change_set", "line_no", X.suppressed_here(F.col("line"), "no-moment").alias("dropped"))
 
 
 @query(PRE + "SELECT change_set, line_no, coalesce(contains(prev, 'rule-disable-next-line') AND regexp_extract(prev, 'rule-disable-next-line(?:\\s+(\\S+))?', 1) IN ('', 'no-lodash'), false) AS dropped FROM added WHERE contains(line, 'lodash')")
 def suppress_next_line(spark, d):
-    a = diffs.added_lines(_hunks(spark, d)).where(F.col("line").contains("lodash"))
+    a = _added(spark, d).where(F.col("line").contains("lodash"))
     return a.select("change_set", "line_no", X.suppressed_next(F.col("previous"), "no-lodash").alias("dropped"))
 
 
-@query(PRE + "SELECT change_set, rule_id, path, line_no, excerpt FROM ev")
+@query(PRE + "SELECT e.change_set, e.rule_id, e.path, e.line_no, e.excerpt, 'Import of ' || chr(39) || r.module || chr(39) || ' is not allowed from ' || CASE r.id WHEN 'no-lodash' THEN 'src/**' ELSE 'src/en/**' END AS reason FROM ev e JOIN rules r ON r.id = e.rule_id")
 def evidence_rows(spark, d):
-    return _evidence(spark, d).select("change_set", "rule_id", "path", "line_no", "excerpt")
+    return _evidence(spark, d).select("change_set", "rule_id", "path", "line_no", "excerpt", "reason")
 
 
-@query(PRE + "SELECT change_set, rule_id, string_agg(excerpt, chr(10) ORDER BY path, line_no) AS excerpts, count(*) AS n FROM ev GROUP BY 1, 2")
+@query(PRE + "SELECT change_set, rule_id, string_agg(excerpt, chr(10) ORDER BY ord, line_no) AS excerpts, count(*) AS n FROM ev JOIN files USING (change_set, path) GROUP BY 1, 2")
 def evidence_grouped(spark, d):
     return deterministic.grouped_evidence(_evidence(spark, d))
 
 
 @query(PRE + """SELECT change_set, rule_id, CASE WHEN n > 0 THEN 'violation' ELSE 'pass' END AS status, CAST(CASE WHEN n > 0 THEN 0.95 ELSE 1.0 END AS DOUBLE) AS confidence, n AS n_evidence,
-CASE WHEN n > 0 AND rule_id = 'no-lodash' THEN 'Remove imports of lodash from src/**' WHEN n > 0 AND rule_id = 'no-moment' THEN 'Remove imports of moment from src/en/**' END AS suggestion, 'deterministic' AS engine FROM det""")
+CASE WHEN n > 0 AND rule_id = 'no-lodash' THEN 'Remove imports of lodash from src/**' WHEN n > 0 AND rule_id = 'no-moment' THEN 'Remove imports of moment from src/en/**' END AS suggestion, 'abc1234' AS checked_at_commit, 'deterministic' AS engine FROM det""")
 def det_verdicts(spark, d):
     return _det(spark, d)
 
 
 def _det(spark, d):
-    return deterministic.verdicts(deterministic.in_scope(_files(spark, d), C.RULES), _evidence(spark, d), _ACTIVE)
+    files = diffs.files_added(C.diff_texts(spark, d))
+    return deterministic.verdicts(deterministic.check(files, _ACTIVE, items=False), _ACTIVE, "abc1234")
 
 
 @query(PRE + """, c AS (SELECT CAST(doc_id AS VARCHAR) AS change_set, CASE WHEN quality = 1 THEN 'pass' WHEN toxic = 1 THEN 'violation' END AS cached FROM labels)
 SELECT d.change_set, d.rule_id, CASE WHEN cached IS NOT NULL THEN cached WHEN chk = 'deterministic' THEN CASE WHEN n > 0 THEN 'violation' ELSE 'pass' END WHEN chk = 'both' AND n > 0 THEN 'violation' ELSE 'uncertain' END AS status FROM det d JOIN rules r ON r.id = d.rule_id LEFT JOIN c USING (change_set)""")
 def decision_table(spark, d):
     v = _det(spark, d).join(C.cached(spark, d), "change_set", "left")
-    check = F.coalesce(*[F.when(F.col("rule_id") == r.id, F.lit(r.check)) for r in _ACTIVE])
+    check = deterministic.per_rule(_ACTIVE, lambda r: r.check)
     return v.select("change_set", "rule_id", engine.decide(F.col("cached"), check, F.col("status"), False).alias("status"))
 
 
@@ -184,10 +186,13 @@ def cache_lookup(spark, d):
     return engine.lookup_cache(keys, C.cached(spark, d).withColumnRenamed("change_set", "cache_key"))
 
 
-@query("SELECT doc_id, lpad(lower(hex(list_reduce(list_prepend(CAST(5381 AS BIGINT), [CAST(ord(c) AS BIGINT) for c in string_split(left(text, 200), '')]), lambda h, c: xor((h * 33) & 4294967295, c)))), 8, '0') AS cache_key FROM documents WHERE length(text) > 0")
+_HASH = "lpad(lower(hex(list_reduce(list_prepend(CAST(5381 AS BIGINT), [CAST(ord(c) AS BIGINT) for c in string_split({0}, '')]), lambda h, c: xor((h * 33) & 4294967295, c)))), 8, '0')"
+
+
+@query(f"SELECT doc_id, CASE WHEN text = '' THEN '00001505' ELSE {_HASH.format('text')} END AS cache_key FROM documents WHERE text IS NOT NULL")
 def cache_key(spark, d):
-    """Of the first 200 characters of a text, as the compatible key of an excerpt."""
-    return C.table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", X.hash32(F.substring("text", 1, 200)).alias("cache_key"))
+    """The compatible hash of whole texts."""
+    return C.table(spark, d, "documents").where("text is not null").select("doc_id", X.hash32(F.col("text")).alias("cache_key"))
 
 
 _CONTENT = ", ".join("('{}', '{}')".format(r.id, engine.rule_content(r).replace("'", "''")) for r in _ACTIVE)
@@ -198,8 +203,9 @@ input AS (SELECT change_set, rule_id, content || '|||' || coalesce(body, '') ||
 SELECT change_set, rule_id, lpad(lower(hex(list_reduce(list_prepend(CAST(5381 AS BIGINT), [CAST(ord(c) AS BIGINT) for c in string_split(s, '')]), lambda h, c: xor((h * 33) & 4294967295, c)))), 8, '0') AS cache_key FROM input""")
 def verdict_cache_key(spark, d):
     """Of a rule's content, all hunk lines and the mode: the compatible key, nothing cut."""
-    v = deterministic.in_scope(_files(spark, d), C.RULES).join(diffs.hunk_lists(C.diff_lines(spark, d)), "change_set", "left")
-    content = F.coalesce(*[F.when(F.col("rule_id") == r.id, F.lit(engine.rule_content(r))) for r in _ACTIVE])
+    t = C.diff_texts(spark, d)
+    v = deterministic.in_scope(diffs.changed_files(t), C.RULES).join(diffs.hunk_lists(t), "change_set", "left")
+    content = deterministic.per_rule(_ACTIVE, engine.rule_content)
     return v.select("change_set", "rule_id", engine.cache_key(content, F.col("hunks"), F.lit("deterministic-only")).alias("cache_key"))
 
 
@@ -211,18 +217,9 @@ def context_budget(spark, d):
     return g.groupBy("source").agg(F.count("*").alias("n_files"), F.sum("tokens").alias("tokens"), F.sum(F.length("snippet")).alias("chars"))
 
 
-@query("""SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, md5(coalesce(b.content, a.content)) AS content FROM (SELECT doc_id, left(text, 100) AS content FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, '+' || left(text, 50) AS content FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id""")
-def context_merge(spark, d):
-    """Snippets of two thirds of the documents, diff entries of one half: they overlap in part."""
-    docs = C.table(spark, d, "documents")
-    a = docs.where("doc_id % 3 <> 0").select("doc_id", F.substring("text", 1, 100).alias("content"))
-    b = docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("+"), F.substring("text", 1, 50)).alias("content"))
-    return context.merge(a, b, "doc_id").select("doc_id", F.md5("content").alias("content"))
-
-
 @query(PRE + """SELECT coalesce(b.path, a.path) AS path, md5(coalesce(b.content, a.content)) AS content FROM (SELECT p AS path, text AS content FROM paths) a
 FULL JOIN (SELECT path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM hunk GROUP BY 1) b ON a.path = b.path""")
-def context_merge_paths(spark, d):
+def context_merge(spark, d):
     """Whole texts as snippets, all hunk lines of each path as diff entries."""
     snippets = C.snippets(spark, d)
     item = F.sort_array(F.collect_list(F.struct("line_no", "line")))
@@ -230,27 +227,55 @@ def context_merge_paths(spark, d):
     return context.merge(snippets, entries, "path").select("path", F.md5("content").alias("content"))
 
 
-_EXT = ", ".join(f"'{e}'" for e in context.EXTENSIONS)
+_KINDS = [".ts", ".TSX", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".java", ".c", ".cpp", ".h", ".hpp", ".rs", ".php", ".rb", ".cs", ".Sh", ".md", ".kt", ".swift", ".vue", ".txt", ".json", ".ts.bak", "", "."]
+_BEFORE = ["", "dist/", "node_modules/", "a/coverage/", ".agent/x/", "distant/"]
 
 
-@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1) AS path FROM pages), v AS (SELECT page_id, v.p AS path FROM p, (VALUES (''), ('dist/'), ('node_modules/')) x(pre), LATERAL (SELECT pre || path || '.ts' AS p) v)
-SELECT page_id, path, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN ({_EXT}) AS is_code, len(list_intersect(string_split(path, '/'), ['node_modules', '.git', 'dist', '.agent', 'coverage'])) > 0 AS pruned FROM v""")
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1) AS rest FROM pages),
+v AS (SELECT page_id, pre || rest || ext AS path FROM p, (SELECT unnest({_BEFORE!r}) AS pre), (SELECT unnest({_KINDS!r}) AS ext)),
+n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM v)
+SELECT page_id, path, contains(name, '.') AND lower('.' || string_split(name, '.')[-1]) IN ('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.py', '.go', '.java', '.c', '.cpp', '.h', '.hpp', '.rs', '.php', '.rb', '.cs', '.sh', '.md') AS is_code,
+len(list_intersect(string_split(path, '/'), ['node_modules', '.git', 'dist', '.agent', 'coverage'])) > 0 AS pruned FROM n""")
 def path_prune(spark, d):
     p = C.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+/?(.*)\z", 1).alias("rest"))
-    p = p.select("page_id", F.explode(F.array(*[F.concat(F.lit(x), "rest", F.lit(".ts")) for x in ("", "dist/", "node_modules/")])).alias("path"))
+    every = F.array(*[F.concat(F.lit(x), "rest", F.lit(e)) for x in _BEFORE for e in _KINDS])
+    p = p.select("page_id", F.explode(every).alias("path"))
     return p.select("page_id", "path", context.is_code(F.col("path")).alias("is_code"), context.is_pruned(F.col("path")).alias("pruned"))
 
 
+@query("""WITH f AS (SELECT 'src/' || lang || '/' || source || '/doc_' || doc_id || '.ts' AS path, text AS content FROM documents),
+s AS (SELECT r.id AS rule_id, f.* FROM f JOIN (VALUES ('no-lodash', '^src/'), ('no-moment', '^src/en/'), ('layering', '^lib/')) r(id, rx) ON regexp_matches(path, rx)),
+r AS (SELECT *, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tk, row_number() OVER (PARTITION BY rule_id ORDER BY path) AS rn FROM s QUALIFY rn <= 15),
+u AS (SELECT *, coalesce(sum(tk) OVER (PARTITION BY rule_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r)
+SELECT rule_id, path, md5(left(content, CAST(4 * (6000 - used) AS INT))) AS content FROM u WHERE used < 6000""")
+def context_for_rules(spark, d):
+    """What each rule's judge may see of all documents as files."""
+    return context.for_rules(C.snippets(spark, d), _ACTIVE).withColumn("content", F.md5("content"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN ceil(ceil(length(text) / 4.0) * 40 + length(text) / 4.0) <= 6000 THEN 'small' ELSE 'large' END AS model FROM conversations")
 def model_route(spark, d):
     n = F.length("text")
     return C.table(spark, d, "conversations").select("conv_id", "turn", engine.route(X.tokens(n) * 40, n).alias("model"))
 
 
-@query("SELECT doc_id, length(left(text, 8000) || chr(10) || chr(10) || left(text, 16000)) AS n, md5(left(text, 8000) || chr(10) || chr(10) || left(text, 16000)) AS digest FROM documents")
-def prompt_truncate(spark, d):
-    p = context.prompt(F.col("text"), F.col("text"))
-    return C.table(spark, d, "documents").select("doc_id", F.length(p).cast("bigint").alias("n"), F.md5(p).alias("digest"))
+@query("""SELECT doc_id, md5('# Rule r-' || doc_id || chr(10) || 'Title' || chr(10) || chr(10) || 'Hold' || chr(10) || chr(10) || '# Diff' || chr(10) || '```diff' || chr(10) || left(text, 8000) || chr(10) || '```' || chr(10) || chr(10) || '# Files' || chr(10) || '<files>' || chr(10)
+|| left('=== FILE: a/one.ts ===' || chr(10) || reverse(text) || chr(10) || chr(10) || '=== FILE: b/two.ts ===' || chr(10) || text, 16000) || chr(10) || '</files>' || chr(10)) AS digest FROM documents""")
+def prompt_text(spark, d):
+    """Prompts after their fixed head: the rule, the diff and the files, cut at the limits."""
+    file = lambda p, c: F.struct(F.lit(p).alias("path"), c.alias("content"))
+    files = judge.joined_files(F.array(file("b/two.ts", F.col("text")), file("a/one.ts", F.reverse("text"))))
+    p = judge.prompt(F.concat(F.lit("r-"), F.col("doc_id").cast("string")), F.lit("Title"), F.lit("Hold"), F.col("text"), files)
+    return C.table(spark, d, "documents").select("doc_id", F.md5(F.substring(p, F.lit(len(judge.SYSTEM) + 3), F.length(p))).alias("digest"))
+
+
+@query("""WITH m AS (SELECT * FROM (VALUES ('anthropic', 'claude-haiku-4-5', 'claude-sonnet-4-5'), ('openai', 'gpt-4o-mini', 'gpt-4o'), ('gemini', 'gemini-1.5-flash', 'gemini-1.5-pro')) v(provider, small, large)),
+n AS (SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) * 40 + length(text) / 4.0 AS t FROM conversations)
+SELECT conv_id, turn, provider, CASE WHEN ceil(t) <= 6000 THEN small ELSE large END AS model FROM n, m""")
+def model_mapping(spark, d):
+    n = F.length("text")
+    c = C.table(spark, d, "conversations").select("conv_id", "turn", engine.route(X.tokens(n) * 40, n).alias("size"), F.explode(F.array(*map(F.lit, judge.MODELS))).alias("provider"))
+    return c.select("conv_id", "turn", "provider", judge.model_name(F.col("provider"), F.col("size")).alias("model"))
 
 
 @query("SELECT key, CASE WHEN starts_with(key, 'sk-ant-') THEN 'anthropic' WHEN starts_with(key, 'sk-') THEN 'openai' ELSE 'gemini' END AS provider FROM (VALUES ('sk-ant-1'), ('sk-2'), ('AIza'), ('')) v(key)")
@@ -259,22 +284,52 @@ def provider_route(spark, d):
     return keys.select("key", judge.provider(F.col("key")).alias("provider"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN false WHEN event_id % 7 = 0 THEN false ELSE event_type IN ('view', 'click') AND value / 100 <= 1 AND value >= 0 END AS valid FROM events""")
+_FAULTS = [
+    ("none", '"evidence":[{"file":"a.ts","line":3,"excerpt":"x","reason":"y"}],"suggestion":"do"'), ("no line", '"evidence":[{"file":"a.ts","excerpt":"x","reason":"y"}]'),
+    ("empty", '"evidence":[],"suggestion":null'), ("long", '"evidence":[{"file":"a.ts","excerpt":"' + "e" * 301 + '","reason":"y"}]'), ("just fits", '"evidence":[{"file":"a.ts","excerpt":"' + "e" * 300 + '","reason":"y"}]'),
+    ("no file", '"evidence":[{"excerpt":"x","reason":"y"}]'), ("no reason", '"evidence":[{"file":"a.ts","excerpt":"x"}]'), ("line is text", '"evidence":[{"file":"a.ts","line":"3","excerpt":"x","reason":"y"}]'),
+    ("file is a number", '"evidence":[{"file":1,"excerpt":"x","reason":"y"}]'), ("one of two", '"evidence":[{"file":"a.ts","excerpt":"x","reason":"y"},{"file":"b.ts"}]'),
+    ("not a list", '"evidence":{"file":"a.ts"}'), ("absent", '"suggestion":"s"'), ("hint is a number", '"evidence":[],"suggestion":7'),
+]
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN false WHEN event_id % 7 = 0 THEN false ELSE event_type IN ('view', 'click') AND value / 100 <= 1 AND value >= 0
+AND ['none', 'no line', 'empty', 'long', 'just fits', 'no file', 'no reason', 'line is text', 'file is a number', 'one of two', 'not a list', 'absent', 'hint is a number'][CAST(event_id % 13 AS INT) + 1] IN ('none', 'no line', 'empty', 'just fits') END AS valid FROM events""")
 def answer_validate(spark, d):
-    """Answers made of events: some aren't JSON, some have a number for a status."""
+    """Answers made of events: some aren't JSON, some break the schema in one of its places."""
     e = C.table(spark, d, "events")
     status = F.when(F.col("event_type") == "view", "pass").when(F.col("event_type") == "click", "violation").otherwise("maybe")
-    good = F.concat(F.lit('```json\n{"status":"'), status, F.lit('","confidence":'), (F.col("value") / 100).cast("decimal(12,6)").cast("string"), F.lit(',"evidence":[],"suggestion":null}\n```'))
     i = F.col("event_id")
+    rest = F.get(F.array(*[F.lit(x) for _, x in _FAULTS]), (i % len(_FAULTS)).cast("int"))
+    good = F.concat(F.lit('```json\n{"status":"'), status, F.lit('","confidence":'), (F.col("value") / 100).cast("decimal(12,6)").cast("string"), F.lit(","), rest, F.lit("}\n```"))
     answer = F.when(i % 5 == 0, F.lit("no json")).when(i % 7 == 0, F.lit('{"status":1,"confidence":0.5,"evidence":[]}')).otherwise(good)
     return e.select("event_id", judge.is_valid(answer).alias("valid"))
 
 
-@query("SELECT * FROM (VALUES ('good', ''), ('Bad', 'id'), ('other', 'title,created,name'), ('empty', 'scope,check')) v(id, errors)")
+@query("""WITH raw AS (SELECT doc_id, doc_id % 23 AS k FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN k IN (1, 2) THEN 'schema_version' END, CASE WHEN k IN (3, 4, 5) THEN 'id' END, CASE WHEN k IN (6, 5) THEN 'title' END, CASE WHEN k IN (7, 8, 9) THEN 'scope' END, CASE WHEN k IN (10, 9) THEN 'check' END,
+CASE WHEN k = 11 THEN 'rule' END, CASE WHEN k IN (12, 13) THEN 'deterministic' END, CASE WHEN k = 14 THEN 'severity' END, CASE WHEN k = 15 THEN 'status' END, CASE WHEN k IN (16, 17, 5) THEN 'created' END, CASE WHEN k IN (18, 19) THEN 'anchors' END,
+CASE WHEN k = 20 THEN 'id' END) AS fields, CASE WHEN k = 20 THEN 'must equal the file name other' WHEN k = 14 THEN 'must be warn or error' WHEN k = 7 THEN 'at least one glob' ELSE '' END AS said FROM raw""")
 def rule_validate(spark, d):
-    rows = [("r/good.md", 1, "good", "t", ["src/**"], "both", "active", "2026-07-14"), ("r/Bad.md", 1, "Bad", "t", ["a"], "both", "active", "2026-07-14"), ("r/x.md", 1, "other", "", ["a"], "both", "active", "14/07/2026"), ("r/empty.md", 1, "empty", "t", [], "x", "active", "2026-07-14")]
-    raw = spark.createDataFrame(rows, "file_path string, schema_version int, id string, title string, scope array<string>, check string, status string, created string")
-    return raw.select("id", F.array_join(error_columns(), ",").alias("errors"))
+    """Raw rules made of documents, each broken in other places by its number."""
+    k, i = F.col("k"), F.col("doc_id").cast("string")
+    pick = lambda normal, **faults: F.coalesce(*[F.when(k == int(n[1:]), v) for n, v in faults.items()], normal)
+    texts, anchor = (lambda *x: F.array(*map(F.lit, x)).cast("array<string>")), "array<struct<type:string,value:string>>"
+    det = lambda kind, *to: F.struct(F.lit(kind).alias("kind"), texts("src/**").alias("from"), texts(*to).alias("to"))
+    raw = C.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 23).alias("k"))
+    name = F.concat(F.lit("rule-"), i)
+    raw = raw.select(
+        "doc_id", "k", F.concat(F.lit("r/"), F.when(k == 20, F.lit("other")).otherwise(name), F.lit(".md")).alias("file_path"),
+        F.when(k == 1, F.lit(2)).when(k == 2, F.lit(None).cast("int")).otherwise(1).alias("schema_version"), F.when(k == 3, F.concat(F.lit("Rule-"), i)).when(k == 4, F.lit("")).when(k == 5, F.lit("a b")).otherwise(name).alias("id"),
+        pick(F.lit("A title"), k6=F.lit(""), k5=F.lit("")).alias("title"), F.when(k == 7, texts()).when(k == 8, texts("src/**", "")).when(k == 9, F.lit(None).cast("array<string>")).otherwise(texts("src/**")).alias("scope"),
+        F.when(k == 10, F.lit("other")).when(k == 9, F.lit(None).cast("string")).otherwise("both").alias("check"), pick(F.lit("A rule"), k11=F.lit("")).alias("rule"),
+        F.when(k == 12, det("no-call", "x")).when(k == 13, det("no-import", "x", "")).when(k == 21, det("no-import")).alias("deterministic"),
+        F.when(k == 14, F.lit("fatal")).when(k == 21, F.lit("error")).alias("severity"), F.when(k == 15, F.lit("stale")).when(k == 21, F.lit("active")).alias("status"),
+        F.when(k == 16, F.lit("14/07/2026")).when(k == 17, F.lit(None).cast("string")).when(k == 5, F.lit("2026-7-14")).otherwise("2026-99-99").alias("created"),
+        F.when(k == 18, F.array(F.struct(F.lit("line").alias("type"), F.lit("x").alias("value")))).when(k == 19, F.array(F.struct(F.lit("path").alias("type"), F.lit("").alias("value")))).when(k == 21, F.array(F.struct(F.lit("path").alias("type"), F.lit("x").alias("value")))).cast(anchor).alias("anchors"),
+    )
+    said = F.when(k.isin(20, 14, 7), F.get("e", F.lit(0))["message"]).otherwise("")
+    return raw.withColumn("e", error_columns()).select("doc_id", F.array_join(F.transform("e", lambda x: x["field"]), ",").alias("fields"), said.alias("said"))
 
 
 _LIFE = "WITH h AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'signup' THEN 'proposed' WHEN event_type IN ('view', 'click') THEN 'active' ELSE 'deprecated' END AS status FROM events), t AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM h), ok AS (SELECT * FROM (VALUES ('proposed', 'active'), ('active', 'deprecated'), ('proposed', 'deprecated')) v(a, b))"
@@ -292,16 +347,48 @@ def lifecycle_invalid(spark, d):
     return t.where(~engine.is_allowed(F.col("before"), F.col("status"))).groupBy("user_id").agg(F.count("*").alias("n_invalid"))
 
 
-@query(PRE + 'SELECT id, title, status, chk AS "check", n_scope AS scope_count, n_anchor AS anchor_count FROM rules')
+@query("""SELECT * FROM (VALUES ('no-lodash', 'No lodash', 'active', 'deterministic', 'src/**', 'rules/no-lodash.md', 2), ('no-moment', 'No moment', 'active', 'both', 'src/en/**', 'rules/no-moment.md', 0), ('layering', 'Layers', 'active', 'semantic', 'lib/**', 'rules/layering.md', 1),
+('old-rule', 'No jQuery', 'deprecated', 'deterministic', 'src/**', 'rules/old-rule.md', 0), ('new-rule', 'Naming', 'proposed', 'semantic', 'src/fr/**,src/de/**', 'rules/new-rule.md', 0)) v(id, title, status, "check", scope, "filePath", "anchorCount")""")
 def manifest_rows(spark, d):
-    return report.manifest(_rules(spark))
+    return report.manifest(_rules(spark)).withColumn("scope", F.array_join("scope", ","))
+
+
+_INDEX = """# Intent Index
+
+_Generated by `rulestrata compile` — do not edit manually._
+
+## Active
+
+- **[layering](layering.md)** — Layers
+- **[no-lodash](no-lodash.md)** — No lodash
+- **[no-moment](no-moment.md)** — No moment
+
+## Proposed
+
+- [new-rule](new-rule.md) — Naming
+
+## Deprecated
 
+- ~~[old-rule](old-rule.md)~~ — No jQuery
 
-@query(PRE + """SELECT CASE status WHEN 'active' THEN 1 WHEN 'proposed' THEN 2 ELSE 3 END AS rank, upper(status[1]) || status[2:] AS section, string_agg(CASE status WHEN 'active' THEN '- **' || id || '**: ' || title WHEN 'deprecated' THEN '- ~~' || id || '~~: ' || title ELSE '- ' || id || ': ' || title END, chr(10) ORDER BY id) AS body, count(*) AS n FROM rules GROUP BY status""")
+_Total: 5 intent(s)_"""
+
+
+@query(f"SELECT $x${_INDEX}$x$ AS body")
+def index_text(spark, d):
+    return report.index(_rules(spark))
+
+
+@query(PRE + """SELECT CASE status WHEN 'active' THEN 1 WHEN 'proposed' THEN 2 ELSE 3 END AS rank, upper(status[1]) || status[2:] AS section, string_agg('- ' || CASE status WHEN 'active' THEN '**' WHEN 'deprecated' THEN '~~' ELSE '' END || '[' || id || '](' || id || '.md)' || CASE status WHEN 'active' THEN '**' WHEN 'deprecated' THEN '~~' ELSE '' END || ' — ' || title, chr(10) ORDER BY id) AS body, count(*) AS n FROM rules GROUP BY status""")
 def index_sections(spark, d):
     return report.index_sections(_rules(spark))
 
 
+@query(PRE + "SELECT count(*) AS total, count(*) FILTER (status = 'active') AS n_active, count(*) FILTER (status = 'proposed') AS n_proposed, count(*) FILTER (status = 'deprecated') AS n_deprecated, CAST(0 AS BIGINT) AS n_errors FROM rules")
+def rule_health(spark, d):
+    return report.health(_rules(spark), spark.createDataFrame([], "file_path string"))
+
+
 _TREE = rf"{PRE}, two AS (SELECT CASE WHEN CAST(change_set AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS part, l.* FROM lines l)"
 
 
@@ -327,3 +414,100 @@ def comment_upsert(spark, d):
 @query("SELECT role, count(*) AS n_calls, CAST(sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS BIGINT) AS input_tokens FROM conversations GROUP BY 1")
 def llm_log_rollup(spark, d):
     return C.table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n_calls"), F.sum(X.tokens(F.length("text"))).alias("input_tokens"))
+
+
+def _ask(prompt: str) -> str:
+    """A judge without a network: it fails on one word and finds what suppression hides."""
+    if "import _ from 'lodash'" in prompt:
+        raise RuntimeError("no answer")
+    if "import m from 'moment'" in prompt:
+        return '```json\n{"status":"violation","confidence":0.75,"evidence":[{"file":"x.ts","line":3,"excerpt":"m","reason":"seen"}],"suggestion":"go"}\n```'
+    return '{"status":"pass","confidence":1,"evidence":[]}'
+
+
+def _run(spark, d, ask=None):
+    """A run with the cache that an earlier run and the labels left."""
+    texts = C.diff_texts(spark, d)
+    plain = engine.run(texts, C.RULES, "abc1234", ask=ask)
+    none = F.array().cast(schemas.EVIDENCE)
+    held = plain.verdicts.where("rule_id = 'no-lodash'").select("change_set", "cache_key").join(C.cached(spark, d), "change_set")
+    held = held.groupBy("cache_key").agg(F.min("cached").alias("status"))
+    held = held.select("cache_key", "status", F.lit(0.5).alias("confidence"), none.alias("evidence"), F.lit("held").alias("suggestion"), F.lit("c0ffee0").alias("checked_at_commit"), F.lit("semantic").alias("engine"))
+    return engine.run(texts, C.RULES, "abc1234", held, ask)
+
+
+def _shown(verdicts):
+    rows = F.array_join(F.transform("evidence", lambda e: F.concat_ws("|", e["file"], e["line"].cast("int").cast("string"), e["excerpt"], e["reason"])), "\n")
+    return verdicts.withColumn("evidence", rows)
+
+
+def _run_sql(mode: str) -> str:
+    judged = mode == "semantic"
+    seen = "contains(coalesce(body, ''), 'import m from ''moment''')"
+    failed = "contains(coalesce(body, ''), 'import _ from ''lodash''')"
+    late = {"status": f"CASE WHEN {failed} THEN 'uncertain' WHEN {seen} THEN 'violation' ELSE 'pass' END", "confidence": f"CASE WHEN {failed} THEN 0 WHEN {seen} THEN 0.75 ELSE 1 END", "evidence": f"CASE WHEN {failed} THEN '' WHEN {seen} THEN 'x.ts|3|m|seen' ELSE '' END", "suggestion": f"CASE WHEN {failed} THEN 'LLM call failed: no answer' WHEN {seen} THEN 'go' END"}
+    if not judged:
+        late = {"status": "'uncertain'", "confidence": "0", "evidence": "''", "suggestion": "'Set an API key to enable the semantic check'"}
+    det = "(chk = 'deterministic' OR chk = 'both' AND n > 0)"
+    return PRE + f""", content AS (SELECT * FROM (VALUES {_CONTENT}) v(rule_id, content)),
+body AS (SELECT change_set, string_agg(line, chr(10) ORDER BY ord, line_no) AS body FROM hunk JOIN files USING (change_set, path) GROUP BY 1),
+shown AS (SELECT e.change_set, e.rule_id, string_agg(e.path || '|' || e.excerpt || '|Import of ' || chr(39) || r.module || chr(39) || ' is not allowed from ' || CASE r.id WHEN 'no-lodash' THEN 'src/**' ELSE 'src/en/**' END, chr(10) ORDER BY ord, line_no) AS evidence FROM ev e JOIN rules r ON r.id = e.rule_id JOIN files f USING (change_set, path) GROUP BY 1, 2),
+d AS (SELECT d.change_set, d.rule_id, d.n, r.chk, b.body, coalesce(s.evidence, '') AS own, sha256(c.content) AS a, sha256(coalesce(b.body, '')) AS z FROM det d JOIN rules r ON r.id = d.rule_id JOIN content c ON c.rule_id = d.rule_id LEFT JOIN body b ON b.change_set = d.change_set LEFT JOIN shown s ON s.change_set = d.change_set AND s.rule_id = d.rule_id),
+k AS (SELECT *, sha256(a || '|||' || z || '|||{mode}') AS cache_key FROM d),
+held AS (SELECT cache_key, min(CASE WHEN quality = 1 THEN 'pass' WHEN toxic = 1 THEN 'violation' END) AS held FROM k JOIN labels ON CAST(doc_id AS VARCHAR) = change_set WHERE rule_id = 'no-lodash' AND (quality = 1 OR toxic = 1) GROUP BY 1),
+v AS (SELECT change_set, rule_id, coalesce(held, CASE WHEN {det} THEN CASE WHEN n > 0 THEN 'violation' ELSE 'pass' END ELSE {late['status']} END) AS status,
+CAST(CASE WHEN held IS NOT NULL THEN 0.5 WHEN {det} THEN CASE WHEN n > 0 THEN 0.95 ELSE 1 END ELSE {late['confidence']} END AS DOUBLE) AS confidence,
+CASE WHEN held IS NOT NULL THEN '' WHEN {det} THEN own ELSE {late['evidence']} END AS evidence,
+CASE WHEN held IS NOT NULL THEN 'held' WHEN {det} THEN CASE WHEN n > 0 AND rule_id = 'no-lodash' THEN 'Remove imports of lodash from src/**' WHEN n > 0 THEN 'Remove imports of moment from src/en/**' END ELSE {late['suggestion']} END AS suggestion,
+CASE WHEN held IS NOT NULL THEN 'c0ffee0' ELSE 'abc1234' END AS checked_at_commit, CASE WHEN held IS NOT NULL OR NOT {det} THEN 'semantic' ELSE 'deterministic' END AS engine, cache_key, held IS NOT NULL AS cached FROM k LEFT JOIN held USING (cache_key))
+"""
+
+
+@query(_run_sql("deterministic-only") + "SELECT * FROM v")
+def run_verdicts(spark, d):
+    """The whole run without a key: cached, deterministic and uncertain verdicts."""
+    return _shown(_run(spark, d).verdicts)
+
+
+@query(_run_sql("semantic") + "SELECT * FROM v")
+def run_judged(spark, d):
+    """The whole run with a key, judged without a network: answers and failed calls too."""
+    return _shown(_run(spark, d, _ask).verdicts)
+
+
+@query(_run_sql("deterministic-only") + """SELECT change_set, count(DISTINCT path) AS n_files, CAST(5 AS BIGINT) AS n_rules, any_value(nc) AS n_candidates, 5 - any_value(nc) AS n_skipped, any_value(nh) AS n_cache_hits
+FROM files JOIN (SELECT change_set, count(*) AS nc, count(*) FILTER (cached) AS nh FROM v GROUP BY 1) USING (change_set) GROUP BY 1""")
+def run_metrics(spark, d):
+    return _run(spark, d).metrics
+
+
+@query(_run_sql("semantic") + """SELECT rule_id, model, status, count(*) AS n_calls, count(DISTINCT cache_key) AS n_prompts FROM (SELECT k.rule_id, k.cache_key, 'small' AS model, CASE WHEN contains(coalesce(body, ''), 'import _ from ''lodash''') THEN 'error' ELSE v.status END AS status
+FROM k JOIN v USING (change_set, rule_id) WHERE NOT v.cached AND NOT (chk = 'deterministic' OR chk = 'both' AND n > 0)) GROUP BY 1, 2, 3""")
+def call_log(spark, d):
+    log = _run(spark, d, _ask).log
+    return log.groupBy("rule_id", "model", "status").agg(F.count("*").alias("n_calls"), F.countDistinct("prompt_hash").alias("n_prompts"))
+
+
+_REPORT = _run_sql("deterministic-only") + """,
+e AS (SELECT e.change_set, e.rule_id, f.ord, e.line_no, e.path, e.excerpt, 'Import of ' || chr(39) || r.module || chr(39) || ' is not allowed from ' || CASE r.id WHEN 'no-lodash' THEN 'src/**' ELSE 'src/en/**' END AS reason FROM ev e JOIN rules r ON r.id = e.rule_id JOIN files f USING (change_set, path)),
+n AS (SELECT change_set, count(*) FILTER (status = 'pass') || ' pass · ' || count(*) FILTER (status = 'violation') || ' violation · ' || count(*) FILTER (status = 'uncertain') || ' uncertain' AS counts FROM v GROUP BY 1)
+"""
+
+
+@query(_REPORT + """, t AS (SELECT change_set, rule_id, string_agg(chr(10) || '    ' || path || chr(10) || '    ' || excerpt || chr(10) || '    ' || reason, '' ORDER BY ord, line_no) AS body FROM e GROUP BY 1, 2),
+l AS (SELECT v.change_set, string_agg(CASE status WHEN 'pass' THEN '✓' WHEN 'violation' THEN '✗' ELSE '?' END || ' [' || v.rule_id || '] ' || upper(status) || ' (confidence: ' || CAST(round(confidence * 100) AS BIGINT) || '%, engine: ' || engine || ')' || CASE WHEN cached OR status <> 'violation' THEN '' ELSE t.body END || coalesce(chr(10) || '    💡 ' || suggestion, ''), chr(10) ORDER BY v.rule_id) AS body FROM v LEFT JOIN t ON t.change_set = v.change_set AND t.rule_id = v.rule_id GROUP BY 1)
+SELECT change_set, md5(body || chr(10) || chr(10) || 'Summary: ' || counts) AS digest FROM l JOIN n USING (change_set)""")
+def terminal_report(spark, d):
+    r = report.terminal(C.diff_texts(spark, d), _run(spark, d).verdicts)
+    return r.select("change_set", F.md5("report").alias("digest"))
+
+
+@query(_REPORT + """, t AS (SELECT change_set, rule_id, string_agg('**' || path || '**' || chr(10) || chr(10) || '```' || chr(10) || excerpt || chr(10) || '```' || chr(10) || chr(10) || '> ' || reason || chr(10) || chr(10), '' ORDER BY ord, line_no) AS body FROM e GROUP BY 1, 2),
+r AS (SELECT change_set, string_agg('| `' || rule_id || '` | ' || CASE status WHEN 'pass' THEN '✅' WHEN 'violation' THEN '❌' ELSE '⚠️' END || ' ' || status || ' | ' || engine || ' | ' || CAST(round(confidence * 100) AS BIGINT) || '% |', chr(10) ORDER BY rule_id) AS body FROM v GROUP BY 1),
+x AS (SELECT v.change_set, string_agg('#### `' || v.rule_id || '`' || chr(10) || chr(10) || CASE WHEN cached THEN '' ELSE t.body END || '💡 **Suggestion:** ' || suggestion || chr(10) || chr(10), '' ORDER BY v.rule_id) AS body FROM v LEFT JOIN t ON t.change_set = v.change_set AND t.rule_id = v.rule_id WHERE status = 'violation' GROUP BY 1)
+SELECT change_set, md5('## Drift Report' || chr(10) || chr(10) || '> Checked at commit: `abc1234`' || chr(10) || chr(10) || '| Rule | Status | Engine | Confidence |' || chr(10) || '|--------|--------|--------|------------|' || chr(10) || r.body || chr(10)
+|| coalesce(chr(10) || '### Violations' || chr(10) || chr(10) || x.body, '') || chr(10) || '---' || chr(10) || '_' || counts || '_') AS digest, CAST((SELECT count(*) FROM v w WHERE w.change_set = r.change_set AND w.status = 'violation') AS VARCHAR) AS violations FROM r JOIN n USING (change_set) LEFT JOIN x USING (change_set)""")
+def markdown_report(spark, d):
+    verdicts = _run(spark, d).verdicts
+    r = report.outputs(report.markdown(C.diff_texts(spark, d), verdicts, "abc1234"), verdicts)
+    return r.select("change_set", F.md5("report").alias("digest"), "violations")

@@ -38,3 +38,15 @@ def diff_files(spark: SparkSession, folder: str) -> DataFrame:
     """(change_set, text) of all .diff and .patch files below a folder."""
     d = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{diff,patch}")
     return d.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]*\z", 1).alias("change_set"), F.col("value").alias("text"))
+
+
+def diff_parts(spark: SparkSession, path: str, change_set: str | None = None) -> DataFrame:
+    """(change_set, at, text): diff files cut where a file of theirs begins, while they are
+    read, so that one large diff is read by many tasks. ``at`` orders the parts of a change
+    set; all but the first begin with ``diff --git a/``."""
+    start = "diff --git a/"
+    d = spark.read.text(path, lineSep="\n" + start, pathGlobFilter="*.{diff,patch}").select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    name = F.lit(change_set) if change_set else F.regexp_extract("file_name", r"^(.*)\.[^.]*\z", 1)
+    whole = F.when(F.col("value").startswith(start), F.col("value")).otherwise(F.concat(F.lit(start), "value"))
+    text = F.when((F.col("file_block_start") == 0) & (F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) == 0), F.col("value")).otherwise(whole)
+    return d.select(name.alias("change_set"), F.struct("file_block_start", "row").alias("at"), text.alias("text"))

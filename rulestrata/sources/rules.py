@@ -64,12 +64,15 @@ def parse(path: str, content: str) -> tuple[dict | None, list[tuple[str, str]]]:
 
 
 def read_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rules by id, errors). A folder that doesn't exist holds no rules."""
+    """(rules by id, errors). A folder that doesn't exist holds no rules. The reader hides
+    names that begin with ``_``: they are listed apart, and are errors, as an id can't have
+    one."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     names = [c.name for c in spark.createDataFrame([], schemas.RULES).schema]
     good, bad = [], []
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
         files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select("value", "_metadata.file_path")
         for r in files.toLocalIterator():  # rules are few, and their order is by id
             rule, errors = parse(r["file_path"], r["value"])
@@ -79,20 +82,48 @@ def read_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
                 rule["anchors"] = [(a["type"], a["value"]) for a in rule["anchors"]]
                 good.append(tuple(rule.get(n) for n in names))
             bad += [(r["file_path"], *e) for e in errors]
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            if status.isFile() and name.startswith("_") and name.endswith(".md") and name != "_index.md":
+                bad.append((status.getPath().toString(), "id", "must be lower-case kebab and equal the file name"))
     return spark.createDataFrame(sorted(good, key=lambda r: r[3]), schemas.RULES), spark.createDataFrame(sorted(bad), schemas.ERRORS)
 
 
+def to_rules(rows: DataFrame) -> list:
+    """Rows of ``read_rules`` as the engine's rules; they are few."""
+    from ..operators.deterministic import Rule
+
+    out = []
+    for r in rows.collect():
+        d = r["deterministic"]
+        extra = {"body": r["body"], "severity": r["severity"], "owner": r["owner"], "created": r["created"]}
+        out.append(Rule(r["id"], tuple(r["scope"]), r["check"], tuple(d["from"]) if d else None, tuple(d["to"]) if d else (), r["status"], r["title"], r["rule"], tuple(map(tuple, r["anchors"])), extra))
+    return out
+
+
 def error_columns() -> Column:
-    """The same checks on a table of raw rules: an array of failed fields."""
+    """The same checks on a table of raw rules (``schemas.RULES`` before validation, defaults
+    not yet filled in): an array of (field, message), in the order of ``problems``."""
     c = F.col
-    bad = {
-        "schema_version": ~c("schema_version").eqNullSafe(F.lit(1)),
-        "id": ~F.coalesce(c("id").rlike(r"^[a-z0-9-]+\z"), F.lit(False)),
-        "title": F.coalesce(c("title"), F.lit("")) == "",
-        "scope": F.coalesce(F.size("scope"), F.lit(0)) < 1,
-        "check": ~F.coalesce(c("check").isin("deterministic", "semantic", "both"), F.lit(False)),
-        "status": ~F.coalesce(c("status").isin("proposed", "active", "deprecated"), F.lit(False)),
-        "created": ~F.coalesce(c("created").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False)),
-        "name": ~c("id").eqNullSafe(F.regexp_extract("file_path", r"([^/]*)\.[^.]*\z", 1)),
-    }
-    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in bad.items()]))
+    no = F.lit(False)
+    some = lambda x: F.coalesce(x != "", no)
+    all_some = lambda x: F.coalesce(F.forall(x, lambda t: F.coalesce(t != "", F.lit(False))), no)
+    d = c("deterministic")
+    anchor = lambda a: F.coalesce(a["type"].isin("symbol", "path") & (a["value"] != ""), F.lit(False))
+    bad = [
+        ("schema_version", ~c("schema_version").eqNullSafe(F.lit(1)), "must be 1"),
+        ("id", ~F.coalesce(c("id").rlike(r"^[a-z0-9-]+\z"), no), "must be lower-case kebab"),
+        ("title", ~some(c("title")), "required"),
+        ("scope", ~(all_some(c("scope")) & F.coalesce(F.size("scope") > 0, no)), "at least one glob"),
+        ("check", ~F.coalesce(c("check").isin("deterministic", "semantic", "both"), no), "must be deterministic, semantic or both"),
+        ("rule", ~some(c("rule")), "required"),
+        ("deterministic", d.isNotNull() & ~(d["kind"].eqNullSafe(F.lit("no-import")) & all_some(d["from"]) & all_some(d["to"])), "must have kind no-import, from and to"),
+        ("severity", c("severity").isNotNull() & ~c("severity").isin("warn", "error"), "must be warn or error"),
+        ("status", c("status").isNotNull() & ~c("status").isin("proposed", "active", "deprecated"), "must be proposed, active or deprecated"),
+        ("created", ~F.coalesce(c("created").rlike(r"^\d{4}-\d{2}-\d{2}\z"), no), "must be YYYY-MM-DD"),
+        ("anchors", c("anchors").isNotNull() & ~F.forall("anchors", anchor), "must be symbols or paths"),
+    ]
+    found = F.array_compact(F.array(*[F.when(v, F.struct(F.lit(k).alias("field"), F.lit(m).alias("message"))) for k, v, m in bad]))
+    name = F.regexp_extract("file_path", r"([^/]*)\.[^.]*\z", 1)
+    named = F.array(F.struct(F.lit("id").alias("field"), F.concat(F.lit("must equal the file name "), name).alias("message")))
+    return F.when((F.size(found) == 0) & (c("id") != name), named).otherwise(found)

@@ -16,9 +16,7 @@ def watch(spark: SparkSession, folder: str, rules: list[Rule], out: str, checkpo
     texts = arriving.select(F.col("_metadata.file_name").alias("change_set"), F.col("value").alias("text"))
 
     def each(batch, _):
-        lines = diffs.lines(batch)
-        candidates = deterministic.in_scope(diffs.changed_files(lines), rules)
-        found = deterministic.evidence(diffs.hunk_lines(lines), rules)
-        deterministic.verdicts(candidates, found, rules).write.mode("append").parquet(out)
+        checked = deterministic.check(diffs.files_added(batch), rules)
+        deterministic.verdicts(checked, rules).write.mode("append").parquet(out)
 
     return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
