@@ -1,24 +1,32 @@
 """Personal data: candidates of high recall, chosen by boosted trees.
 
-Validated spans (e-mail, ip, card, phone) come first and always stay. Then generators
-propose candidates, which may overlap each other: whatever looks like an address with an
-``@``, like a long number, or like a key. Boosted trees score each candidate by features
-of its format (lengths, digits, letters, separators, groups) and of its context (the
-characters and words around it). They are fitted on a bounded sample of candidates
-(``SAMPLE_DOCS`` documents) with weak labels: a candidate that a validated span covers,
-or that a word of secrecy and an assignment precede, is personal. The threshold is
-calibrated on held-out candidates of the sample: the least score from which at least
-``PRECISION`` of them are personal. Candidates over it that no validated span covers are
-added as the kinds address, number and secret.
+Validated spans (e-mail, ip, card, phone) come first and always stay. They are masked,
+letter for letter, and generators propose candidates in what is left, which may overlap
+each other: whatever looks like an address, also with its signs spelt out or spaced; like
+a long number, also with gaps; or like a key. Boosted trees score each candidate by
+features of its format (lengths, digits, letters, separators, groups, check sum) and of
+its context (the characters and words around it).
+
+Their labels do not come from the features: into a bounded sample of documents
+(``SAMPLE_DOCS``, by a hash of id and text) sentences are planted whose candidates are
+known to be personal or not - spelt-out addresses, gapped cards, local phones, keys; and
+dates, versions, sums, commits, paths, identifiers. The sample's own uncovered candidates
+count as not personal. The threshold is calibrated on held-out candidates: the least score
+from which at least ``PRECISION`` of them are personal. Candidates over it are added as the
+kinds address, number and secret.
 
 DataFrame functions only, the trees included: they are compiled to CASE expressions.
 Positions come from the text between matches: the n-th match begins after all parts and
-matches before it. Documents without a needed character skip a pattern. Look-behinds and
-possessive quantifiers only save time: they match what the plain patterns match.
+matches before it. Running sums and maxima go over blocks of ``BLOCK`` elements, so the
+work for a text grows with its length and not with the square of its matches. Documents
+without a needed character skip a pattern. Look-behinds and possessive quantifiers only
+save time: they match what the plain patterns match.
 
-Defined cases: null and empty texts have no spans (counts 0, digest of the empty
-string); repeated rows keep a row each; without candidates to learn from only validated
-spans are returned; an empty table gives an empty result."""
+Defined cases: null and empty texts have no spans (counts 0, digest of the empty string);
+a null id keeps its row; repeated rows keep a row each, with equal spans; very long texts
+are read whole; spans of one start are ordered by kind; of other columns none is read, and
+``find`` keeps all but ``pii_base`` and ``pii_spans``, which it sets; without candidates to
+learn from only validated spans are returned; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -35,30 +43,46 @@ BASE = {
     "card": (r"[0-9](?:[\x20-]?[0-9]){13,}+", r"[0-9](?:[\x20-]?[0-9]){13}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
+_WORD, _HOST = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++", "[A-Za-z0-9-]++"
+_AT, _DOT = r"(?:\s?@\s?|\s?[(\[{]\s?(?i:at)\s?[)\]}]\s?)", r"(?:\s?\.\s?(?=[a-z])|\s?[(\[{]\s?(?i:dot)\s?[)\]}]\s?|\s(?i:dot)\s)"
 GENERATORS = {
-    "address": (r"[^\s@]{1,64}+@[^\s@]{2,}", r"@"),
-    "number": (r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){7,}+", r"[0-9](?:[\x20().-]{0,2}[0-9]){7}"),
-    "secret": (r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+", r"[A-Za-z0-9_/+=-]{20}"),
+    "address": (rf"{_WORD}{_AT}{_HOST}(?:{_DOT}{_HOST})*+|{_WORD}\s(?i:at)\s{_HOST}(?:{_DOT}{_HOST})++|(?<![^\s@])[^\s@]++@[^\s@]{{2,}}+", r"@|[(\[{\s](?i:at)[)\]}\s]"),
+    "number": (r"(?<![0-9])[+(]?[0-9](?:[\x20()./_-]{0,3}[0-9]){7,}+", r"[0-9](?:[\x20()./_-]{0,3}[0-9]){7}"),
+    "secret": (r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}+", r"[A-Za-z0-9_/+=-]{16}"),
 }
 #: Bounds of the sample, the trees, and the share of personal ones from the threshold on.
-SAMPLE_DOCS, SAMPLE_ROWS, TREES, PRECISION = 4000, 20_000, 24, 0.98
+SAMPLE_DOCS, SAMPLE_ROWS, TREES, PRECISION = 4000, 20_000, 40, 0.98
+#: Elements of a block of a running sum; what a validated span is masked with.
+BLOCK, MASK = 64, "\uFFFC"
 _SECRECY = r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|auth)[\w-]{0,8}\s*[=:]\s*[\"']?$"
+_only = lambda v, kept: F.length(F.regexp_replace(v, F.lit(f"[^{kept}]"), F.lit("")))
+_if = lambda c: F.when(c, 1).otherwise(0)
 FEATURES = {
     "length": lambda v, b, a: F.length(v),
-    "digits": lambda v, b, a: F.length(F.regexp_replace(v, F.lit("[^0-9]"), F.lit(""))),
-    "letters": lambda v, b, a: F.length(F.regexp_replace(v, F.lit("[^A-Za-z]"), F.lit(""))),
-    "upper": lambda v, b, a: F.length(F.regexp_replace(v, F.lit("[^A-Z]"), F.lit(""))),
-    "hex": lambda v, b, a: F.length(F.regexp_replace(v, F.lit("[^0-9a-f]"), F.lit(""))),
-    "dots": lambda v, b, a: F.length(F.regexp_replace(v, F.lit("[^.]"), F.lit(""))),
-    "gaps": lambda v, b, a: F.length(F.regexp_replace(v, F.lit(r"[^\x20-]"), F.lit(""))),
+    "digits": lambda v, b, a: _only(v, "0-9"),
+    "letters": lambda v, b, a: _only(v, "A-Za-z"),
+    "upper": lambda v, b, a: _only(v, "A-Z"),
+    "hex": lambda v, b, a: _only(v, "0-9a-f"),
+    "dots": lambda v, b, a: _only(v, "."),
+    "gaps": lambda v, b, a: _only(v, r"\x20-"),
+    "slashes": lambda v, b, a: _only(v, "/_"),
     "groups": lambda v, b, a: F.size(F.split(v, r"[^A-Za-z0-9]+")),
-    "plus": lambda v, b, a: F.when(v.startswith("+"), 1).otherwise(0),
-    "dot_after_at": lambda v, b, a: F.when(v.rlike(r"@[^.]+\.[A-Za-z]"), 1).otherwise(0),
+    "fours": lambda v, b, a: _if(v.rlike(r"^[0-9]{4}(?:[^0-9]+[0-9]{4}){3}\z")),
+    "check_sum": lambda v, b, a: _if(_luhn_of(v)),
+    "date": lambda v, b, a: _if(v.rlike(r"^(?:19|20)[0-9]{2}[./_-]?[01][0-9]|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2}")),
+    "plus": lambda v, b, a: _if(v.startswith("+")),
+    "bracket": lambda v, b, a: _if(v.startswith("(")),
+    "spelt": lambda v, b, a: _if(v.rlike(r"(?i)[(\[{\s]at[)\]}\s]")),
+    "dot_spelt": lambda v, b, a: _if(v.rlike(r"(?i)[(\[{\s]dot[)\]}\s]")),
+    "has_at": lambda v, b, a: _if(v.contains("@")),
+    "dot_after_at": lambda v, b, a: _if(v.rlike(r"@[^.]+\.\s?[A-Za-z]")),
     "changes": lambda v, b, a: F.size(F.split(v, r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")),
-    "assigned": lambda v, b, a: F.when(b.rlike(r"[=:]\s*[\"']?$"), 1).otherwise(0),
-    "secrecy": lambda v, b, a: F.when(b.rlike(_SECRECY), 1).otherwise(0),
-    "word_before": lambda v, b, a: F.when(b.rlike(r"[A-Za-z]\s?$"), 1).otherwise(0),
-    "quote_after": lambda v, b, a: F.when(a.rlike(r"^[\"']"), 1).otherwise(0),
+    "assigned": lambda v, b, a: _if(b.rlike(r"[=:]\s*[\"']?$")),
+    "secrecy": lambda v, b, a: _if(b.rlike(_SECRECY)),
+    "cue": lambda v, b, a: _if(b.rlike(r"(?i)(?:call|tel|phone|fax|mobile|card|visa|mail|contact|write|reach|ring)\W{0,3}(?:\w+\W{1,2}){0,2}$")),
+    "word_before": lambda v, b, a: _if(b.rlike(r"[A-Za-z]\s?$")),
+    "path_before": lambda v, b, a: _if(b.rlike(r"[/.]$")),
+    "quote_after": lambda v, b, a: _if(a.rlike(r"^[\"']")),
 }
 
 
@@ -66,6 +90,32 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then).getItem(0)
 
 
+def _running(values: Column, of, both) -> Column:
+    """For each element of an array of numbers what ``of`` gives for all before it, worked
+    out by blocks: inside the element's block, and over the blocks before."""
+
+    def whole(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda c: of(F.slice(v, c * BLOCK + 1, F.lit(BLOCK))))
+
+        def ahead(s: Column) -> Column:
+            before = F.transform(s, lambda x, c: of(F.slice(s, F.lit(1), c)))
+            inside = lambda i: of(F.slice(v, i - i % BLOCK + 1, i % BLOCK))
+            return _let(before, lambda o: F.transform(v, lambda x, i: both(F.get(o, F.floor(i / BLOCK).cast("int")), inside(i))))
+
+        return F.when(F.size(v) == 0, v).otherwise(_let(sums, ahead))
+
+    return _let(values, whole)
+
+
+def _sum(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _most(v: Column) -> Column:
+    return F.coalesce(F.array_max(v), F.lit(0).cast("bigint"))
+
+
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int,value:string,before:string,after:string>>"
 
 
@@ -73,20 +123,19 @@ def _found(text: Column, kind: str, pattern: str, needs: str) -> Column:
     """All matches with their places, leftmost and not overlapping."""
 
     def places(m: Column) -> Column:
-        parts = F.split(text, pattern, -1)
-
         def of(p: Column) -> Column:
-            # lengths add up in one fold; starts are appended as it goes
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(p, i))
-                end = start + F.length(F.get(m, i))
-                span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), F.get(m, i).alias("value"), F.right(F.get(p, i), F.lit(32)).alias("before"), F.left(F.get(p, i + 1), F.lit(8)).alias("after"))
-                return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+            steps = F.transform(m, lambda x, i: (F.length(F.get(p, i)) + F.length(x)).cast("bigint"))
+
+            def spans(ends: Column) -> Column:
+                def span(x: Column, i: Column) -> Column:
+                    start = F.get(ends, i) + F.length(F.get(p, i))
+                    return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x.alias("value"), F.right(F.get(p, i), F.lit(32)).alias("before"), F.left(F.get(p, i + 1), F.lit(8)).alias("after"))
 
-            first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), first, step, lambda acc: acc["out"])
+                return F.transform(m, span)
 
-        return F.when(F.size(m) > 0, _let(parts, of)).otherwise(F.array().cast(_SPAN))
+            return _let(_running(steps, _sum, lambda o, x: o + x), spans)
+
+        return F.when(F.size(m) > 0, _let(F.split(text, pattern, -1), of)).otherwise(F.array().cast(_SPAN))
 
     return F.when(text.rlike(needs), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)).otherwise(F.array().cast(_SPAN))
 
@@ -114,20 +163,38 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def _with_spans(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``base`` (validated spans) and ``offers`` (candidates of the generators)."""
-    text = F.col(text_col)
-    marked = text.rlike(r"[0-9@]|[A-Za-z0-9_/+=-]{20}")
-    none = F.array().cast(_SPAN)
+def _luhn_of(v: Column) -> Column:
+    digits = F.regexp_replace(v, F.lit("[^0-9]"), F.lit(""))
+    return F.coalesce(F.when(F.length(digits).between(13, 19), _luhn(digits)), F.lit(False))
+
+
+def _masked(text: Column, kind: str) -> Column:
+    """The text with valid matches of a kind replaced, letter for letter."""
+    pattern, needs = BASE[kind]
+
+    def of(m: Column) -> Column:
+        kept = F.transform(m, lambda x: F.when(_valid(kind, x), F.repeat(F.lit(MASK), F.length(x))).otherwise(x))
+        return F.when(F.size(m) == 0, text).otherwise(F.array_join(F.zip_with(F.split(text, pattern, -1), kept, lambda a, x: F.concat(a, F.coalesce(x, F.lit("")))), ""))
+
+    return F.when(text.rlike(needs), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)).otherwise(text)
+
+
+def _base(text: Column) -> Column:
     valid = lambda kind: lambda s: _valid(kind, s["value"])
-    base = [F.filter(_found(text, k, *p), valid(k)) for k, p in BASE.items()]
-    offers = [_found(text, k, *p) for k, p in GENERATORS.items()]
-    df = df.withColumn("base", F.when(marked, F.concat(*base)).otherwise(none))
-    return df.withColumn("offers", F.when(marked, F.concat(*offers)).otherwise(none))
+    return F.concat(*[F.filter(_found(text, k, *p), valid(k)) for k, p in BASE.items()])
+
+
+def _offers(text: Column) -> Column:
+    """Candidates of the generators, in the text without validated spans."""
+
+    def masked(t: Column, kinds: list[str]) -> Column:
+        return _let(_masked(t, kinds[0]), lambda x: masked(x, kinds[1:])) if kinds else F.concat(*[_found(t, k, *p) for k, p in GENERATORS.items()])
+
+    return masked(text, list(BASE))
 
 
-def _covered(s: Column, base: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _marked(text: Column) -> Column:
+    return text.rlike(r"[0-9@]|[A-Za-z0-9_/+=-]{16}|(?i:[(\[{\s]at[)\]}\s])")
 
 
 class Trees:
@@ -193,28 +260,75 @@ def _features(s: Column) -> list[Column]:
     return [f(s["value"], F.coalesce(s["before"], F.lit("")), F.coalesce(s["after"], F.lit(""))).cast("double") for f in FEATURES.values()] + [s["kind"].cast("double")]
 
 
+def _plants(seed: Column) -> list[tuple[Column, bool]]:
+    """Sentences whose candidates are personal, or not, made from a hash."""
+    number = lambda k, n: F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(10**n))
+    digits = lambda k, n: F.lpad(number(k, n).cast("string"), n, "0")
+    pick = lambda k, *of: F.get(F.array(*map(F.lit, of)), F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(len(of))).cast("int"))
+    key = lambda k, n: F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(seed.cast("string"), F.lit(str(k))), 384))), "+/=", "xyz"), F.lit(1), F.lit(n) if isinstance(n, int) else n)
+    hexed = lambda k, n: F.substring(F.sha2(F.concat(seed.cast("string"), F.lit(str(k))), 256), F.lit(1), F.lit(n) if isinstance(n, int) else n)
+    say = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    name, host, tld = pick(1, "sam.miller", "j_doe", "anna", "k.ortiz7", "lee+news", "maria"), pick(2, "example", "mail", "post-box", "acme", "uni"), pick(3, "com", "org", "net", "de", "fr")
+    at, dot = pick(4, " (at) ", "[at]", " @ ", " at ", "(AT)", " [at] "), pick(5, " (dot) ", "[dot]", " dot ", " [dot] ")
+    lead = pick(6, "Contact: ", "write to ", "", "reach me via ", "mail ", "My address is ")
+    body = F.concat(F.lit("4"), digits(7, 14))
+    last = F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: _luhn(F.concat(body, d.cast("string")))), F.lit(0)).cast("string")
+    four = [F.substring(F.concat(body, last), i, 4) for i in (1, 5, 9, 13)]
+    gap = pick(8, "  ", ".", "/", " - ", "_", "--")
+    call = pick(9, "Call ", "tel: ", "phone ", "", "Fax: ", "my number is ")
+    area, mid, end = digits(10, 3), digits(11, 3), digits(12, 4)
+    day, year = F.lpad((number(13, 2) % 12 + 1).cast("string"), 2, "0"), F.concat(F.lit("20"), digits(14, 2))
+    long = pick(15, "very-long-hyphenated-class-name", "internationalization_settings", "node_modules/some/path/to/file", "AbstractSingletonProxyFactoryBean", "================", "SOME_CONSTANT_VALUE_NAME", "home/user/projects/engine")
+    size = F.get(F.array(*map(F.lit, (20, 24, 32, 40, 48, 64))), F.pmod(F.xxhash64(seed, F.lit(27)), F.lit(6)).cast("int"))
+    value = F.when(F.pmod(seed, F.lit(2)) == 0, key(45, size)).otherwise(hexed(46, size))
+    return [
+        (say(lead, name, at, host, dot, tld, pick(16, ".", "", ", thanks")), True),
+        (say(lead, name, pick(17, "@", " @ ", "[at]", "(at)"), host, pick(18, ".", " . ", "(dot)"), tld), True),
+        (say(pick(19, "Card ", "", "visa: ", "paid with "), four[0], gap, four[1], gap, four[2], gap, four[3]), True),
+        (say(call, pick(20, "(", ""), area, pick(21, ") ", "-", "."), mid, pick(22, "-", ".", " "), end), True),
+        (say(pick(23, "token", "api_key", "secret", "password", "auth-token", "AWS_SECRET_KEY"), pick(24, " = ", ": ", "="), pick(25, '"', "'", ""), pick(26, "", "", "ghp_", "sk-", "AKIA"), value, pick(28, '"', "'", "")), True),
+        (say("meet at noon at ", host, ". the dot ", tld), False),
+        (say(pick(29, "on ", "", "since "), year, pick(30, "-", "/", "."), day, pick(31, "-", "/", "."), day, pick(32, "", " 12:30", " 0815")), False),
+        (say(pick(33, "version ", "build ", "No. ", "id "), year, day, day, pick(34, ".", "-"), digits(35, 4)), False),
+        (say(pick(36, "a sum of ", "EUR ", ""), digits(37, 2), pick(38, ".", " "), digits(39, 3), pick(40, ".", " "), digits(41, 3)), False),
+        (say(pick(42, "commit ", "sha ", "see ", "at /"), hexed(43, 40)), False),
+        (say(pick(44, "class ", "see ", "import ", ""), long), False),
+    ]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(r"[@]|[0-9](?:[\x20().-]{0,2}[0-9]){7}|[A-Za-z0-9_/+=-]{20}"))
-    first = known.where(F.length("text") <= 20_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = _with_spans(first, "text").select("doc_id", "base", F.explode("offers").alias("s"))
-    rows = rows.select(F.xxhash64("doc_id", "s.start", "s.kind").alias("h"), F.array(*_features(F.col("s"))).alias("x"), (_covered(F.col("s"), F.col("base")) | F.coalesce(F.col("s.before").rlike(_SECRECY), F.lit(False))).alias("y"))
-    got = rows.orderBy("h", "x", "y").limit(SAMPLE_ROWS).collect()
+    """Trees fitted on about ``SAMPLE_DOCS`` documents, chosen by a hash before texts move."""
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    n = docs.count()
+    if not n:
+        return Trees()
+    h = F.xxhash64("doc_id", "text")
+    some = known.withColumn("h", h).where(F.pmod(F.col("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / n)) + 1)
+    some = some.dropDuplicates(["h"]).select("h", "text")  # equal rows count once
+    texts = [F.struct(F.col("text").alias("t"), F.lit(False).alias("y"))] + [F.struct(t.alias("t"), F.lit(y).alias("y")) for t, y in _plants(F.col("h"))]
+    each = some.select("h", F.posexplode(F.array(*texts)).alias("i", "x")).select("h", "i", "x.*")
+    rows = each.select("h", "i", "y", F.explode(F.when(_marked(F.col("t")), _offers(F.col("t"))).otherwise(F.array().cast(_SPAN))).alias("s"))
+    order = F.xxhash64("h", "i", "s.start", "s.kind")
+    got = rows.select(order.alias("o"), F.array(*_features(F.col("s"))).alias("x"), "y").orderBy("o", "x", "y").limit(SAMPLE_ROWS).collect()
     if not got:
         return Trees()
     return Trees().fit(np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got]))
 
 
 def find(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """Adds ``base`` and ``spans`` (all): arrays of (start, end, kind) by start and kind."""
-    d = _with_spans(docs.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), text_col)
+    """Sets ``pii_base`` and ``pii_spans`` (all): arrays of (start, kind, end) by start and
+    kind. The text of a row is never null after it."""
+    d = docs.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text, none = F.col(text_col), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
 
-    def more(s: Column) -> Column:
-        return ~_covered(s, F.col("base")) & (_let(F.array(*_features(s)), lambda x: trees.column([F.get(x, F.lit(i)) for i in range(len(FEATURES) + 1)])) >= trees.threshold)
+    def personal(s: Column) -> Column:
+        return _let(F.array(*_features(s)), lambda x: trees.column([F.get(x, F.lit(i)) for i in range(len(FEATURES) + 1)])) >= trees.threshold
 
-    added = F.filter("offers", more) if trees.trees and trees.threshold <= 1 else F.filter("offers", lambda s: F.lit(False))
-    d = d.withColumn("spans", F.array_sort(F.transform(F.concat("base", added), place)))
-    return d.withColumn("base", F.array_sort(F.transform("base", place))).drop("offers")
+    added = F.filter(_offers(text), personal) if trees.trees and trees.threshold <= 1 else F.array().cast(_SPAN)
+    d = d.withColumn("pii_base", F.when(_marked(text), F.transform(_base(text), place)).otherwise(none))
+    d = d.withColumn("pii_spans", F.when(_marked(text), F.array_sort(F.concat("pii_base", F.transform(added, place)))).otherwise(none))
+    return d.withColumn("pii_base", F.array_sort("pii_base"))
 
 
 def joined(spans: Column) -> Column:
@@ -226,20 +340,29 @@ def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by the first's [KIND]."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.get(names, s["kind"]))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def of(s: Column) -> Column:
+        def runs(reach: Column) -> Column:
+            first = F.filter(F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), F.get(reach, i).alias("reach"))), lambda x: x["start"] >= x["reach"])
+            end = _most(F.transform(s, lambda x: x["end"]))
+
+            def put(f: Column) -> Column:
+                def letters(c: Column) -> Column:
+                    gap = lambda a, b: F.array_join(F.slice(c, a.cast("int") + 1, (b - a).cast("int")), "")
+                    parts = F.transform(f, lambda x: F.concat(gap(x["reach"], x["start"]), F.get(names, x["kind"])))
+                    return F.concat(F.array_join(parts, ""), gap(end, F.size(c).cast("bigint")))
+
+                return _let(F.split(text, ""), letters)
+
+            return _let(first, put)
+
+        return _let(_running(F.transform(s, lambda x: x["end"]), _most, lambda o, x: F.greatest(o, x)), runs)
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, of))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans."""
     trees = fit(docs, id_col, text_col)
     d = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), trees)
-    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    return d.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    count = lambda i: F.size(F.filter("pii_base", lambda s: s["kind"] == i)).cast("long")
+    return d.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))

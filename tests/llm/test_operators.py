@@ -193,7 +193,7 @@ def test_pii(spark, docs):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in pii.KINDS[:4]]
         assert set(filter(None, digest.split(","))) <= set(r.spans.split(","))
     found = pii.find(extra, pii.Trees())
-    red = {r.doc_id: r.t for r in found.select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    red = {r.doc_id: r.t for r in found.select("doc_id", pii.redacted(F.col("text"), F.col("pii_spans")).alias("t")).collect()}
     assert red[10**6] == "[EMAIL][EMAIL] x" and red[10**6 + 5] == ""
     assert pii.report(extra.limit(0)).count() == 0
 
