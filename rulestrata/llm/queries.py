@@ -30,10 +30,6 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.scan(table(spark, sf_dir, "documents"))
 
 
-def op5_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licence_scan.scan_windows(table(spark, sf_dir, "documents"))
-
-
 def _tokenizer() -> tuple[str, str]:
     """The ranks' path and the pattern: parameters of the operators."""
     import public_tokenizers

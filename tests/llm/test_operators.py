@@ -202,7 +202,7 @@ def test_licences(docs, odd):
     import duckdb
 
     duckdb.sql(f"create or replace view documents as select * from '{SF}/documents.parquet'")
-    want = sorted(duckdb.sql("select doc_id, n_lines, licences from (" + licence_scan.duckdb_sql() + ")").fetchall())
+    want = sorted(duckdb.sql("select doc_id, n_notices, licences from (" + licence_scan.duckdb_sql() + ")").fetchall())
     assert sorted(tuple(r)[:3] for r in licence_scan.scan(docs).collect()) == want
     assert licence_scan.scan(odd).count() == len(ODD)
 
@@ -215,16 +215,17 @@ def licence_windows(text):
     for name, t in grams.items():
         for i in range(len(g)):
             ends = range(i, min(len(g), i + int(len(t) * 1.5 + 1e-9))) if g[i] in t else ()
-            worse, j = min(((-2.0 * len(set(g[i : j + 1]) & t) / (len(set(g[i : j + 1])) + len(t)), j) for j in ends), default=(0, 0))
+            both = {j: len(set(g[i : j + 1]) & t) for j in ends}
+            worse, j = min(((-2.0 * c / (len(set(g[i : j + 1])) + len(t)), j) for j, c in both.items()), default=(0, 0))
             if worse <= -0.8:
-                found.append((i, worse, name, j))
+                found.append((i, -both[j], worse, name, j))
     kept = []
     for f in sorted(found):
-        if not kept or f[0] > kept[-1][3]:
+        if not kept or f[0] > kept[-1][4]:
             kept.append(f)
-        elif f[1] < kept[-1][1]:
+        elif f[1:3] < kept[-1][1:3]:
             kept[-1] = f
-    return len(kept), ",".join(sorted({k[2] for k in kept})), max((-k[1] for k in kept), default=None)
+    return len(kept), ",".join(sorted({k[3] for k in kept})), max((-k[2] for k in kept), default=None)
 
 
 def test_licence_windows(spark, docs, odd):
@@ -232,12 +233,18 @@ def test_licence_windows(spark, docs, odd):
     t = licence_scan.TEMPLATES
     texts = [wrap(t[k], n, mark) for k in ("mit-text", "isc", "bsd-3-clause", "gpl-3.0") for n in (4, 9) for mark in ("", " * ", "// ")]
     texts += ["A tale of rivers. " * 9 + t["mit-text"] + " and more of the tale. " * 9, "Code: licensed under CC BY-NC 4.0. " * 3, "all rights all rights reserved", "Licensed", t["mit-text"] + "\n\n" + t["isc"]]
+    kept = [k for k in t for _ in range(2) if k.endswith(("-full", "-text", "-notice", "zlib")) and k != "mit-text"]
+    whole = [f"Some prose before it. Copyright 2020 A. N. Author\n\n{wrap(t[k], 11, mark)}\n\nand code after it" for i, k in enumerate(kept) for mark in (("", " * ")[i % 2],)]
+    texts += whole
     extra = spark.createDataFrame([(10**6 + i, x, "en", "s", 0) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     df = docs.unionByName(extra)
-    got = {r.doc_id: (r.n_notices, r.licences, r.best_dice) for r in licence_scan.scan_windows(df).collect()}
+    got = {r.doc_id: (r.n_notices, r.licences, r.best_dice) for r in licence_scan.scan(df).collect()}
     assert got == {r.doc_id: licence_windows(r.text) for r in df.collect()}
     assert [got[10**6 + i][1] for i in (0, 6, 12, 18, 24, 25, 28)] == ["mit-text", "isc", "bsd-3-clause", "gpl-3.0", "mit-text", "cc-by-nc-4.0", "isc,mit-text"]
-    assert licence_scan.scan_windows(odd).count() == len(ODD) and licence_scan.scan_windows(odd.limit(0)).count() == 0
+    for k in range(len(whole)):  # whole texts and headers at 80 columns and 11 words, as comments, with a copyright line and text around
+        names = {got[10**6 + len(texts) - len(whole) + k][1]}
+        assert names == {kept[k]}, kept[k]
+    assert licence_scan.scan(odd).count() == len(ODD) and licence_scan.scan(odd.limit(0)).count() == 0
 
 
 def auc(score, y):
