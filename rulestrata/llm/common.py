@@ -18,22 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
-    cluster names one; a temporary folder only where it is unset (tests, local mode)."""
+    cluster names one. Only in one JVM (tests, local mode) may it be unset: then it is a
+    temporary folder. On a cluster a folder of one machine would lose rows, so it is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="rulestrata-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, drop: tuple[DataFrame, ...] | list[DataFrame] = ()) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. Survives the loss of
-    executors, is compressed, and lets the next plan prune columns."""
+    executors, is compressed, and lets the next plan prune columns. ``drop``: tables written
+    before that nothing needs from now on; they are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rulestrata-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rulestrata_path = path
+    for old in drop:
+        gone = getattr(old, "rulestrata_path", None)
+        if gone:
+            _delete(spark, gone)
+            _written[:] = [w for w in _written if w[1] != gone]
+    return out
 
 
 @atexit.register

@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     before = _state(e)
     while before[0]:
-        e = written(_small_star(_large_star(e)))
+        e = written(_small_star(_large_star(e)), drop=[e])
         after = _state(e)
         if after == before:
             break

@@ -229,7 +229,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     linked = found.groupBy("cid").agg(F.sum("links").alias("links"))
     group = components(found.select("cid", "root")).withColumnRenamed("id", "cid")
     each = classes.select("label", "key", "cid", "copies", "low").join(linked, "cid", "left").join(group, "cid", "left")
-    each = written(each.select("label", "key", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root")))
+    each = written(each.select("label", "key", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root")), drop=[classes, placed, found])
     named = each.groupBy("root").agg(F.min("low").alias("component"))
     per_class = each.join(named, "root").select("label", "key", "n_links", "component")
     linked_rows = keyed.select("id", "label", "key").join(per_class, ["label", "key"]).select("id", "n_links", "component")

@@ -81,7 +81,7 @@ def duals(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
         s = s.withColumn("low", low).withColumn("high", high).withColumn("next", F.col("dual") + gap / F.greatest(F.col("slope"), F.lit(1e-9)))
         inside = (F.col("next") > F.col("low")) & (F.col("next") < F.col("high"))
         done = F.col("done") | (F.abs(gap) <= 1e-5 * F.col("source_size"))
-        state = written(s.select("source", "target", "source_size", "mean", F.when(done, F.col("dual")).when(inside, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2).alias("dual"), "low", "high", done.alias("done")))
+        state = written(s.select("source", "target", "source_size", "mean", F.when(done, F.col("dual")).when(inside, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2).alias("dual"), "low", "high", done.alias("done")), drop=[state])
         if step % 3 == 2 and state.where("not done").isEmpty():
             break
     return state.select("source", "mean", "dual")

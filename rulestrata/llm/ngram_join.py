@@ -85,12 +85,12 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _digests(k: int):
-    """(id, n, digest of the set)."""
+    """(id, hash of the text, n, digest of the set)."""
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary())], names=["id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary())], names=["id", "text_hash", "n", "digest"])
 
     return run
 
@@ -363,12 +363,14 @@ def _dealt(entries: DataFrame, limit: int) -> DataFrame:
     return d.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_o", "_few", "_many", "main")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, list_rows: int = LIST_ROWS, cell_tokens: int = CELL_TOKENS) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id. Links need
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, list_rows: int = LIST_ROWS, cell_tokens: int = CELL_TOKENS, hashes: bool = False) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id, and with ``hashes``
+    text_hash (xxhash64 of the text), which tells rows of one id apart. Links need
     den * intersection >= num * union of the sets of ``k``-word shingles."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = written(docs.mapInArrow(_digests(k), "id long, n long, digest binary"))
+    hashed = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    seen = written(hashed.mapInArrow(_digests(k), "id long, text_hash long, n long, digest binary"))
     grouped = seen.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("id").alias("low"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()))
     common = docs.mapInArrow(_low(k, num, den), "token long").groupBy("token").count().where(F.col("count") >= HOT_ROWS)
@@ -423,8 +425,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         second = pairs_of(_dealt(written(joined), list_rows), True).select("x", "y")
         if not second.isEmpty():
             group = components(links.union(linked(second))).withColumnRenamed("id", "cid")
-    each = written(classes.join(group, "cid", "left").select("digest", "low", F.coalesce("component", "cid").alias("root")))
+    each = written(classes.join(group, "cid", "left").select("digest", "low", F.coalesce("component", "cid").alias("root")), drop=[classes, short, merged, first, links])
     named = each.groupBy("root").agg(F.min("low").alias("component"))
-    inside = seen.where("n > 0").join(each.join(named, "root").select("digest", "component"), "digest").select("id", "n", "component")
-    outside = seen.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return inside.union(outside).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    inside = seen.where("n > 0").join(each.join(named, "root").select("digest", "component"), "digest").select("id", "n", "component", "text_hash")
+    outside = seen.where("n = 0").select("id", "n", F.col("id").alias("component"), "text_hash")
+    more = ["text_hash"] if hashes else []
+    return inside.union(outside).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), *more)

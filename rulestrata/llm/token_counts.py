@@ -9,8 +9,9 @@ over the limit makes any quantile a look-up. Suffix sums are taken inside blocks
 ``BLOCK`` lengths, to which the totals of later blocks are added, so that no task sorts
 the whole histogram.
 
-Defined cases: null and empty texts have length 0 and count as documents; repeated rows
-count each; an empty table gives an empty result."""
+Defined cases: null and empty texts have length 0 and count as documents; null ids and
+repeated rows count each; very long texts are encoded whole and have a row of their own;
+other columns, whatever their names, are not read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -49,3 +50,18 @@ def token_counts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "
 def quantile(counts: DataFrame, q: float) -> DataFrame:
     """The least length that at least the share ``q`` of documents does not exceed."""
     return counts.where(F.col("share_within") >= q).agg(F.min("context_limit").alias("length"))
+
+
+def at_limits(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """For any limits (a column ``context_limit`` of few rows), lengths or not: docs_within,
+    docs_over, share_within, tokens, tokens_truncated. A limit counts as the greatest length
+    up to it, and adds a token per further one to each document that is over."""
+    wanted = F.broadcast(limits.select(F.col("context_limit").cast("long").alias("limit")).distinct())
+    total = counts.agg(F.sum("n_docs").alias("all_docs"), F.first("tokens").alias("all_tokens"))
+    last = F.max_by(F.struct("context_limit", "docs_over", "docs_within", "tokens_truncated"), "context_limit").alias("r")
+    low = wanted.join(counts, F.col("context_limit") <= F.col("limit"), "left").groupBy("limit").agg(last).crossJoin(F.broadcast(total))  # one row
+    none = F.lit(0).cast("long")
+    over = F.coalesce("r.docs_over", "all_docs")
+    cut = F.coalesce(F.col("r.tokens_truncated"), none) + (F.col("limit") - F.coalesce(F.col("r.context_limit"), none)) * over
+    within = F.coalesce(F.col("r.docs_within"), none)
+    return low.select(F.col("limit").alias("context_limit"), within.alias("docs_within"), over.alias("docs_over"), (within / F.col("all_docs")).alias("share_within"), F.col("all_tokens").alias("tokens"), cut.alias("tokens_truncated"))

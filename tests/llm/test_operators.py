@@ -104,10 +104,38 @@ def test_mixing(docs, odd):
         taken[r.source] += r.taken
     for s in names:
         target = 2 * size[s] if s in full else weight[s] * level
-        assert abs(taken[s] - target) <= 0.03 * target + 60
+        assert abs(taken[s] - target) <= 0.005 * target + 60
+    got = {(r.doc_id, r.size, r.source_size, r.target, r.source) for r in mixing.mix(odd.withColumn("size", F.lit("x")).withColumn("rate", F.lit(1))).collect()}
+    n = len(words(LONG))
+    total = 1.5 * (4 + 4 + n + 8)  # sources a, b, c, é, null weigh 3, 1, 2, 3, 1; all but c stop at twice their words
+    full = {"a": 8.0, "b": 8.0, "é": 16.0, None: 0.0}
+    assert {(r[4], r[2], r[3]) for r in got} == {("a", 4, 8.0), ("b", 4, 8.0), ("c", n, total - sum(full.values())), ("é", 8, 16.0), (None, 0, 0.0)}
+    assert {(r[0], r[1]) for r in got} == {(1, 0), (2, 0), (3, 2), (None, 4), (4, 0), (5, n), (6, 4), (7, 4)}
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_shared_folder(spark, monkeypatch):
+    from rulestrata.llm import common
+
+    class Conf:
+        def __init__(self, **kv):
+            self.kv = kv
+
+        def get(self, key, default=None):
+            return self.kv.get(key.replace(".", "_"), default)
+
+    class Session:
+        conf = Conf(spark_master="spark://host:7077")
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    Session.conf = Conf(spark_master="yarn", spark_checkpoint_dir="s3a://bucket/x/")
+    assert common.shared_dir(Session()) == "s3a://bucket/x"
+    a = common.written(spark.range(5))
+    b = common.written(a, drop=[a])
+    assert b.count() == 5 and not __import__("os").path.exists(a.rulestrata_path.removeprefix("file:"))
+
+
 def test_bpe_equals_tiktoken(docs, odd):
     import tiktoken
 
@@ -135,6 +163,77 @@ def test_token_counts(docs):
     assert token_counts.quantile(counts, 0.5).first()[0] == sorted(n)[(len(n) + 1) // 2 - 1]
 
 
+def test_token_counts_between_lengths_and_of_odd_tables(spark, odd):
+    path, pattern = _tokenizer()
+    counts = token_counts.token_counts(odd.withColumn("n_tokens", F.lit("x")).withColumn("length", F.lit(None)), path, pattern)
+    n = [r.n_tokens for r in byte_bpe.encode(odd, path, pattern).select("n_tokens").collect()]
+    assert sorted((r.context_limit, r.n_docs) for r in counts.collect()) == sorted(collections.Counter(n).items())
+    limits = sorted({0, 1, 2, 3, 7, 1000, max(n) - 1, max(n), max(n) + 5})
+    got = token_counts.at_limits(counts, spark.createDataFrame([(k,) for k in limits], "context_limit int")).collect()
+    assert sorted((r.context_limit, r.docs_within, r.docs_over, r.tokens, r.tokens_truncated) for r in got) == [(k, sum(x <= k for x in n), sum(x > k for x in n), sum(n), sum(min(x, k) for x in n)) for k in limits]
+    assert token_counts.token_counts(odd.limit(0), path, pattern).count() == 0
+
+
+def test_bpe_of_very_long_words(spark):
+    import tiktoken
+
+    path, pattern = _tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    r = np.random.default_rng(2)
+    letters = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    texts = [letters(65), letters(300), "ab" * 400, "the" * 50 + letters(5000), "é" * 200, "x" * 20_000, "\U0001f600" * 90, letters(64) + " " + letters(66)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in byte_bpe.encode(d, path, pattern).collect():
+        ids = enc.encode_ordinary(texts[row.doc_id])
+        assert row.n_tokens == len(ids) and row.ids == struct.pack(f"<{len(ids)}I", *ids)
+        assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def js(p, q):
+    a, b = sum(p), sum(q)
+    if not a or not b:
+        return None
+    total = 0.0
+    for x, y in zip(p, q, strict=True):
+        x, y = x / a, y / b
+        for z in (x, y):
+            total += z * np.log2(2 * z / (x + y)) if z > 0 else 0.0
+    return max(0.0, total / 2) ** 0.5
+
+
+def histograms(text, lang):
+    kinds = [r"[\x20\x09-\x0D]", "[#*$%&|<>]", "[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", r"[^\x00-\x7F]"]
+    chars = [len(re.findall(k, text)) for k in kinds]
+    known = quality_rules.COMMON.get(lang, [])
+    count = collections.Counter(w.lower() for w in words(text) if len(w) <= 5)
+    common = [count[w] for w in known]
+    return [*chars, len(text) - sum(chars)], [*common, len(words(text)) - sum(common)]
+
+
+def test_quality_distances_and_verdicts(docs, odd):
+    for df in (docs, odd):
+        rows = df.collect()
+        own = [histograms(r.text or "", r.lang) for r in rows]
+        sums = {}
+        for r, (c, w) in zip(rows, own, strict=True):
+            for lang in {r.lang, None}:
+                a, b = sums.setdefault(lang, ([0] * 7, [0] * len(w)))
+                sums[lang] = ([x + y for x, y in zip(a, c, strict=True)], [x + y for x, y in zip(b, w, strict=False)] if lang is not None else [])
+        want = collections.Counter()
+        for r, (c, w) in zip(rows, own, strict=True):
+            t, n = r.text or "", words(r.text)
+            char = js(c, sums[r.lang][0])
+            word = js(w, sums[r.lang][1]) if len(w) > 1 else None
+            odd_one = (sum(map(len, n)) >= quality_rules.MIN_CHARS and (char or 0) > quality_rules.MAX_CHARS) or (len(n) >= quality_rules.MIN_WORDS and (word or 0) > quality_rules.MAX_WORDS)
+            g = [tuple(n[i : i + 3]) for i in range(len(n) - 2)]
+            k = collections.Counter(g)
+            failed = len(n) < 50 or 100 * len({i + j for i, x in enumerate(g) if k[x] > 1 for j in range(3)}) > 50 * len(n)
+            shown = lambda x: None if x is None else round(x, 6)
+            want[r.doc_id, failed, not failed and not odd_one, shown(char), shown(word), len(t) > -1] += 1
+        got = collections.Counter((r.doc_id, r.base_failed, r.kept, None if r.char_distance is None else round(r.char_distance, 6), None if r.word_distance is None else round(r.word_distance, 6), True) for r in quality_rules.assess(df).collect())
+        assert got == want
+
+
 def test_quality_rules(docs, odd):
     for df in (docs, odd):
         text = {r.doc_id: r.text or "" for r in df.collect()}
@@ -257,8 +356,10 @@ def test_classifiers(spark):
     q = quality_cnn.classify(d, lab).join(lab, "doc_id").where("held_out").toPandas()
     assert auc(q.score.to_numpy(), q.quality.to_numpy()) > 0.9
     assert all((zlib.crc32(str(i).encode()) % 5 == 0) for i in q.doc_id)
-    t = toxicity_svm.classify(d, lab).join(lab, "doc_id").where("held_out").toPandas()
-    assert auc(t.score.to_numpy(), t.toxic.to_numpy()) > 0.9
+    for sf, least in (("sf0.01", 0.65), ("sf0.1", 0.9)):  # the smaller one has 30 toxic rows to learn from
+        d, lab = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        t = toxicity_svm.classify(d, lab).join(lab, "doc_id").where("held_out").toPandas()
+        assert auc(t.score.to_numpy(), t.toxic.to_numpy()) > least
 
 
 def test_classifiers_odd(spark, odd):
