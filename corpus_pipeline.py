@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 classify (quality classifier) drops documents that it rejects; dedup (n-gram Jaccard
-join) keeps one document of each group, the smallest doc_id; redact (PII) replaces spans;
+join, five words, 0.8) keeps one document of each group, the smallest doc_id; redact (PII) replaces spans;
 mix (mixing to target weights) repeats or leaves out documents; encode (byte-level BPE)
 returns ids. Every stage works on all rows that its predecessor kept; all but the last
 return the columns of ``documents``."""
@@ -21,31 +21,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality of 0.3 or more."""
+    """Documents with a quality of 0.3 or more. Every row is scored by its own whole text, a
+    null one as an empty one; rows with a null id and repeated rows are rows like others.
+    Without labels of both kinds all scores are 0.5, so all rows stay."""
     training = lambda c: ~labelled.held_out(c, 5, 0)
     net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), training)
     return quality_cnn.kept(docs.select(COLUMNS), net, 0.3)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies. A doc_id's
-    further rows, which are rows of the same document, stay with it."""
-    found = ngram_join.near_duplicates(docs)
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(losers, "doc_id", "left_anti").select(COLUMNS)
+    """The document of the smallest doc_id of each group of near copies: five-word shingles
+    with a similarity of 0.8 or more. Equal rows are one document and stay together; a row
+    that repeats the doc_id with another text has the group of its own text. A row with a
+    null id goes if its group has an id, and stays in a group without. Texts without words
+    are in no group."""
+    d = docs.select(COLUMNS)
+    found = ngram_join.near_duplicates(d, k=5, num=80, den=100, hashes=True)
+    other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    losers = found.where(other).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return d.join(losers, same, "left_anti").select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; a null text becomes an empty
+    one. Null ids, repeated rows and very long texts are rows like others."""
     trees = pii.fit(docs)
     d = pii.find(docs.select(COLUMNS), trees)
-    text = pii.redacted(F.col("text"), F.col("spans"))
+    text = pii.redacted(F.col("text"), F.col("pii_spans"))
     return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Rows that repeat a doc_id and source, a
-    null doc_id included, are all taken as often as the one of them that is taken most."""
+    null doc_id included, are all taken as often as the one of them that is taken most. Texts
+    without words are taken no time."""
     copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").cast("int").alias("copies"))
     d, c = docs.select(COLUMNS).alias("d"), copies.alias("c")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
@@ -54,6 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests and the ids of each row; a null text as an empty one."""
     return byte_bpe.encode(docs, *_tokenizer(), ids=True)
 
 
