@@ -169,9 +169,8 @@ class Model:
             there &= pairs[:, t]
         return there
 
-    def kernels(self, words: list[str], asked) -> np.ndarray:
-        """Kernels of words with the landmarks; of those that ``asked`` is true for."""
-        out = np.zeros((len(words), len(self.landmarks)), dtype=np.float64)
+    def kernels(self, words: list[str], asked):
+        """Of words that ``asked`` is true for, in parts: their places and their kernels."""
         for at in range(0, len(words), 2048):
             codes = _codes(words[at : at + 2048], WINDOW)
             near = np.flatnonzero(asked(self.possible(codes)))
@@ -180,8 +179,15 @@ class Model:
                 c = codes[near[lo : lo + 128]]
                 c = c[:, : max(ORDER, int((c > 0).sum(1).max()))]
                 k = subsequence_kernel(c, self.codes) / (np.sqrt(_self_kernel(c))[:, None] * self.own[None, :] + 1e-9)
-                out[at + near[lo : lo + 128]] = k
-        return out
+                yield at + near[lo : lo + 128], k.astype(np.float64)
+
+    def mapped(self, words: list[str], asked) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words that ``asked`` is true for: their places and Nyström features."""
+        parts = list(self.kernels(words, asked))
+        if not parts:
+            return np.empty(0, dtype=int), np.empty((0, len(self.landmarks)))
+        at = np.concatenate([p for p, _ in parts])
+        return at, np.concatenate([k for _, k in parts]) @ self.root
 
     def positive(self):
         """Whether a margin over 0 is possible: the margin is the product of the word's unit
@@ -199,9 +205,10 @@ class Model:
             each = [forms(w) for w in new]
             owner = np.repeat(np.arange(len(new)), [len(f) for f in each])
             asked = self.positive() if pruned else (lambda there: np.ones(len(there), dtype=bool))
-            f = self.kernels([x for own in each for x in own], asked) @ (self.root @ self.w) + self.bias
-            best = np.full(len(new), -1.0)
-            np.maximum.at(best, owner, np.where(f > 0, np.round(f, 4), -1.0))
+            best, weight = np.full(len(new), -1.0), self.root @ self.w
+            for at, k in self.kernels([x for own in each for x in own], asked):
+                f = k @ weight + self.bias
+                np.maximum.at(best, owner[at], np.where(f > 0, np.round(f, 4), -1.0))
             self.held.update(zip(new, best.tolist(), strict=True))
         return self.held
 
@@ -241,23 +248,23 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4)
     return v[:-1], float(v[-1])
 
 
-def _landmarks(ranked: list[str], odds: dict[str, float], docs: list[set[str]]) -> list[str]:
+def _landmarks(ranked: list[str], speaks: np.ndarray, holds: list[list[bool]]) -> list[str]:
     """Toxic landmarks, one after the other: the word that speaks most for the toxic
     documents, of which each counts less the more landmarks it holds already."""
     if not ranked:
         return []
     codes = _codes(ranked, WINDOW)
     own = _self_kernel(codes)
-    alike = np.concatenate([subsequence_kernel(codes[a : a + 64], codes) for a in range(0, len(codes), 64)]) / np.sqrt(np.outer(own, own)) >= ALIKE
-    holds = np.array([[w in d for d in docs] for w in ranked], dtype=float)
-    speaks = np.array([odds[w] for w in ranked])
-    covers, free, chosen = np.zeros(len(docs)), np.ones(len(ranked), dtype=bool), []
+    held = np.array(holds, dtype=np.float32)
+    covers, free, chosen = np.zeros(held.shape[1]), np.ones(len(ranked), dtype=bool), []
     while free.any() and len(chosen) < TOXIC_LANDMARKS:
-        i = int(np.argmax(np.where(free, speaks * np.sqrt(holds @ (1 / (1 + covers))), -1.0)))
+        i = int(np.argmax(np.where(free, speaks * np.sqrt(held @ (1 / (1 + covers))), -1.0)))
         chosen.append(i)
-        free &= ~alike[i]
+        kernel = np.concatenate([subsequence_kernel(codes[a : a + 256], codes[i : i + 1])[:, 0] for a in range(0, len(codes), 256)])
+        alike = kernel / np.sqrt(own * own[i]) >= ALIKE
+        free &= ~alike
         free[i] = False
-        covers += holds[alike[i]].any(0)
+        covers += held[alike].any(0)
     return [ranked[i] for i in chosen]
 
 
@@ -266,42 +273,46 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     if len(set(y.tolist())) < 2:
         return None
     plain = [words_of(t) for t, _ in rows]
-    known: dict[str, list[str]] = {}
-    docs = [{f for w in d for f in known.setdefault(w, forms(w))} for d in plain]
-    toxic, other = Counter(), Counter()
-    for d, v in zip(docs, y.tolist(), strict=True):
-        (toxic if v else other).update(w for w in d if len(w) >= ORDER and max(w) < "\uffff")
+    place: dict[str, int] = {}  # of each form; documents are arrays of places
+    known = {w: [place.setdefault(f, len(place)) for f in forms(w)] for w in sorted(set().union(*plain))}
+    docs = [np.unique(np.array([i for w in d for i in known[w]], dtype=np.int32)) for d in plain]
+    del known
+    vocabulary = list(place)
+    toxic, other = (np.bincount(np.concatenate([d for d, v in zip(docs, y, strict=True) if v == side]), minlength=len(place)) for side in (1, 0))
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    odds = {w: np.log((c + 0.5) / n1) - np.log((other[w] + 0.5) / n0) for w, c in toxic.items() if c >= 4}
-    evidence = {w: odds[w] * np.sqrt(toxic[w]) for w in odds}
-    ranked = sorted((w for w in odds if odds[w] >= LEAST_ODDS and evidence[w] >= LEAST_EVIDENCE), key=lambda w: (-evidence[w], w))
-    first = _landmarks(ranked, odds, [d for d, v in zip(docs, y.tolist(), strict=True) if v])
+    fit_to_be = np.array([len(w) >= ORDER and max(w) < "\uffff" for w in vocabulary])
+    odds = np.where(fit_to_be & (toxic >= 4), np.log((toxic + 0.5) / n1) - np.log((other + 0.5) / n0), 0.0)
+    evidence = odds * np.sqrt(toxic)
+    ranked = sorted(np.flatnonzero((odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).tolist(), key=lambda i: (-evidence[i], vocabulary[i]))
+    sets = [set(d.tolist()) for d, v in zip(docs, y, strict=True) if v]
+    first = _landmarks([vocabulary[i] for i in ranked], odds[ranked], [[i in d for d in sets] for i in ranked])
     if not first:
         return None
-    common = [w for w, _ in sorted(other.items(), key=lambda p: (-p[1], p[0])) if w not in first]
-    model = Model(first + common[:OTHER_LANDMARKS])
-    vocabulary = sorted(set().union(*docs))
+    common = sorted(np.flatnonzero(fit_to_be & (other > 0)).tolist(), key=lambda i: (-other[i], vocabulary[i]))
+    model = Model(first + [vocabulary[i] for i in common[: OTHER_LANDMARKS + len(first)] if vocabulary[i] not in first][:OTHER_LANDMARKS])
     parts = model.images**2
-    phi = model.kernels(vocabulary, lambda there: (there @ parts).max(1) >= FAINT**2) @ model.root
-    live = np.flatnonzero(np.abs(phi).sum(1) > 0)
-    row = {vocabulary[i]: k for k, i in enumerate(live)}
-    x = phi[live]
+    live, x = model.mapped(vocabulary, lambda there: (there @ parts).max(1) >= FAINT**2)
+    row = np.full(len(vocabulary), -1)
+    row[live] = np.arange(len(live))
+    everything = lambda there: np.ones(len(there), dtype=bool)
     put_in = [w[:i] + c + w[i:] for w in first for i in range(1, len(w)) for c in INSERTED if c not in (w[i - 1], w[i])]
-    extra = model.kernels([w[:WINDOW] for w in put_in], lambda there: np.ones(len(there), dtype=bool)) @ model.root
-    bags = [sorted(row[w] for w in d if w in row) for d in docs]
-    clean = np.unique(np.concatenate([np.array(b, dtype=int) for b, v in zip(bags, y, strict=True) if not v] + [np.empty(0, int)]))
-    f = np.array([evidence.get(vocabulary[i], 0.0) for i in live]) - 1
-    marks = Counter({row[w]: toxic[w] for w in first if w in row})
+    extra = model.mapped([w[:WINDOW] for w in put_in], everything)[1]
+    bags = [row[d][row[d] >= 0] for d in docs]
+    clean = np.unique(np.concatenate([b for b, v in zip(bags, y, strict=True) if not v] + [np.empty(0, int)]))
+    f = evidence[live] - 1
+    marks = {int(row[place[w]]): int(toxic[place[w]]) for w in first if row[place[w]] >= 0}
     for _ in range(4):
-        witness = Counter(max(b, key=lambda k: f[k]) for b, v in zip(bags, y, strict=True) if v and b and f[b].max() > 0) | marks
-        pos = np.array(sorted(witness))
+        witness = Counter(int(b[np.argmax(f[b])]) for b, v in zip(bags, y, strict=True) if v and len(b) and f[b].max() > 0) | Counter(marks)
+        pos = np.array(sorted(witness), dtype=int)
         neg = np.setdiff1d(clean, pos)
         yes = np.concatenate([np.sqrt([witness[k] for k in pos]), np.ones(len(extra))])
         no = np.ones(len(neg) + 1)
         both = np.concatenate([np.ones(len(yes)), -no])
         model.w, model.bias = _svm(np.concatenate([x[pos], extra, x[neg], np.zeros((1, x.shape[1]))]), both, np.concatenate([yes / (2 * yes.sum()), no / (2 * no.sum())]))
         f = x @ model.w + model.bias
-    w, b = labelled.logistic(model.features(plain), y.astype(float))
+    del x, docs, place, vocabulary
+    seen = np.concatenate([model.features(plain[at : at + 250]) for at in range(0, len(plain), 250)])
+    w, b = labelled.logistic(seen, y.astype(float))
     own = float(y.mean())
     model.doc = (w, b + np.log(share / (1 - share)) - np.log(own / (1 - own)))
     model.held = {}
