@@ -16,13 +16,15 @@ also with a letter put in, and at least one word of each toxic document are toxi
 word of others is. The linear
 SVM and the choice of each toxic document's witness alternate. A document's score is a
 logistic function, fitted to the labels, of its largest margin and of the numbers of
-words with margins over 0 and 0.5, over all of its words, and of how many words it has
-(at least ``FEW_WORDS``), since long texts hold chance likenesses.
-
-Only margins over 0 count, so a kernel is not computed where a bound shows the margin
-below it: by Cauchy-Schwarz a word's margin is at most the bias and the length of the
-SVM's normal over those subsequences whose letter pairs the word has in order.
-The scores are the same with and without the bound. Words are mapped once per batch; a
+words with margins over ``FLOOR`` and ``LARGE``, over all of its words, and of how many
+words it has (at least ``FEW_WORDS``), since long texts hold chance likenesses.
+
+A margin is linear in the kernels, so it is worked out against one image: the landmarks'
+images, weighted, are the SVM's normal over subsequences, and a word's margin is the sum
+of the normal over the word's subsequences by the length of the word's image, and the
+bias. Only margins over ``FLOOR`` count, so the length is not worked out where the least
+that a word of so many letters can have shows the margin below it; the scores are the
+same with and without that bound. Words are mapped once per batch; a
 worker's table of margins has a fixed bound. Words over ``WINDOW`` letters count, in
 fitting and scoring, as overlapping windows that cover them, of which the largest margin
 holds.
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -51,9 +54,11 @@ TOXIC_LANDMARKS, OTHER_LANDMARKS, WORDS_HELD, FEW_WORDS = 24, 4, 400_000, 30
 #: Log odds that a toxic landmark needs, these times the root of its documents, and its
 #: largest kernel with another landmark.
 LEAST_ODDS, LEAST_EVIDENCE, ALIKE = 1.5, 4.0, 0.7
+#: Margins that count, and those that count as large.
+FLOOR, LARGE = 0.3, 0.7
 #: In fitting, words whose kernels can only be below this have none; letters that are put
 #: into toxic landmarks as further examples.
-FAINT, INSERTED = 0.3, "aekqxz"
+FAINT, INSERTED = 0.1, "aekqxz"
 _SIGNS = {c: None for c in range(33, 127) if not chr(c).isalnum()} | {c: None for c in range(48, 58)}
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]+[^\W\d_]){2,}(?!\S)")
 _RUNS = re.compile(r"(.)\1+")
@@ -129,6 +134,13 @@ def _image(word: str) -> dict[str, float]:
     return out
 
 
+@cache
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All choices of ``ORDER`` places among ``n``, and their weights."""
+    at = np.array(list(combinations(range(n), ORDER))).T
+    return at, (DECAY ** (at[-1] - at[0] + 1)).astype(np.float32)
+
+
 class Model:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
@@ -139,64 +151,48 @@ class Model:
         self.root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
         images = [_image(w) for w in landmarks]
         triples = sorted(set().union(*images))
-        self.alphabet = np.full(0x10000, -1, dtype=np.int16)
         letters = sorted(set("".join(triples)))
-        for i, c in enumerate(letters):
-            self.alphabet[ord(c)] = i
-        self.n_letters = len(letters)
-        at = np.array([[int(self.alphabet[ord(c)]) for c in u] for u in triples])
-        self.triples = [at[:, i] * self.n_letters + at[:, j] for i, j in ((0, 1), (1, 2), (0, 2))]
-        self.images = np.zeros((len(triples), len(landmarks)), dtype=np.float32)
-        place = {u: i for i, u in enumerate(triples)}
-        for j, image in enumerate(images):
-            length = sum(v * v for v in image.values()) ** 0.5
-            for u, v in image.items():
-                self.images[place[u], j] = v / length
+        self.base = len(letters) + 1  # the last one stands for all other letters
+        self.alphabet = np.full(0x10000, len(letters), dtype=np.int32)
+        self.alphabet[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.table = np.zeros(self.base**ORDER, dtype=np.int32)
+        self.images = np.zeros((len(triples) + 1, len(landmarks)), dtype=np.float32)
+        for i, u in enumerate(triples, 1):
+            self.table[np.ravel_multi_index(self.alphabet[[ord(c) for c in u]], (self.base,) * ORDER)] = i
+            self.images[i] = [image.get(u, 0.0) for image in images]
+        self.images /= np.sqrt((self.images**2).sum(0))
         self.w, self.bias = np.zeros(len(landmarks)), 0.0
         self.doc: tuple[np.ndarray, float] | None = None
         self.held: dict[str, float] = {}
 
-    def possible(self, codes: np.ndarray) -> np.ndarray:
-        """Of each word the subsequences of the landmarks whose letter pairs it has in order."""
-        n, a = len(codes), self.alphabet[codes]
-        pairs = np.zeros((n, self.n_letters * self.n_letters), dtype=bool)
-        for j in range(1, codes.shape[1]):
-            for i in range(j):
-                ok = np.flatnonzero((a[:, i] >= 0) & (a[:, j] >= 0))
-                pairs[ok, a[ok, i].astype(int) * self.n_letters + a[ok, j]] = True
-        there = pairs[:, self.triples[0]]
-        for t in self.triples[1:]:
-            there &= pairs[:, t]
-        return there
-
-    def kernels(self, words: list[str], asked):
-        """Of words that ``asked`` is true for, in parts: their places and their kernels."""
-        for at in range(0, len(words), 2048):
-            codes = _codes(words[at : at + 2048], WINDOW)
-            near = np.flatnonzero(asked(self.possible(codes)))
-            near = near[np.argsort((codes[near] > 0).sum(1), kind="stable")]
-            for lo in range(0, len(near), 128):
-                c = codes[near[lo : lo + 128]]
-                c = c[:, : max(ORDER, int((c > 0).sum(1).max()))]
-                k = subsequence_kernel(c, self.codes) / (np.sqrt(_self_kernel(c))[:, None] * self.own[None, :] + 1e-9)
-                yield at + near[lo : lo + 128], k.astype(np.float64)
-
-    def mapped(self, words: list[str], asked) -> tuple[np.ndarray, np.ndarray]:
-        """Of the words that ``asked`` is true for: their places and Nyström features."""
-        parts = list(self.kernels(words, asked))
-        if not parts:
-            return np.empty(0, dtype=int), np.empty((0, len(self.landmarks)))
-        at = np.concatenate([p for p, _ in parts])
-        return at, np.concatenate([k for _, k in parts]) @ self.root
-
-    def positive(self):
-        """Whether a margin over 0 is possible: the margin is the product of the word's unit
-        image and the SVM's normal, so the normal's part over the possible subsequences bounds it."""
-        normal = np.maximum(self.images @ (self.root @ self.w).astype(np.float32), 0) ** 2
-        return lambda there: np.sqrt(there @ normal) * 1.001 + self.bias > 0
-
-    def margins(self, words, pruned: bool = True) -> dict[str, float]:
-        """Margins of ``words`` over all of their forms; -1 where they are not over 0."""
+    def products(self, words: list[str], onto: np.ndarray):
+        """In parts: places of words of one length, their codes, the products of their images
+        with the columns of ``onto``, and the least length that their images can have."""
+        length = np.array([len(w.encode("utf-16-le", "surrogatepass")) // 2 for w in words], dtype=int)
+        for n in np.unique(length[length >= ORDER]).tolist():
+            at, weight = _places(min(n, WINDOW))
+            which, least = np.flatnonzero(length == n), float(np.sqrt((weight**2).sum()))
+            step = max(1, 400_000 // (len(weight) * onto.shape[1]))
+            for lo in range(0, len(which), step):
+                codes = _codes([words[i] for i in which[lo : lo + step]], WINDOW)
+                a = self.alphabet[codes]
+                key = a[:, at[0]]
+                for x in at[1:]:
+                    key = key * self.base + a[:, x]
+                yield which[lo : lo + step], codes, np.einsum("rml,m->rl", onto[self.table[key]], weight), least
+
+    def mapped(self, words: list[str], faint: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Places and Nyström features of the words that can have a kernel over ``faint``."""
+        places, kernels = [np.empty(0, dtype=int)], [np.empty((0, len(self.landmarks)))]
+        for at, codes, product, least in self.products(words, self.images):
+            near = np.flatnonzero(product.max(1) / least >= faint)
+            if len(near):
+                places.append(at[near])
+                kernels.append(product[near] / np.sqrt(_self_kernel(codes[near]))[:, None])
+        return np.concatenate(places), np.concatenate(kernels) @ self.root
+
+    def margins(self, words, bounded: bool = True) -> dict[str, float]:
+        """Margins of ``words`` over all of their forms; 0 where they are not over ``FLOOR``."""
         new = [w for w in words if w not in self.held]
         if new:
             if len(self.held) + len(new) > WORDS_HELD:
@@ -204,11 +200,13 @@ class Model:
                 new = list(words)
             each = [forms(w) for w in new]
             owner = np.repeat(np.arange(len(new)), [len(f) for f in each])
-            asked = self.positive() if pruned else (lambda there: np.ones(len(there), dtype=bool))
-            best, weight = np.full(len(new), -1.0), self.root @ self.w
-            for at, k in self.kernels([x for own in each for x in own], asked):
-                f = k @ weight + self.bias
-                np.maximum.at(best, owner[at], np.where(f > 0, np.round(f, 4), -1.0))
+            best = np.zeros(len(new))
+            normal = (self.images @ (self.root @ self.w).astype(np.float32))[:, None]
+            for at, codes, product, least in self.products([x for own in each for x in own], normal):
+                near = np.flatnonzero(product[:, 0] / least * 1.001 + self.bias > FLOOR) if bounded else np.arange(len(at))
+                if len(near):
+                    f = product[near, 0] / np.sqrt(_self_kernel(codes[near])) + self.bias
+                    np.maximum.at(best, owner[at[near]], np.where(f > FLOOR, np.round(f, 4), 0.0))
             self.held.update(zip(new, best.tolist(), strict=True))
         return self.held
 
@@ -216,8 +214,8 @@ class Model:
         held = self.margins(set().union(*docs)) if docs else {}
         out = np.empty((len(docs), 4))
         for i, d in enumerate(docs):
-            f = [held[w] for w in d]
-            out[i] = (min(1.0, max(0.0, max(f, default=0.0))), np.log1p(sum(x > 0 for x in f)), np.log1p(sum(x > 0.5 for x in f)), np.log1p(max(FEW_WORDS, len(d))))
+            f = [m for m in map(held.__getitem__, d) if m]
+            out[i] = (min(1.0, max(f, default=0.0)), np.log1p(len(f)), np.log1p(sum(x > LARGE for x in f)), np.log1p(max(FEW_WORDS, len(d))))
         return out
 
     def score(self, docs: list[set[str]]) -> np.ndarray:
@@ -290,13 +288,11 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
         return None
     common = sorted(np.flatnonzero(fit_to_be & (other > 0)).tolist(), key=lambda i: (-other[i], vocabulary[i]))
     model = Model(first + [vocabulary[i] for i in common[: OTHER_LANDMARKS + len(first)] if vocabulary[i] not in first][:OTHER_LANDMARKS])
-    parts = model.images**2
-    live, x = model.mapped(vocabulary, lambda there: (there @ parts).max(1) >= FAINT**2)
+    live, x = model.mapped(vocabulary, FAINT)
     row = np.full(len(vocabulary), -1)
     row[live] = np.arange(len(live))
-    everything = lambda there: np.ones(len(there), dtype=bool)
     put_in = [w[:i] + c + w[i:] for w in first for i in range(1, len(w)) for c in INSERTED if c not in (w[i - 1], w[i])]
-    extra = model.mapped([w[:WINDOW] for w in put_in], everything)[1]
+    extra = model.mapped([w[:WINDOW] for w in put_in])[1]
     bags = [row[d][row[d] >= 0] for d in docs]
     clean = np.unique(np.concatenate([b for b, v in zip(bags, y, strict=True) if not v] + [np.empty(0, int)]))
     f = evidence[live] - 1
