@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: While a step is written: its shuffle files go when it has ended, as the table holds what
+#: they held, and Arrow batches have few rows, as rows here are whole texts or sets.
+STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextmanager
+def _while_writing(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in STEP}
+    for k, v in STEP.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, drop: tuple[DataFrame, ...] | list[DataFrame] = ()) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. Survives the loss of
     executors, is compressed, and lets the next plan prune columns. ``drop``: tables written
     before that nothing needs from now on; they are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rulestrata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _while_writing(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.rulestrata_path = path
@@ -63,6 +82,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def cut(batches, rows: int = 1000):
+    """Arrow batches of few rows, as their texts are held as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def in_blocks(df: DataFrame, size: str, item, limit: int) -> DataFrame:
     """Deal the rows of a group of ``size`` rows to pairs of blocks, so that no task
     holds more than about ``2 * limit`` rows of it and each pair of rows meets once.

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cut, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -57,8 +57,8 @@ HOT_ROWS, HOT_MAX = 32, 100_000
 LIST_ROWS = 2048
 #: Buckets of the bound on a pair's overlap.
 BUCKETS = 128
-#: Shingles of a cell, or of a block of a larger one (16 MB).
-CELL_TOKENS = 2_000_000
+#: Shingles of a cell, or of a block of a larger one (8 MB).
+CELL_TOKENS = 1_000_000
 #: Bits of the filter for the documents whose sets are needed: 16 for each, within these
 #: bounds (128 KB to 16 MB). A full filter lets more sets pass; a join drops them.
 BITMAP_LEAST, BITMAP_MOST = 1 << 20, 1 << 27
@@ -88,7 +88,7 @@ def _digests(k: int):
     """(id, hash of the text, n, digest of the set)."""
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             sets = shingle_sets(b.column(1).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary())], names=["id", "text_hash", "n", "digest"])
 
@@ -112,7 +112,7 @@ def _low(k: int, num: int, den: int):
     """The first shingles by hash: a quarter more than the short lists would be."""
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             sets = shingle_sets(b.column(1).to_pylist(), k)
             low = [s[: 1 + 5 * _prefix(len(s), num, den) // 4] for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(low) if low else np.empty(0, np.uint64))], names=["token"])
@@ -126,7 +126,7 @@ def _short(k: int, num: int, den: int, hot):
 
     def run(batches):
         common, seen = hot.value, set()  # sorted, with the rank of each
-        for b in batches:
+        for b in cut(batches):
             sets, digests = _first_seen(shingle_sets(b.column(0).to_pylist(), k), seen)
             short, sketch = [], []
             for s in sets:
@@ -149,7 +149,7 @@ def _sets(k: int, wanted):
 
     def run(batches):
         bits, seen = np.frombuffer(wanted.value, dtype=np.uint8), set()
-        for b in batches:
+        for b in cut(batches):
             at = b.column(1).to_numpy()
             b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             sets, digests = _first_seen(shingle_sets(b.column(0).to_pylist(), k), seen)
@@ -383,10 +383,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     new = texts.mapInArrow(_short(k, num, den, hot), "digest binary, n long, short array<long>, sketch binary").dropDuplicates(["digest"])
     short = written(new.join(classes.select("digest", "cid"), "digest").select("cid", "n", "short", "sketch"))
     entries = short.select("cid", F.explode("short").alias("token"))
+    several = entries.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    every = written(entries.join(several, "token"))
     mark = F.xxhash64("cid")
-    lists = entries.groupBy("token").agg(F.count("*").alias("rows"), F.bit_xor(mark).alias("a"), F.bit_xor(F.xxhash64(mark)).alias("b")).where("rows > 1")
+    lists = every.groupBy("token", "rows").agg(F.bit_xor(mark).alias("a"), F.bit_xor(F.xxhash64(mark)).alias("b"))
     lists = lists.groupBy("rows", "a", "b").agg(F.min("token").alias("token"))  # one of the lists of the same classes
-    merged = written(entries.join(lists.select("token", "rows"), "token"))
+    merged = written(every.join(lists.select("token"), "token"), drop=[every])
 
     def pairs_of(dealt: DataFrame, everything: bool) -> DataFrame:
         known = dealt.join(short.select("cid", "n", "sketch"), "cid").select("token", "bi", "bj", "blk", "n", "cid", "comp", "sketch")

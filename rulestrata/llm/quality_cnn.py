@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .common import cut
 
 FILTERS, WIDTH, LAGS = 16, 6, 40
 #: Bytes of a pooling step, of a chunk (8 steps) and of the stride of chunks (7 steps).
@@ -195,7 +196,7 @@ def scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         model = shared.value
-        for b in batches:
+        for b in cut(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(texts), pa.float64())], names=["doc_id", "score"])
 
@@ -214,7 +215,7 @@ def kept(docs: DataFrame, net: Network, threshold: float, text_col: str = "text"
 
     def run(batches):
         model = shared.value
-        for b in batches:
+        for b in cut(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield b.filter(pa.array(model.score(texts) >= threshold))
 

@@ -66,7 +66,7 @@ def shingle_sets(texts: list[str | None], k: int = 3, lower: bool = True) -> lis
         b = b"" if t is None else t.encode("utf-8", "surrogatepass")
         part.append(b.lower() if lower else b)
         held += len(b)
-        if held > 4_000_000:
+        if held > 500_000:
             out += _sets(part, k)
             part, held = [], 0
     return out + (_sets(part, k) if part else [])
