@@ -9,7 +9,7 @@ shingle and size over the cluster; entries of compatible sizes whose overlap can
 (the sum over ``BUCKETS`` hash buckets of the smaller of both counts can't be below the
 overlap) put their classes into one cell: the cells are the components of such pairs.
 
-Search. Each cell holds its classes' whole sets once and inverts them. For each set as a
+Search. Each cell gets its classes' whole texts once and inverts their sets. For each set as a
 query, the L longest of its inverted lists are its long lists, with L from the list
 lengths as DivideSkip chooses it; the others are merged by a heap, which counts a
 partner's occurrences. A partner that can still reach T is probed for by binary search
@@ -144,16 +144,24 @@ def _short(k: int, num: int, den: int, hot):
     return run
 
 
-def _sets(k: int, wanted):
-    """(digest, set) of new sets of the documents whose bit is in the bitmap."""
+def _texts(k: int, wanted):
+    """(digest, text) of new sets of the documents whose bit is in the bitmap. A text is
+    smaller than its set, so texts move and sets are made again where they meet."""
 
     def run(batches):
         bits, seen = np.frombuffer(wanted.value, dtype=np.uint8), set()
         for b in cut(batches):
             at = b.column(1).to_numpy()
-            b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            sets, digests = _first_seen(shingle_sets(b.column(0).to_pylist(), k), seen)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(sets)], names=["digest", "items"])
+            texts = b.column(0).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).to_pylist()
+            keep, digests = [], []
+            for text, s in zip(texts, shingle_sets(texts, k), strict=True):
+                if len(s) and (d := _digest(s)) not in seen:
+                    seen.add(d)
+                    keep.append(text)
+                    digests.append(d)
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keep, pa.string())], names=["digest", "text"])
 
     return run
 
@@ -312,14 +320,12 @@ class Cell:
         return self.root
 
 
-def _cells(num: int, den: int):
-    """Rows (cell, bi, bj, n, cid, items), in that order: links (x, y) of each cell."""
+def _cells(k: int, num: int, den: int):
+    """Rows (cell, bi, bj, n, cid, text), in that order: links (x, y) of each cell."""
 
     def links(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         cid = t.column("cid").to_numpy()
-        items = t.column("items").combine_chunks()
-        flat, at = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy()
-        root = Cell([flat[a:b] for a, b in zip(at, at[1:], strict=False)]).connect(num, den)
+        root = Cell(shingle_sets(t.column("text").to_pylist(), k)).connect(num, den)
         other = np.flatnonzero(root != np.arange(len(root)))
         return cid[root[other]], cid[other]
 
@@ -379,8 +385,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = np.argsort(top)
     hot = spark.sparkContext.broadcast((top[order], order.astype(np.int64)))
 
-    texts = docs.select("text")
-    new = texts.mapInArrow(_short(k, num, den, hot), "digest binary, n long, short array<long>, sketch binary").dropDuplicates(["digest"])
+    new = docs.select("text").mapInArrow(_short(k, num, den, hot), "digest binary, n long, short array<long>, sketch binary").dropDuplicates(["digest"])
     short = written(new.join(classes.select("digest", "cid"), "digest").select("cid", "n", "short", "sketch"))
     entries = short.select("cid", F.explode("short").alias("token"))
     several = entries.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -410,11 +415,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bits = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << (16 * n).bit_length()))
         bit = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(0))), F.lit(bits))
         wanted = spark.sparkContext.broadcast(_bitmap(cell.select(bit("low").alias("bit")), bits))
-        sets = docs.select("text", bit("id").alias("bit")).mapInArrow(_sets(k, wanted), "digest binary, items array<long>")
-        held = sets.join(cell.select("digest", "id", "n"), "digest").dropDuplicates(["digest"]).select("id", "n", "items")
-        rows = places.join(held, "id").select(F.col("component").alias("cell"), "bi", "bj", "n", F.col("id").alias("cid"), "items")
+        texts = docs.select("text", bit("id").alias("bit")).mapInArrow(_texts(k, wanted), "digest binary, text string").dropDuplicates(["digest"])
+        goal = places.join(cell.select("id", "n", "digest"), "id").select("digest", F.col("component").alias("cell"), "bi", "bj", "n", F.col("id").alias("cid"))
+        rows = goal.join(texts, "digest").select("cell", "bi", "bj", "n", "cid", "text")
         rows = rows.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "n", "cid")
-        return written(rows.mapInArrow(_cells(num, den), "x long, y long"))
+        return written(rows.mapInArrow(_cells(k, num, den), "x long, y long"))
 
     block = F.pmod(F.xxhash64("cid", "token"), F.ceil(F.col("rows") / float(list_rows))).cast("int")
     once = merged.withColumn("comp", F.col("cid")).withColumn("blk", block).withColumn("bi", F.col("blk")).withColumn("bj", F.col("blk"))
