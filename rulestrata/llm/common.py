@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -36,6 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
 STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
+#: Steps after which the driver's garbage is collected: plans and generated classes of ended
+#: steps, broadcasts and shuffles that nothing holds. The session does so each 30 minutes.
+TIDY = 8
+_steps = 0
+
+
+def _tidy(spark: SparkSession) -> None:
+    global _steps
+    _steps += 1
+    if _steps % TIDY == 0:
+        trim()
+        spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the system, where it can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 @contextmanager
 def _while_writing(spark: SparkSession):
     before = {k: spark.conf.get(k, None) for k in STEP}
@@ -57,6 +82,7 @@ def written(df: DataFrame, drop: tuple[DataFrame, ...] | list[DataFrame] = ()) -
     with _while_writing(spark):
         df.write.parquet(path)
     _written.append((spark, path))
+    _tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.rulestrata_path = path
     for old in drop:

@@ -34,6 +34,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 KINDS = ("email", "ip", "card", "phone", "address", "number", "secret")
 _PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: kind: (pattern, what a text with a match must contain)
@@ -312,7 +314,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tree
     got = rows.select(order.alias("o"), F.array(*_features(F.col("s"))).alias("x"), "y").orderBy("o", "x", "y").limit(SAMPLE_ROWS).collect()
     if not got:
         return Trees()
-    return Trees().fit(np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got]))
+    x, y = np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got])
+    del got
+    trim()
+    return Trees().fit(x, y)
 
 
 def find(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:

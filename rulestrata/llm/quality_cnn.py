@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import cut
+from .common import cut, trim
 
 FILTERS, WIDTH, LAGS = 16, 6, 40
 #: Bytes of a pooling step, of a chunk (8 steps) and of the stride of chunks (7 steps).
@@ -187,7 +187,10 @@ def train(rows: list[tuple[str, int]], share: float, seed: int = 7) -> Network:
 def fit(docs: DataFrame, labels: DataFrame, training) -> Network:
     rows = labelled.sample(docs, labels, "quality", training)
     known = labels.where(training(F.col("doc_id"))).where("quality in (0, 1)").agg(F.avg("quality")).first()[0]
-    return train(rows, min(0.99, max(0.01, known if known is not None else 0.5)))
+    net = train(rows, min(0.99, max(0.01, known if known is not None else 0.5)))
+    del rows
+    trim()
+    return net
 
 
 def scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .common import trim
 
 ORDER, DECAY, WINDOW = 3, 0.9, 16
 TOXIC_LANDMARKS, OTHER_LANDMARKS, WORDS_HELD, FEW_WORDS = 24, 4, 400_000, 30
@@ -318,7 +319,10 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
 def fit(docs: DataFrame, labels: DataFrame, training) -> Model | None:
     rows = labelled.sample(docs, labels, "toxic", training)
     known = labels.where(training(F.col("doc_id"))).where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
-    return train(rows, min(0.99, max(0.01, known if known is not None else 0.5)))
+    model = train(rows, min(0.99, max(0.01, known if known is not None else 0.5)))
+    del rows
+    trim()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
