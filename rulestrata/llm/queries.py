@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, licence_scan, mixing, ngram_join, pii, quality_cnn, quality_rules, token_counts, toxicity_svm
+from . import byte_bpe, embedding_dedup, filter_audit, licence_scan, mixing, ngram_join, pii, quality_cnn, quality_rules, substring_dedup, token_counts, toxicity_svm, vector_codes
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _REACH = """
 links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach AS (
@@ -115,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_licence_scan": licence_scan.duckdb_sql()}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_licence_scan": licence_scan.duckdb_sql(), "op11_vector_codes": vector_codes.duckdb_sql(), "op12_substring_dedup": substring_dedup.DUCKDB_SQL, "op13_filter_audit": filter_audit.duckdb_sql()}
