@@ -1,9 +1,13 @@
-"""Globs to regular expressions, compiled once on the driver.
+"""Globs to regular expressions, parsed and compiled once on the driver.
 
-Supported: ``*`` (not across ``/``), ``**``, ``?``, ``[..]``, ``{a,b}``, a leading ``!``
-(subtracts from the list; a list of negative patterns only starts from everything).
-``dir/**`` also matches ``dir``. A wildcard does not match a leading dot of a path part.
-Extended globs are refused."""
+Supported: ``*`` (not across ``/``), ``**`` as a whole part, ``?``, ``[..]`` with ranges, ``!`` or
+``^`` and ``[:alpha:]`` classes, ``{a,b}`` (nested, empty, or a range ``{1..3}``, ``{a..e}``,
+``{01..20..2}``), ``\\x`` for the character itself, and the extended forms ``?(a|b)``, ``*(a|b)``,
+``+(a|b)``, ``@(a|b)``, ``!(a|b)``. ``!(a)`` stands for a run without ``/``, unless ``a`` and the rest
+of the glob match from there to the end. ``dir/**`` also matches ``dir``. A wildcard does not match
+a leading dot of a path part. Brackets that do not close stand for themselves. In a list, a
+leading ``!`` that begins no ``!(`` subtracts; a list of negative patterns only starts from
+everything."""
 
 from __future__ import annotations
 
@@ -13,64 +17,204 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Named classes of characters: fixed values.
+CLASSES = {"alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "blank": " \\t", "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "\\x21-\\x7E", "lower": "a-z", "print": "\\x20-\\x7E", "punct": "!-/:-@\\[-`{-~", "space": " \\t\\r\\n\\v\\f", "upper": "A-Z", "word": "A-Za-z0-9_", "xdigit": "A-Fa-f0-9"}
+#: A range of braces is written out up to so many members; a longer one is refused.
+RANGE = 10_000
 
-def to_regex(glob: str) -> str:
-    """A pattern that Java, RE2 and Python read alike, apart from its end (``$``)."""
-    if re.search(r"[?*+@!]\(", glob):
-        raise ValueError(f"extended globs are not supported: {glob}")
-    out, i, depth = "", 0, 0
-    while i < len(glob):
-        c, start = glob[i], i == 0 or glob[i - 1] == "/"
-        if glob.startswith("**", i) and start and (i + 2 == len(glob) or glob[i + 2] == "/"):
-            part = r"(?:[^/.][^/]*)"
-            if i + 2 == len(glob):
-                out = out[:-1] + f"(?:/{part})*" if out.endswith("/") else out + f"(?:{part}(?:/{part})*)?"
-                i += 2
-            else:
-                out += f"(?:{part}/)*"
-                i += 3
+_START = r"(?<![^/])"  # the start of a path part
+_STAR = rf"(?!{_START}(?:[./]|\z))[^/]*"
+_ONE = rf"(?!{_START}\.)[^/]"
+_PART = r"(?:[^/.][^/]*)"
+
+
+@dataclass(frozen=True)
+class Node:
+    """``kind``: text, star, globstar, one, class or alt; alternatives have the sign of their form."""
+
+    kind: str
+    value: str = ""
+    choices: tuple[tuple[Node, ...], ...] = ()
+
+
+def _class(glob: str, i: int) -> tuple[Node, int] | None:
+    """A bracket expression at ``i``, and the place after it."""
+    j, body = i + 1, ""
+    negated = glob[j : j + 1] in ("!", "^") and glob[j : j + 1] != ""
+    j += negated
+    first = j
+    while j < len(glob) and (glob[j] != "]" or j == first):
+        named = re.match(r"\[:([a-z]+):\]", glob[j:])
+        if named and named[1] in CLASSES:
+            body += CLASSES[named[1]]
+            j += len(named[0])
             continue
-        if c == "*":
-            while i + 1 < len(glob) and glob[i + 1] == "*":
-                i += 1
-            out += r"(?:[^/.][^/]*)?" if start else r"[^/]*"
-            if start and (i + 1 == len(glob) or glob[i + 1] == "/"):
-                out = out[:-1]  # a whole part has a character
-        elif c == "?":
-            out += r"[^/.]" if start else r"[^/]"
-        elif c == "[" and "]" in glob[i + 2 :]:
-            end = glob.index("]", i + 2)
-            body = glob[i + 1 : end]
-            out += "[" + ("^/" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]"
-            i = end
-        elif c == "{" and "}" in glob[i:]:
+        c = glob[j]
+        if c == "\\" and j + 1 < len(glob):
+            j += 1
+            c = glob[j]
+            body += re.escape(c)
+        else:
+            body += c if c == "-" else re.escape(c)
+        j += 1
+    if j >= len(glob):
+        return None
+    return Node("class", ("^/" if negated else "") + body), j + 1
+
+
+def _range(text: str) -> list[str] | None:
+    m = re.fullmatch(r"(-?\d+)\.\.(-?\d+)(?:\.\.(-?\d+))?|([a-zA-Z])\.\.([a-zA-Z])(?:\.\.(-?\d+))?", text)
+    if not m:
+        return None
+    a, b = (int(m[1]), int(m[2])) if m[1] else (ord(m[4]), ord(m[5]))
+    step = abs(int(m[3] or m[6] or 1)) or 1
+    if abs(b - a) // step >= RANGE:
+        raise ValueError(f"the range {{{text}}} has more than {RANGE} members")
+    values = range(a, b + (1 if b >= a else -1), step if b >= a else -step)
+    if not m[1]:
+        return [chr(v) for v in values]
+    wide = max(len(m[1]), len(m[2])) if re.match(r"-?0\d", m[1]) or re.match(r"-?0\d", m[2]) else 0
+    return [f"{v:0{wide}d}" for v in values]
+
+
+def _split(glob: str, i: int, closing: str, bar: str) -> tuple[list[str], int] | None:
+    """The texts between ``i`` and the closing bracket, cut at ``bar``; brackets nest."""
+    out, begin, depth, j = [], i, 0, i
+    while j < len(glob):
+        c = glob[j]
+        if c == "\\":
+            j += 2
+            continue
+        if c == "[" and (got := _class(glob, j)):
+            j = got[1]
+            continue
+        if c in "({":
             depth += 1
-            out += "(?:"
-        elif c == "}" and depth:
+        elif depth and c in ")}":
             depth -= 1
-            out += ")"
-        elif c == "," and depth:
-            out += "|"
-        else:
-            out += re.escape(c)
+        elif c == closing:
+            return [*out, glob[begin:j]], j + 1
+        elif c == bar and not depth:
+            out.append(glob[begin:j])
+            begin = j + 1
+        j += 1
+    return None
+
+
+def parse(glob: str, at_start: bool = True, at_end: bool = True) -> tuple[Node, ...]:
+    """The syntax tree. ``at_start`` and ``at_end``: whether the text begins and ends a path part."""
+    out: list[Node] = []
+    i = 0
+    while i < len(glob):
+        c = glob[i]
+        begins = (i == 0 and at_start) or glob[i - 1 : i] == "/"
+        if c == "\\" and i + 1 < len(glob):
+            out.append(Node("text", glob[i + 1]))
+            i += 2
+            continue
+        if c in "?*+@!" and glob[i + 1 : i + 2] == "(" and (got := _split(glob, i + 2, ")", "|")):
+            ends = got[1] == len(glob) and at_end or glob[got[1] : got[1] + 1] == "/"
+            out.append(Node("alt", c, tuple(parse(x, begins and c != "*", ends and c != "*") for x in got[0])))
+            i = got[1]
+            continue
+        if c == "{" and (got := _split(glob, i + 1, "}", ",")):
+            ends = got[1] == len(glob) and at_end or glob[got[1] : got[1] + 1] == "/"
+            values = _range(got[0][0]) if len(got[0]) == 1 else None
+            if values is not None or len(got[0]) > 1:
+                every = [(Node("text", v),) for v in values] if values is not None else [parse(x, begins, ends) for x in got[0]]
+                out.append(Node("alt", "@", tuple(every)))
+                i = got[1]
+                continue
+        if c == "[" and (cls := _class(glob, i)):
+            out.append(cls[0])
+            i = cls[1]
+            continue
+        if c == "*":
+            j = i
+            while j < len(glob) and glob[j] == "*" and glob[j + 1 : j + 2] != "(":
+                j += 1
+            ends = (j == len(glob) and at_end) or glob[j : j + 1] == "/"
+            if j - i == 2 and begins and ends:
+                if glob[j : j + 1] == "/":
+                    out.append(Node("globstar", "/"))  # with the slash after it
+                    j += 1
+                elif out and out[-1] == Node("text", "/"):
+                    out[-1] = Node("globstar", "/..")  # with the slash before it
+                else:
+                    out.append(Node("globstar"))
+            else:
+                out.append(Node("star"))
+            i = max(j, i + 1)
+            continue
+        out.append(Node("one") if c == "?" else Node("text", c))
         i += 1
+    return tuple(out)
+
+
+_GLOBSTAR = {"/": f"(?:{_PART}/)*", "/..": f"(?:/{_PART})*", "": f"(?:{_PART}(?:/{_PART})*)?"}
+
+
+def _regex(nodes: tuple[Node, ...], rest: str = "") -> str:
+    """``rest``: the expression of what follows up to the end, for negations to look ahead."""
+    out = ""
+    for n in reversed(nodes):
+        if n.kind == "alt":
+            after = out + rest
+            options = "|".join(_regex(c, after) for c in n.choices)
+            many = f"(?:{options})"
+            out = {"@": many, "?": many + "?", "*": many + "*", "+": many + "+", "!": rf"(?!{many}{after}\z)(?!{_START}\.)[^/]*"}[n.value] + out
+        else:
+            out = {"text": lambda n: re.escape(n.value), "star": lambda _: _STAR, "one": lambda _: _ONE, "class": lambda n: (rf"(?!{_START}\.)" if n.value.startswith("^/") else "") + f"[{n.value}]", "globstar": lambda n: _GLOBSTAR[n.value]}[n.kind](n) + out
     return out
 
 
+def to_regex(glob: str) -> str:
+    """A pattern that Java and Python read alike, apart from its end (``\\z``)."""
+    return _regex(parse(glob))
+
+
+def literal_prefix(glob: str) -> str:
+    """What every match begins with: the glob itself where it has no wildcard, else its whole path
+    parts before the first one."""
+    nodes = parse(glob)
+    text = ""
+    for n in nodes:
+        if n.kind == "globstar" and n.value == "/..":
+            return text
+        if n.kind != "text":
+            return text.rpartition("/")[0]
+        text += n.value
+    return text
+
+
+def literal_suffix(glob: str) -> str:
+    """What every match's name ends with, from a dot on; empty where the glob does not say."""
+    text = ""
+    for n in reversed(parse(glob)):
+        if n.kind != "text" or n.value == "/":
+            break
+        text = n.value + text
+    return text[text.index(".") :] if "." in text else ""
+
+
+def is_negative(pattern: str) -> bool:
+    return pattern.startswith("!") and not (pattern.startswith("!(") and _split(pattern, 2, ")", "|"))
+
+
 @dataclass(frozen=True)
 class Globs:
     include: str | None
     exclude: str | None
     prefix: str
+    positive: tuple[str, ...] = ()
 
     @classmethod
-    def of(cls, patterns: list[str]) -> "Globs":
-        yes, no = [p for p in patterns if not p.startswith("!")], [p[1:] for p in patterns if p.startswith("!")]
+    def of(cls, patterns: list[str]) -> Globs:
+        yes, no = [p for p in patterns if not is_negative(p)], [p[1:] for p in patterns if is_negative(p)]
         if not yes and no:
             yes = ["**"]
         joined = lambda ps: "^(?:" + "|".join(map(to_regex, ps)) + ")$" if ps else None
-        plain = [re.match(r"[^*?\[{]*", p)[0].rstrip("/") if re.search(r"[*?\[{]", p) else p for p in yes]
-        return cls(joined(yes), joined(no), _common(plain))
+        return cls(joined(yes), joined(no), _common([literal_prefix(p) for p in yes]), tuple(yes))
 
     def matches(self, path: Column) -> Column:
         """The literal prefix first: it is pushed to the scan where path is a column of it."""
@@ -82,7 +226,8 @@ class Globs:
         return out & ~path.rlike(self.exclude[:-1] + r"\z") if self.exclude else out
 
     def test(self, path: str) -> bool:
-        return bool(self.include and re.search(self.include[:-1] + r"\Z", path) and not (self.exclude and re.search(self.exclude[:-1] + r"\Z", path)))
+        own = lambda rx: re.search(rx[:-1].replace(r"\z", r"\Z") + r"\Z", path)
+        return bool(self.include and own(self.include) and not (self.exclude and own(self.exclude)))
 
 
 def _common(texts: list[str]) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import Globs
-from ..functions.text import tokens
+from ..functions.text import left16, length16, tokens
 
 #: Extensions of code, directories that are left out, and limits: fixed values.
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".java", ".c", ".cpp", ".h", ".hpp", ".rs", ".php", ".rb", ".cs", ".sh", ".md"]
@@ -56,16 +56,26 @@ def is_pruned(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda x: x.isin(PRUNED))
 
 
+def within(d: DataFrame, keys: list[str], order: list[str], size: Column, limit: int) -> DataFrame:
+    """Rows of each key in order, as far as the sizes of those before come to less than
+    ``limit``. Sizes are 1 at least, so ``limit`` rows are enough: the rank is cut before the
+    shuffle, whatever a key holds. Adds ``before``."""
+    first = Window.partitionBy(*keys).orderBy(*order)
+    d = d.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= limit).drop("_rank")
+    before = F.coalesce(F.sum(size).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("before", before).where(F.col("before") < limit)
+
+
 def gather(files: DataFrame, key: str, order: str, content: str, budget: int = MAX_TOKENS, max_files: int = MAX_FILES) -> DataFrame:
     """The first ``max_files`` files of each key as far as ``budget`` tokens go; the last
     may be cut. The rank filter comes first, so that a hot key sorts few rows per task."""
-    size = F.length(F.col(content))
+    size = length16(F.col(content))
     ranked = files.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_rank") <= max_files)
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(tokens(size)).over(before), F.lit(0))
     d = ranked.withColumn("used", used).where(F.col("used") < budget)
     left = (budget - F.col("used")) * 4
-    return d.withColumn("snippet", F.substring(F.col(content), F.lit(1), left.cast("int"))).withColumn("tokens", tokens(F.length("snippet"))).drop("_rank")
+    return d.withColumn("snippet", left16(F.col(content), left.cast("int"))).withColumn("tokens", tokens(length16(F.col("snippet")))).drop("_rank")
 
 
 def merge(snippets: DataFrame, diffs: DataFrame, *keys: str) -> DataFrame:

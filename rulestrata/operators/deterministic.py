@@ -3,9 +3,10 @@
 The modules that a line imports are taken out of it once; a rule forbids a line that has
 one of its modules. Up to ``LITERAL_RULES`` rules become literals of one projection per
 file (regex compiled once, literal prefixes first, no join). More rules meet the imported
-modules in an equi-join on the module, whatever their number: which side is broadcast, if
-any, is left to the measured sizes. Files carry their rules in scope and their hits in one
-row, so verdicts are one aggregation without a join."""
+modules in an equi-join on the module, and the paths in an equi-join on the literal beginnings or
+endings of their globs, whatever their number: which side is broadcast, if any, is left to the
+measured sizes. Both ways give the same rows. Files carry their rules in scope and their hits in
+one row, so verdicts are one aggregation without a join."""
 
 from __future__ import annotations
 
@@ -15,9 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.globs import Globs
+from ..functions.globs import Globs, literal_prefix, literal_suffix, to_regex
 
 LITERAL_RULES = 200
+#: UTF-16 units of a line that evidence shows.
+EXCERPT = 300
 HIT = "struct<rule_id:string,to_ord:int,reason:string>"
 
 
@@ -61,20 +64,43 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, module string, to_ord int, from_in string, from_out string, reason string")
 
 
-def scope_table(spark: SparkSession, rules: list[Rule], globs=lambda r: r.scope) -> DataFrame:
-    every = [(r.id, Globs.of(list(globs(r)))) for r in rules]
-    rows = [(i, g.include[:-1] + r"\z", g.exclude and g.exclude[:-1] + r"\z", g.prefix) for i, g in every if g.include]
-    return spark.createDataFrame(rows, "rule_id string, rx string, no string, prefix string")
+#: Parts that globs without a literal beginning or ending are dealt to, each with all paths of it.
+SPREAD = 64
+
+
+def glob_table(spark: SparkSession, rules: list[Rule], globs=lambda r: r.scope) -> DataFrame:
+    """(rule_id, key, rx, no): a row per glob, keyed by what each of its matches must have: a
+    folder it lies in (or the path itself), else an ending of its name; a glob that says neither
+    is dealt to ``SPREAD`` keys."""
+    rows = []
+    for r in rules:
+        g = Globs.of(list(globs(r)))
+        no = g.exclude and g.exclude[:-1] + r"\z"
+        for p in g.positive:
+            folder, ending = literal_prefix(p), literal_suffix(p)
+            keys = [f"/{folder}"] if folder else [f".{ending}"] if ending else [f"*{i}" for i in range(SPREAD)]
+            rows += [(r.id, k, f"^(?:{to_regex(p)})\\z", no) for k in keys]
+    return spark.createDataFrame(rows, "rule_id string, key string, rx string, no string")
+
+
+def path_keys(path: Column) -> Column:
+    """The keys under which a path may meet a glob: each folder on its way and itself, each
+    ending of its name that begins with a dot, its deal."""
+    parts, name = F.split(path, "/"), F.split(F.substring_index(path, "/", -1), "\\.")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    endings = F.transform(F.sequence(F.lit(1), F.size(name)), lambda k: F.concat(F.lit(".."), F.array_join(F.slice(name, k + 1, F.size(name)), ".")))
+    deal = F.concat(F.lit("*"), F.pmod(F.xxhash64(path), F.lit(SPREAD)).cast("string"))
+    return F.array_distinct(F.concat(folders, F.slice(endings, F.lit(1), F.size(name) - 1), F.array(deal)))
 
 
 def file_rules(files: DataFrame, rules: list[Rule], globs=lambda r: r.scope) -> DataFrame:
-    """(change_set, path, rule_id) of every file that a rule's globs match. Many rules meet
-    the distinct paths, not the files."""
+    """(change_set, path, rule_id) of every file that a rule's globs match. Many rules meet the
+    distinct paths on the keys of ``path_keys``: an equi-join, then each glob's own pattern."""
     if len(rules) <= LITERAL_RULES:
         return files.select("change_set", "path", F.explode(_matching(F.col("path"), rules, globs)).alias("rule_id"))
-    table = scope_table(files.sparkSession, rules, globs)
-    fits = F.expr("startswith(path, prefix) and path rlike rx and not coalesce(path rlike no, false)")
-    return files.join(files.select("path").distinct().join(table, fits).select("path", "rule_id"), "path").select("change_set", "path", "rule_id")
+    paths = files.select("path").distinct().select("path", F.explode(path_keys(F.col("path"))).alias("key"))
+    met = paths.join(glob_table(files.sparkSession, rules, globs), "key").where(F.expr("path rlike rx and not coalesce(path rlike no, false)"))
+    return files.select("change_set", "path").join(met.select("path", "rule_id").distinct(), "path").select("change_set", "path", "rule_id")
 
 
 def in_scope(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -103,58 +129,76 @@ def _hits(line: Column, path: Column, previous: Column, rules: list[Rule], token
     return F.transform(F.array(X.imported(line)), of).getItem(0)
 
 
-def _likely(line: Column) -> Column:
+def likely(line: Column) -> Column:
+    """What a line must have to import anything: ``diffs.files_added(keep=likely)`` drops others."""
     return line.contains("import") | line.contains("require")
 
 
 def evidence(files: DataFrame, rules: list[Rule], token: str = X.TOKEN) -> DataFrame:
     """(change_set, rule_id, path, ord, to_ord, line_no, excerpt, reason) of files with their
     added lines: a row for each added line, rule and forbidden module that is not suppressed."""
-    added = files.select("change_set", "path", "ord", F.explode(F.filter("added", lambda x: _likely(x["line"]))).alias("x"))
+    added = files.select("change_set", "path", "ord", F.explode(F.filter("added", lambda x: likely(x["line"]))).alias("x"))
     added = added.select("change_set", "path", "ord", "x.*")
     if len(rules) > LITERAL_RULES:
         return by_join(added, rule_table(files.sparkSession, rules), token)
     hit = F.explode(_hits(F.col("line"), F.col("path"), F.col("previous"), rules, token)).alias("hit")
     found = added.select("change_set", "path", "ord", "line_no", "line", hit)
-    return found.select("change_set", "hit.rule_id", "path", "ord", "hit.to_ord", "line_no", F.substring("line", 1, 300).alias("excerpt"), "hit.reason")
+    return found.select("change_set", "hit.rule_id", "path", "ord", "hit.to_ord", "line_no", X.left16(F.col("line"), EXCERPT).alias("excerpt"), "hit.reason")
 
 
 def by_join(added: DataFrame, table: DataFrame, token: str = X.TOKEN) -> DataFrame:
-    """The same for any number of rules (``rule_table``), by an equi-join on the module."""
-    one = added.where(_likely(F.col("line"))).withColumn("module", F.explode(F.array_distinct(X.imported(F.col("line")))))
+    """The same for any number of rules (``rule_table``), by an equi-join on the module. A module
+    without quotes is what stands between an import's quotes; one with quotes may end at any
+    quote after the first. So both meet on whole names."""
+    names = F.concat(F.array_distinct(X.imported(F.col("line"))), F.filter(X.imported_quoted(F.col("line")), lambda m: m.rlike("['\"]")))
+    one = added.where(likely(F.col("line"))).withColumn("module", F.explode(names))
     met = one.join(table, "module").where(F.expr("path rlike from_in and not coalesce(path rlike from_out, false)"))
     fine = ~X.suppressed_here(F.col("line"), F.col("rule_id"), token) & ~X.suppressed_next(F.col("previous"), F.col("rule_id"), token)
-    return met.where(fine).select("change_set", "rule_id", "path", "ord", "to_ord", "line_no", F.substring("line", 1, 300).alias("excerpt"), "reason")
+    return met.where(fine).select("change_set", "rule_id", "path", "ord", "to_ord", "line_no", X.left16(F.col("line"), EXCERPT).alias("excerpt"), "reason")
 
 
-def _counted(files: DataFrame, rules: list[Rule], token: str) -> DataFrame:
-    """(change_set, path, rule_id, in_scope, hits) of files, in one pass."""
-    hits = F.flatten(F.transform(F.filter("added", lambda x: _likely(x["line"])), lambda x: F.transform(_hits(x["line"], F.col("path"), x["previous"], rules, token), lambda h: F.struct(h["rule_id"].alias("rule_id"), F.col("ord"), h["to_ord"].alias("to_ord"), x["line_no"].alias("line_no"), F.col("path"), F.substring(x["line"], 1, 300).alias("excerpt"), h["reason"].alias("reason")))))
-    d = files.select("change_set", _matching(F.col("path"), rules, lambda r: r.scope).alias("scope"), hits.alias("hits"))
-    d = d.withColumn("rule_id", F.explode(F.array_union("scope", F.transform("hits", lambda h: h["rule_id"]))))
-    return d.select("change_set", "rule_id", F.array_contains("scope", F.col("rule_id")).alias("in_scope"), F.filter("hits", lambda h: h["rule_id"] == F.col("rule_id")).alias("hits"))
+def entries(files: DataFrame, rules: list[Rule], token: str = X.TOKEN) -> DataFrame:
+    """(change_set, rule_id, in_scope, hits): a row per file and rule that the file is in the scope
+    of or has hits of; files with a ``digest`` also have a row without a rule, with (ord, digest).
+    For literal rules one pass over the files."""
+    marked = "digest" in files.columns
+    if len(rules) > LITERAL_RULES:
+        scope = file_rules(files, rules).select("change_set", "rule_id", F.lit(True).alias("in_scope"), F.lit(None).alias("hits"))
+        found = evidence(files, rules, token)
+        own = F.array(F.struct("ord", "to_ord", "line_no", "path", "excerpt", "reason"))
+        d = found.select("change_set", "rule_id", F.lit(False).alias("in_scope"), own.alias("hits"))
+        d = d.unionByName(scope.withColumn("hits", F.array().cast(d.schema["hits"].dataType)))
+        if marked:
+            none = F.array().cast(d.schema["hits"].dataType)
+            marks = files.select("change_set", F.lit(None).cast("string").alias("rule_id"), F.lit(False).alias("in_scope"), none.alias("hits"), F.struct("ord", "digest").alias("mark"))
+            d = d.withColumn("mark", F.lit(None).cast(marks.schema["mark"].dataType)).unionByName(marks)
+        return d
+    hits = F.flatten(F.transform(F.filter("added", lambda x: likely(x["line"])), lambda x: F.transform(_hits(x["line"], F.col("path"), x["previous"], rules, token), lambda h: F.struct(h["rule_id"].alias("rule_id"), F.col("ord"), h["to_ord"].alias("to_ord"), x["line_no"].alias("line_no"), F.col("path"), X.left16(x["line"], EXCERPT).alias("excerpt"), h["reason"].alias("reason")))))
+    mark = [F.struct("ord", "digest").alias("mark")] if marked else []
+    d = files.select("change_set", _matching(F.col("path"), rules, lambda r: r.scope).alias("scope"), hits.alias("hits"), *mark)
+    none = F.array(F.lit(None).cast("string")) if marked else F.array().cast("array<string>")
+    ids = F.array_union("scope", F.transform("hits", lambda h: h["rule_id"]))
+    d = d.withColumn("rule_id", F.explode(F.concat(none, ids)))
+    own = F.filter("hits", lambda h: h["rule_id"] == F.col("rule_id"))
+    shown = F.transform(own, lambda h: F.struct(*[h[c].alias(c) for c in ("ord", "to_ord", "line_no", "path", "excerpt", "reason")]))
+    more = [F.when(F.col("rule_id").isNull(), F.col("mark")).alias("mark")] if marked else []
+    return d.select("change_set", "rule_id", F.coalesce(F.array_contains("scope", F.col("rule_id")), F.lit(False)).alias("in_scope"), shown.alias("hits"), *more)
+
+
+def evidence_rows(hits: Column) -> Column:
+    """Hits as the evidence of a verdict."""
+    kind = "array<struct<file:string,line:double,excerpt:string,reason:string>>"
+    return F.transform(hits, lambda h: F.struct(h["path"].alias("file"), F.lit(None).cast("double").alias("line"), h["excerpt"].alias("excerpt"), h["reason"].alias("reason"))).cast(kind)
 
 
 def check(files: DataFrame, rules: list[Rule], token: str = X.TOKEN, items: bool = True) -> DataFrame:
     """(change_set, rule_id, n_evidence, evidence) of active rules with a file in scope, from
     files with their added lines. Evidence is in first-seen order of files, then by module
     and line. Without ``items`` only counts are moved."""
-    rules = active(rules)
-    kind = "array<struct<file:string,line:double,excerpt:string,reason:string>>"
-    if len(rules) > LITERAL_RULES:
-        found = evidence(files, rules, token)
-        item = F.struct("ord", "to_ord", "line_no", "path", "excerpt", "reason")
-        lists = found.groupBy("change_set", "rule_id").agg(F.sort_array(F.collect_list(item)).alias("hits"))
-        d = in_scope(files, rules).join(lists, ["change_set", "rule_id"], "left")
-        d = d.withColumn("n_evidence", F.coalesce(F.size("hits"), F.lit(0)).cast("long"))
-    else:
-        d = _counted(files, rules, token).withColumn("n", F.size("hits"))
-        hits = [F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits")] if items else []
-        d = d.groupBy("change_set", "rule_id").agg(F.bool_or("in_scope").alias("in_scope"), F.sum("n").alias("n_evidence"), *hits).where("in_scope")
-    if not items:
-        return d.select("change_set", "rule_id", "n_evidence")
-    rows = F.transform(F.coalesce("hits", F.array().cast(d.schema["hits"].dataType)), lambda h: F.struct(h["path"].alias("file"), F.lit(None).cast("double").alias("line"), h["excerpt"].alias("excerpt"), h["reason"].alias("reason")))
-    return d.select("change_set", "rule_id", "n_evidence", rows.cast(kind).alias("evidence"))
+    d = entries(files.drop("digest"), active(rules), token).withColumn("n", F.size("hits"))
+    hits = [F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits")] if items else []
+    d = d.groupBy("change_set", "rule_id").agg(F.bool_or("in_scope").alias("in_scope"), F.sum("n").alias("n_evidence"), *hits).where("in_scope")
+    return d.select("change_set", "rule_id", "n_evidence", *([evidence_rows(F.col("hits")).alias("evidence")] if items else []))
 
 
 def per_rule(rules: list[Rule], value) -> Column:
@@ -163,11 +207,20 @@ def per_rule(rules: list[Rule], value) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("rule_id")) if pairs else F.lit(None).cast("string")
 
 
+def with_fields(d: DataFrame, rules: list[Rule], **fields) -> DataFrame:
+    """Adds what the functions ``fields`` say of each row's rule: literals, or a join for many."""
+    if len(rules) <= LITERAL_RULES:
+        return d.withColumns({k: per_rule(rules, f) for k, f in fields.items()})
+    table = d.sparkSession.createDataFrame([(r.id, *[f(r) for f in fields.values()]) for r in rules], "rule_id string, " + ", ".join(f"{k} string" for k in fields))
+    return d.join(table, "rule_id", "left").select(*d.columns, *fields)
+
+
 def verdicts(checked: DataFrame, rules: list[Rule], commit: str = "unknown") -> DataFrame:
     """A verdict per candidate: violation (0.95) with evidence, else pass (1)."""
     bad = F.col("n_evidence") > 0
-    more = [c for c in ("evidence",) if c in checked.columns]
-    return checked.select("change_set", "rule_id", F.when(bad, "violation").otherwise("pass").alias("status"), F.when(bad, F.lit(0.95)).otherwise(F.lit(1.0)).alias("confidence"), "n_evidence", *more, F.when(bad, per_rule(rules, suggestion)).alias("suggestion"), F.lit(commit).alias("checked_at_commit"), F.lit("deterministic").alias("engine"))
+    more = [c for c in ("evidence", "digest") if c in checked.columns]
+    checked = with_fields(checked, rules, _hint=suggestion)
+    return checked.select("change_set", "rule_id", F.when(bad, "violation").otherwise("pass").alias("status"), F.when(bad, F.lit(0.95)).otherwise(F.lit(1.0)).alias("confidence"), "n_evidence", *more, F.when(bad, F.col("_hint")).alias("suggestion"), F.lit(commit).alias("checked_at_commit"), F.lit("deterministic").alias("engine"))
 
 
 def grouped_evidence(found: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import hash32
+from ..functions.text import fold32, hash32
 from . import deterministic, diffs, judge
 from .deterministic import Rule
 
@@ -38,8 +39,22 @@ def cache_key(content: Column, hunks: Column, mode: Column) -> Column:
     return hash32(F.concat(content, F.lit("|||"), F.coalesce(hunks, F.lit("")), F.lit("|||"), mode))
 
 
+def cache_keys(hunks: DataFrame, rules: list[Rule], mode: str) -> DataFrame:
+    """(change_set, rule_id, cache_key): ``cache_key`` of change sets (change_set, hunks) by all
+    rules; the hunks are read once, whatever the number of rules."""
+    ids, heads, tail = [r.id for r in rules], [rule_content(r) + "|||" for r in rules], "|||" + mode
+
+    def keys(batches):
+        for b in batches:
+            every = fold32(b["hunks"], heads, tail)
+            yield pd.DataFrame({"change_set": b["change_set"].repeat(len(ids)), "rule_id": ids * len(b), "cache_key": [k for own in every for k in own]})
+
+    return hunks.select("change_set", "hunks").mapInPandas(keys, "change_set string, rule_id string, cache_key string")
+
+
 def lookup_key(content: Column, hunks_digest: Column, mode: Column) -> Column:
-    """The key that ``run`` looks up: 256 bits of the same parts, the hunks read once for all rules."""
+    """The key that ``run`` looks up: 256 bits of the same parts, the hunks read once for all rules
+    and known by ``diffs.tree_digest``."""
     return F.sha2(F.concat_ws("|||", F.sha2(content, 256), hunks_digest, mode), 256)
 
 
@@ -78,25 +93,26 @@ class Result:
 
 
 def run(texts: DataFrame, rules: list[Rule], commit: str = "unknown", cache: DataFrame | None = None, ask: Callable | None = None, context: DataFrame | None = None, model: str = "small") -> Result:
-    """Verdicts of all change sets (change_set, text) by all rules. ``ask`` is a judge: with
-    it the mode is that of a key being present. Blank texts have no files, so no verdicts.
+    """Verdicts of all change sets (change_set, text) by all rules; texts may be parts with ``at``
+    (``sources.git.diff_parts``), with the same verdicts, keys and metrics. ``ask`` is a judge:
+    with it the mode is that of a key being present. Blank texts have no files, so no verdicts.
+
+    Each text is parsed once: a file hands on its rules in scope, its hits and its digest; one
+    aggregation by change set and rule brings them together, and the digest of the change set
+    goes to its rules from there.
 
     Per candidate rule, the first that applies: the cached verdict as it was written; the
     deterministic result (a rule without a deterministic block passes); for 'both' its
     violation; without a judge 'uncertain' with a hint; the judge's answer, 'uncertain' with
     the reason if the call failed."""
-    spark = texts.sparkSession
     has_key = ask is not None
     rules_on = deterministic.active(rules)
     texts = texts.where(~diffs.is_blank(F.col("text")))
-    files = diffs.files_added(texts)
-    checked = deterministic.check(files, rules_on)
-    det = deterministic.verdicts(checked, rules_on, commit).drop("n_evidence")
-    hunks = diffs.hunk_text(F.col("text"))
-    digests = texts.select("change_set", F.sha2(F.coalesce(hunks, F.lit("")), 256).alias("digest"))
-    d = det.join(digests, "change_set")
-    key = lookup_key(deterministic.per_rule(rules_on, rule_content), F.col("digest"), F.lit(MODES[has_key]))
-    d = d.withColumn("cache_key", key).withColumn("check", deterministic.per_rule(rules_on, lambda r: r.check)).drop("digest")
+    files = diffs.files_added(texts, keep=deterministic.likely, digests=True)
+    per = _per_rule_and_set(files, rules_on)
+    det = deterministic.verdicts(per.where("rule_id is not null and in_scope"), rules_on, commit)
+    d = deterministic.with_fields(det, rules_on, _content=rule_content, check=lambda r: r.check)
+    d = d.withColumn("cache_key", lookup_key(F.col("_content"), F.col("digest"), F.lit(MODES[has_key]))).drop("digest", "n_evidence", "_content")
     value = [c for c in schemas.names(schemas.VERDICTS) if c not in ("change_set", "rule_id")]
     if cache is not None:
         held = cache.select("cache_key", F.struct(*value).alias("_cached"))
@@ -122,19 +138,31 @@ def run(texts: DataFrame, rules: list[Rule], commit: str = "unknown", cache: Dat
     verdict = F.when(hit, F.col("_cached")).when(settled, own).otherwise(last)
     out = d.select("change_set", "rule_id", verdict.alias("v"), "cache_key", hit.alias("cached"))
     out = out.select("change_set", "rule_id", *[F.col(f"v.{c}").alias(c) for c in value], "cache_key", "cached")
-    n_files = diffs.changed_files(texts).groupBy("change_set").agg(F.count("*").alias("n_files"))
-    per = out.groupBy("change_set").agg(F.count("*").alias("n_candidates"), F.count_if("cached").alias("n_cache_hits"))
+    sets = texts.select("change_set").distinct() if diffs.is_cut(texts) else texts.select("change_set")
+    n_files = per.where("rule_id is null").select("change_set", "n_files")
+    counts = out.groupBy("change_set").agg(F.count("*").alias("n_candidates"), F.count_if("cached").alias("n_cache_hits"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    m = texts.select("change_set").join(n_files, "change_set", "left").join(per, "change_set", "left")
+    m = sets.join(n_files, "change_set", "left").join(counts, "change_set", "left")
     metrics = m.select("change_set", zero("n_files"), F.lit(len(rules)).cast("long").alias("n_rules"), zero("n_candidates"), (F.lit(len(rules)) - F.coalesce("n_candidates", F.lit(0))).cast("long").alias("n_skipped"), zero("n_cache_hits"))
     return Result(out, metrics, log)
 
 
+def _per_rule_and_set(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(change_set, rule_id, in_scope, n_evidence, evidence, digest, n_files): a row per rule, and
+    one per change set without a rule; ``digest`` is the change set's."""
+    d = deterministic.entries(files, rules)
+    d = d.groupBy("change_set", "rule_id").agg(F.bool_or("in_scope").alias("in_scope"), F.sum(F.size("hits")).alias("n_evidence"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"), F.sort_array(F.collect_list("mark")).alias("marks"))
+    digest = F.when(F.col("rule_id").isNull(), diffs.tree_digest(F.transform("marks", lambda m: m["digest"])))
+    d = d.select("change_set", "rule_id", "in_scope", "n_evidence", deterministic.evidence_rows(F.col("hits")).alias("evidence"), digest.alias("digest"), F.size("marks").cast("long").alias("n_files"))
+    return d.withColumn("digest", F.max("digest").over(Window.partitionBy("change_set")))
+
+
 def skipped(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """(change_set, rule_id): rules of any status that are no candidates of a change set."""
-    sets = files.select("change_set").distinct()
-    every = sets.select("change_set", F.explode(F.array(*[F.lit(r.id) for r in rules])).alias("rule_id"))
-    return every.join(deterministic.in_scope(files, rules), ["change_set", "rule_id"], "left_anti")
+    held = deterministic.file_rules(files, deterministic.active(rules)).select("change_set", "rule_id")
+    sets = files.select("change_set", F.lit(None).cast("string").alias("rule_id")).unionByName(held)
+    own = sets.groupBy("change_set").agg(F.collect_set("rule_id").alias("own"))  # no more than there are rules
+    return own.select("change_set", F.explode(F.array_except(F.array(*[F.lit(r.id) for r in rules]), "own")).alias("rule_id"))
 
 
 def summary(verdicts: DataFrame, *keys: str) -> DataFrame:

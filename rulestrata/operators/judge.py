@@ -11,17 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from . import context, deterministic, diffs
+from ..functions import text as X
+from . import context, deterministic, diffs, providers
 
 HINT = "Set an API key to enable the semantic check"
-#: Tokens that a verdict may take, and that any other call may take.
-VERDICT_TOKENS, CALL_TOKENS = 512, 1024
-#: Models by provider and size: fixed values.
-MODELS = {
-    "anthropic": {"small": "claude-haiku-4-5", "large": "claude-sonnet-4-5"},
-    "openai": {"small": "gpt-4o-mini", "large": "gpt-4o"},
-    "gemini": {"small": "gemini-1.5-flash", "large": "gemini-1.5-pro"},
-}
 SYSTEM = """You judge whether a change to code breaks one written rule.
 Answer with one JSON object and nothing else:
 {"status": "pass", "violation" or "uncertain", "confidence": a number from 0 to 1,
@@ -38,7 +31,7 @@ def offline(candidates: DataFrame) -> DataFrame:
 def prompt(rule_id: Column, title: Column, rule: Column, diff: Column, files: Column) -> Column:
     """The whole prompt of a rule and a change set. ``files`` are joined snippets; the diff
     and they are cut at their limits."""
-    parts = [F.lit(SYSTEM + "\n\n# Rule "), rule_id, F.lit("\n"), title, F.lit("\n\n"), rule, F.lit("\n\n# Diff\n```diff\n"), F.substring(diff, 1, context.DIFF_CHARS), F.lit("\n```\n\n# Files\n<files>\n"), F.substring(files, 1, context.CONTEXT_CHARS), F.lit("\n</files>\n")]
+    parts = [F.lit(SYSTEM + "\n\n# Rule "), rule_id, F.lit("\n"), title, F.lit("\n\n"), rule, F.lit("\n\n# Diff\n```diff\n"), X.left16(diff, context.DIFF_CHARS), F.lit("\n```\n\n# Files\n<files>\n"), X.left16(files, context.CONTEXT_CHARS), F.lit("\n</files>\n")]
     return F.concat(*parts)
 
 
@@ -48,58 +41,97 @@ def joined_files(items: Column) -> Column:
     return F.array_join(shown, "\n\n")
 
 
+def _shown(path: Column, content: Column) -> Column:
+    """Units that a file takes among the joined ones, at most: its heading is 15 and more."""
+    return X.length16(content) + X.length16(path) + 15
+
+
+def diff_heads(texts: DataFrame) -> DataFrame:
+    """(change_set, diff, length): the beginning of each change set's text, as far as a prompt
+    shows it, and the length of the whole. Of parts only the first few are moved."""
+    n = X.length16(F.col("text"))
+    head = X.left16(F.col("text"), context.DIFF_CHARS)
+    if not diffs.is_cut(texts):
+        return texts.select("change_set", head.alias("diff"), n.cast("long").alias("length"))
+    d = texts.select("change_set", "at", head.alias("head"), n.cast("long").alias("n"))
+    first = context.within(d.drop("n"), ["change_set"], ["at"], X.length16(F.col("head")) + 1, context.DIFF_CHARS)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "head"))), lambda x: x["head"]), "\n")
+    lengths = d.groupBy("change_set").agg((F.sum("n") + F.count("*") - 1).alias("length"))
+    return first.groupBy("change_set").agg(X.left16(text, context.DIFF_CHARS).alias("diff")).join(lengths, "change_set")
+
+
+def diff_entries(texts: DataFrame) -> DataFrame:
+    """(change_set, path, content): the hunk lines of the first files by path, as far as a prompt
+    shows files; a longer one is cut there."""
+    limit = context.CONTEXT_CHARS
+    d = diffs.hunk_heads(texts, limit)
+    if diffs.is_cut(texts):
+        d = context.within(d, ["change_set", "path"], ["at", "no"], X.length16(F.col("content")) + 1, limit)
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "no", "content"))), lambda x: x["content"]), "\n")
+        d = d.groupBy("change_set", "path").agg(X.left16(text, limit).alias("content"))
+    d = d.select("change_set", "path", "content")
+    return context.within(d, ["change_set"], ["path"], _shown(F.col("path"), F.col("content")), limit).drop("before")
+
+
 def prompts(rows: DataFrame, texts: DataFrame, rules: list, snippets: DataFrame | None = None) -> DataFrame:
     """(change_set, rule_id, cache_key, prompt, tokens) of open rows. ``snippets``: rows
     (rule_id, path, content) of files in the rules' scopes, within the token budget; a
-    diff's entry replaces the snippet of its path."""
+    diff's entry replaces the snippet of its path. Everything is cut at what a prompt shows
+    before it is brought together, so no row holds more than the limits of its parts."""
     item = F.struct("path", "content")
-    hunks = diffs.hunk_lines(texts.join(rows.select("change_set").distinct(), "change_set", "left_semi"))
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    entries = hunks.groupBy("change_set", "path").agg(lines.alias("content")).groupBy("change_set").agg(F.collect_list(item).alias("_diff"))
-    d = rows.join(entries, "change_set", "left").join(texts.select("change_set", "text"), "change_set")
+    wanted = texts.join(rows.select("change_set").distinct(), "change_set", "left_semi")
+    entries = diff_entries(wanted).groupBy("change_set").agg(F.collect_list(item).alias("_diff"))
+    d = rows.join(diff_heads(wanted), "change_set").join(entries, "change_set", "left")
     none = F.array().cast("array<struct<path:string,content:string>>")
-    d = d.withColumn("_diff", F.coalesce("_diff", none))
+    d = d.withColumn("_diff", F.coalesce("_diff", none)).withColumn("_held", none).withColumn("_used", F.lit(0).cast("bigint"))
     if snippets is not None:
-        d = d.join(snippets.groupBy("rule_id").agg(F.collect_list(item).alias("_held")), "rule_id", "left")
-    held = F.coalesce(F.col("_held"), none) if snippets is not None else none
-    other = F.filter(held, lambda x: ~F.exists(F.col("_diff"), lambda y: y["path"] == x["path"]))
-    field = lambda f: deterministic.per_rule(rules, f)
-    whole = prompt(F.col("rule_id"), field(lambda r: r.title), field(lambda r: r.rule), F.col("text"), joined_files(F.concat(F.col("_diff"), other)))
-    used = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, x: a + F.ceil(F.length(x["content"]) / 4))
-    return d.select("change_set", "rule_id", "cache_key", whole.alias("prompt"), F.ceil(used + F.length("text") / 4).alias("tokens"))
+        used = snippets.groupBy("rule_id").agg(F.sum(X.tokens(X.length16(F.col("content")))).alias("_used"))
+        near = context.within(snippets, ["rule_id"], ["path"], _shown(F.col("path"), F.col("content")), context.CONTEXT_CHARS)
+        near = near.groupBy("rule_id").agg(F.collect_list(F.struct("path", X.left16(F.col("content"), context.CONTEXT_CHARS).alias("content"))).alias("_held"))
+        d = d.drop("_held", "_used").join(near.join(used, "rule_id"), "rule_id", "left")
+        d = d.withColumn("_held", F.coalesce("_held", none)).withColumn("_used", F.coalesce("_used", F.lit(0)))
+    other = F.filter("_held", lambda x: ~F.exists(F.col("_diff"), lambda y: y["path"] == x["path"]))
+    d = deterministic.with_fields(d, rules, _title=lambda r: r.title, _rule=lambda r: r.rule)
+    whole = prompt(F.col("rule_id"), F.col("_title"), F.col("_rule"), F.col("diff"), joined_files(F.concat(F.col("_diff"), other)))
+    return d.select("change_set", "rule_id", "cache_key", whole.alias("prompt"), F.ceil(F.col("_used") + F.col("length") / 4).alias("tokens"))
 
 
 def check(prompts: DataFrame, judge: Callable, model: str = "small") -> DataFrame:
-    """Asks ``judge`` for each prompt (change_set, rule_id, prompt, and cache_key if it is
-    there), in Arrow batches. It answers with a text, or a text and the tokens that went in
-    and came out. A failed call or an answer that breaks the schema is an uncertain verdict
-    with its reason, never a failed task."""
+    """Asks ``judge`` for each prompt (change_set, rule_id, prompt, and cache_key and tokens if they
+    are there), in Arrow batches. It answers with a text, or a text and the tokens that went in
+    and came out. A ``providers.Client`` is asked with the size of model that the tokens are
+    routed to, and the row has the model's name. A failed call or an answer that breaks the
+    schema is an uncertain verdict with its reason, never a failed task."""
+    routed = hasattr(judge, "model_of")
     keyed = prompts if "cache_key" in prompts.columns else prompts.withColumn("cache_key", F.lit(None).cast("string"))
+    size = F.when(F.col("tokens") <= context.MAX_TOKENS, "small").otherwise("large") if routed and "tokens" in prompts.columns else F.lit("small" if routed else model)
+    keyed = keyed.withColumn("size", size)
 
     def run(batches):
         for b in batches:
             rows = []
-            for p in b.prompt:
+            for p, size in zip(b.prompt, b["size"], strict=True):
                 begin = time.time()
                 try:
-                    got = judge(p)
+                    got = judge(p, size) if routed else judge(p)
                     text, tokens_in, tokens_out = got if isinstance(got, tuple) else (got, 0, 0)
                     rows.append((text, None, tokens_in, tokens_out, int(1000 * (time.time() - begin))))
                 except Exception as e:  # noqa: BLE001
                     rows.append((None, f"LLM call failed: {e}", 0, 0, int(1000 * (time.time() - begin))))
             out = pd.DataFrame(rows, columns=["answer", "error", "input_tokens", "output_tokens", "latency_ms"])
+            out["model"] = [judge.model_of(x) for x in b["size"]] if routed else b["size"].tolist()
             yield pd.concat([b[["change_set", "rule_id", "cache_key"]].reset_index(drop=True), out], axis=1)
 
-    d = keyed.select("change_set", "rule_id", "cache_key", "prompt").mapInPandas(run, "change_set string, rule_id string, cache_key string, answer string, error string, input_tokens long, output_tokens long, latency_ms long")
+    d = keyed.select("change_set", "rule_id", "cache_key", "prompt", "size").mapInPandas(run, "change_set string, rule_id string, cache_key string, answer string, error string, input_tokens long, output_tokens long, latency_ms long, model string")
     v, ok = parsed(F.col("answer")), is_valid(F.col("answer"))
     get = lambda path, kind: F.try_variant_get(v, path, kind)
-    wrong = F.when(v.isNull(), F.concat(F.lit("LLM call failed: Invalid JSON response: "), F.substring(unfenced(F.col("answer")), 1, 200))).otherwise(F.lit("LLM call failed: the answer breaks the schema"))
+    wrong = F.when(v.isNull(), F.concat(F.lit("LLM call failed: Invalid JSON response: "), X.left16(unfenced(F.col("answer")), 200))).otherwise(F.lit("LLM call failed: the answer breaks the schema"))
     why = F.coalesce("error", wrong)
     none = F.array().cast(schemas.EVIDENCE)
     return d.select(
         "change_set", "rule_id", "cache_key", F.when(ok, get("$.status", "string")).otherwise("uncertain").alias("status"), F.when(ok, get("$.confidence", "double")).otherwise(0.0).alias("confidence"),
         F.when(ok, get("$.evidence", schemas.EVIDENCE)).otherwise(none).alias("evidence"), F.when(ok, get("$.suggestion", "string")).otherwise(why).alias("suggestion"),
-        F.when(~ok, why).alias("error"), F.when(ok, unfenced(F.col("answer"))).alias("raw"), F.lit(model).alias("model"), "input_tokens", "output_tokens", "latency_ms",
+        F.when(~ok, why).alias("error"), F.when(ok, unfenced(F.col("answer"))).alias("raw"), "model", "input_tokens", "output_tokens", "latency_ms",
     )
 
 
@@ -139,10 +171,11 @@ def is_valid(answer: Column) -> Column:
 
 
 def provider(key: Column) -> Column:
-    return F.when(key.startswith("sk-ant-"), "anthropic").when(key.startswith("sk-"), "openai").otherwise("gemini")
+    starts = [F.when(key.startswith(p), F.lit(name)) for p, name in providers.PREFIXES]
+    return F.coalesce(*starts, F.lit(providers.OTHER))
 
 
 def model_name(provider: Column, size: Column) -> Column:
     """The model of a provider for a routed size; other names pass as they are."""
-    names = [F.when((provider == p) & (size == s), F.lit(m)) for p, sizes in MODELS.items() for s, m in sizes.items()]
+    names = [F.when((provider == p) & (size == s), F.lit(m)) for p, sizes in providers.MODELS.items() for s, m in sizes.items()]
     return F.coalesce(*names, size)

@@ -91,41 +91,48 @@ def report_rows(verdicts: DataFrame) -> DataFrame:
 SECTIONS = [("active", "Active", "**", "**"), ("proposed", "Proposed", "", ""), ("deprecated", "Deprecated", "~~", "~~")]
 
 
-def index_sections(rules: DataFrame) -> DataFrame:
-    """(rank, section, body, n): the list items of the rules of a status, by id."""
+def index_sections(rules: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, rank, section, body, n): the list items of the rules of a status, by id. ``keys``:
+    columns of the folder, where there is more than one."""
     known = [F.when(F.col("status") == s, F.struct(F.lit(i + 1).alias("rank"), F.lit(h).alias("section"), F.lit(a).alias("a"), F.lit(z).alias("z"))) for i, (s, h, a, z) in enumerate(SECTIONS)]
     d = rules.withColumn("_s", F.coalesce(*known)).where("_s is not null")
     row = F.concat(F.lit("- "), "_s.a", F.lit("["), "id", F.lit("]("), "id", F.lit(".md)"), "_s.z", F.lit(" — "), "title")
-    d = d.select("_s.rank", "_s.section", F.struct("id", row.alias("row")).alias("r"))
-    return d.groupBy("rank", "section").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("r")), lambda x: x["row"])).alias("body"), F.count("*").alias("n"))
+    d = d.select(*keys, "_s.rank", "_s.section", F.struct("id", row.alias("row")).alias("r"))
+    return d.groupBy(*keys, "rank", "section").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("r")), lambda x: x["row"])).alias("body"), F.count("*").alias("n"))
 
 
-def index(rules: DataFrame) -> DataFrame:
-    """One row (body): the index file, empty sections left out, with a line for the total."""
+def index(rules: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, body): the index file of each folder, empty sections left out, with a line for the
+    total; one row without ``keys``."""
     block = F.concat(F.lit("## "), "section", F.lit("\n\n"), "body", F.lit("\n\n"))
-    d = index_sections(rules).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "").alias("all"))
+    blocks = index_sections(rules, *keys).select(*keys, F.struct("rank", block.alias("b")).alias("x"), F.lit(0).cast("long").alias("n"))
+    total = rules.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.lit(None).cast(blocks.schema["x"].dataType).alias("x"), "n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["b"]), "")
     head = F.lit("# Intent Index\n\n_Generated by `rulestrata compile` — do not edit manually._\n\n")
-    total = rules.agg(F.count("*").alias("n"))
-    return d.crossJoin(total).select(F.concat(head, "all", F.lit("_Total: "), F.col("n").cast("string"), F.lit(" intent(s)_")).alias("body"))  # two single rows
+    d = blocks.unionByName(total).groupBy(*keys).agg(text.alias("all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return d.select(*keys, F.concat(head, "all", F.lit("_Total: "), F.col("n").cast("string"), F.lit(" intent(s)_")).alias("body"))
 
 
-def manifest(rules: DataFrame) -> DataFrame:
-    """A row per rule: id, title, status, check, scope, filePath, anchorCount."""
-    return rules.select("id", "title", "status", "check", "scope", F.col("file_path").alias("filePath"), F.greatest(F.lit(0), F.coalesce(F.size("anchors"), F.lit(0))).alias("anchorCount"))
+def manifest(rules: DataFrame, *keys: str) -> DataFrame:
+    """A row per rule: (*keys) id, title, status, check, scope, filePath, anchorCount."""
+    return rules.select(*keys, "id", "title", "status", "check", "scope", F.col("file_path").alias("filePath"), F.greatest(F.lit(0), F.coalesce(F.size("anchors"), F.lit(0))).alias("anchorCount"))
 
 
-def manifest_json(rules: DataFrame, generated_at: str | None = None) -> DataFrame:
-    """One row (body): generatedAt, intentCount and the entries by id, as JSON."""
+def manifest_json(rules: DataFrame, generated_at: str | None = None, *keys: str) -> DataFrame:
+    """(*keys, body): generatedAt, intentCount and the entries by id, as JSON; one row without ``keys``."""
     entry = F.struct("id", "title", "status", "check", "scope", "filePath", "anchorCount")
     at = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    d = manifest(rules).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"))
-    return d.select(F.to_json(F.struct(at.alias("generatedAt"), F.col("n").alias("intentCount"), "entries")).alias("body"))
+    d = manifest(rules, *keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return d.select(*keys, F.to_json(F.struct(at.alias("generatedAt"), F.col("n").alias("intentCount"), "entries")).alias("body"))
 
 
-def health(rules: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row: rules of each status, all rules, errors."""
-    counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s, *_ in SECTIONS]
-    return rules.agg(F.count("*").alias("total"), *counts).crossJoin(errors.agg(F.count("*").alias("n_errors")))  # two single rows
+def health(rules: DataFrame, errors: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, total, n_active, n_proposed, n_deprecated, n_errors): rules of each status, all rules,
+    errors; one row without ``keys``."""
+    marked = rules.select(*keys, "status", F.lit(1).alias("_r")).unionByName(errors.select(*keys, F.lit(None).cast("string").alias("status"), F.lit(0).alias("_r")))
+    rule = F.col("_r") == 1
+    counts = [F.count_if(rule & (F.col("status") == s)).alias(f"n_{s}") for s, *_ in SECTIONS]
+    return marked.groupBy(*keys).agg(F.count_if(rule).alias("total"), *counts, F.count_if(~rule).alias("n_errors"))
 
 
 def upserts(reports: DataFrame, comments: DataFrame, key: str, marker: str) -> DataFrame:

@@ -40,6 +40,32 @@ def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.cast("string").alias("change_set"), text.alias("text"))
 
 
+def large_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one change set in parts (change_set, at, text): a part for each file, and
+    two more, far behind, for the files of every fifth document, of which every second hides
+    what comes after by a comment in the part before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    path = _path()
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n@@ -9 +9 @@\n"))
+    again = d.where("doc_id % 5 = 0")
+    comment = F.when(F.col("doc_id") % 10 == 0, F.lit("+// rule-disable-next-line no-lodash")).otherwise(F.lit("+x"))
+    parts = [diff_texts(spark, sf_dir).select(F.col("change_set").cast("bigint").alias("doc_id"), F.lit(0).alias("round"), "text"), again.select("doc_id", F.lit(1).alias("round"), F.concat(head, comment).alias("text")), again.select("doc_id", F.lit(2).alias("round"), F.concat(head, F.lit("+import q from 'lodash';")).alias("text"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select(F.lit("all").alias("change_set"), F.struct("round", "doc_id").alias("at"), "text")
+
+
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a written rule: its source is the folder, its id and language the rest."""
+    i, pick = F.col("doc_id"), lambda n, *xs: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % n).cast("int"))
+    name = F.concat(F.lit("rule-"), i.cast("string"))
+    anchor = F.struct(F.lit("path").alias("type"), F.col("lang").alias("value"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("folder"), F.concat("source", F.lit("/"), name, F.lit(".md")).alias("file_path"), name.alias("id"), F.concat(F.lit("About "), "lang", F.lit(" "), (i % 17).cast("string")).alias("title"),
+        pick(4, "active", "proposed", "deprecated", "active").alias("status"), pick(3, "deterministic", "semantic", "both").alias("check"), F.array(F.concat(F.lit("src/"), "lang", F.lit("/**")), F.concat(F.lit("lib/"), "source", F.lit("/*.ts"))).alias("scope"),
+        F.when(i % 7 == 0, F.lit(None)).otherwise(F.array_repeat(anchor, (i % 3).cast("int"))).alias("anchors"), F.when(i % 11 == 0, F.lit("title")).alias("problem"),
+    )
+
+
 def one_diff(spark: SparkSession, sf_dir: str, n_files: int, path: str) -> None:
     """Writes one diff of ``n_files`` files, the documents' in turn, as one .diff file."""
     d = diff_texts(spark, sf_dir).orderBy(F.col("change_set").cast("bigint")).limit(n_files)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
-from ..operators import context, deterministic, diffs, engine, judge, report
+from ..operators import context, deterministic, diffs, engine, judge, providers, report
 from ..sources.rules import error_columns
 from . import corpora as C
 
@@ -66,9 +66,12 @@ def _evidence(spark, d):
     return deterministic.evidence(diffs.files_added(C.diff_texts(spark, d)), _ACTIVE)
 
 
-def _rules(spark) -> DataFrame:
-    rows = [(f"rules/{r.id}.md", r.id, r.title, r.status, r.check, list(r.scope), list(r.anchors)) for r in C.RULES]
-    return spark.createDataFrame(rows, "file_path string, id string, title string, status string, check string, scope array<string>, anchors array<struct<type:string,value:string>>")
+#: Documents as written rules (``corpora.rule_rows``).
+_WRITTEN = """
+WITH w AS (SELECT source AS folder, source || '/rule-' || doc_id || '.md' AS file_path, 'rule-' || doc_id AS id, 'About ' || lang || ' ' || doc_id % 17 AS title, ['active', 'proposed', 'deprecated', 'active'][doc_id % 4 + 1] AS status, ['deterministic', 'semantic', 'both'][doc_id % 3 + 1] AS "check",
+  'src/' || lang || '/**' AS s1, 'lib/' || source || '/*.ts' AS s2, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 3 END AS n_anchor, doc_id % 11 = 0 AS wrong FROM documents),
+sec AS (SELECT folder, CASE status WHEN 'active' THEN 1 WHEN 'proposed' THEN 2 ELSE 3 END AS rank, upper(status[1]) || status[2:] AS section, string_agg('- ' || CASE status WHEN 'active' THEN '**' WHEN 'deprecated' THEN '~~' ELSE '' END || '[' || id || '](' || id || '.md)' || CASE status WHEN 'active' THEN '**' WHEN 'deprecated' THEN '~~' ELSE '' END || ' — ' || title, chr(10) ORDER BY id) AS body, count(*) AS n FROM w GROUP BY folder, status)
+"""
 
 
 @query(PRE + "SELECT change_set, path, CAST(ord AS INT) AS ord FROM files")
@@ -82,9 +85,9 @@ def diff_hunk_counts(spark, d):
     return _hunks(spark, d).groupBy("change_set", "path").agg(F.count("*").alias("n_lines"), F.count_if(line.startswith("+")).alias("n_added"), F.count_if(line.startswith("-")).alias("n_removed"))
 
 
-@query(PRE + "SELECT id, title FROM rules WHERE status = 'active'")
+@query(_WRITTEN + "SELECT file_path, title FROM w WHERE status = 'active'")
 def active_rules(spark, d):
-    return _rules(spark).where("status = 'active'").select("id", "title")
+    return C.rule_rows(spark, d).where("status = 'active'").select("file_path", "title")
 
 
 @query(PRE + "SELECT change_set, rule_id FROM cand")
@@ -204,9 +207,8 @@ SELECT change_set, rule_id, lpad(lower(hex(list_reduce(list_prepend(CAST(5381 AS
 def verdict_cache_key(spark, d):
     """Of a rule's content, all hunk lines and the mode: the compatible key, nothing cut."""
     t = C.diff_texts(spark, d)
-    v = deterministic.in_scope(diffs.changed_files(t), C.RULES).join(diffs.hunk_lists(t), "change_set", "left")
-    content = deterministic.per_rule(_ACTIVE, engine.rule_content)
-    return v.select("change_set", "rule_id", engine.cache_key(content, F.col("hunks"), F.lit("deterministic-only")).alias("cache_key"))
+    keys = engine.cache_keys(t.select("change_set", diffs.hunk_text(F.col("text")).alias("hunks")), _ACTIVE, "deterministic-only")
+    return keys.join(deterministic.in_scope(diffs.changed_files(t), C.RULES), ["change_set", "rule_id"]).select("change_set", "rule_id", "cache_key")
 
 
 @query("""WITH r AS (SELECT source, doc_id, text, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tk, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents QUALIFY rn <= 15),
@@ -274,14 +276,16 @@ n AS (SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) * 40 + leng
 SELECT conv_id, turn, provider, CASE WHEN ceil(t) <= 6000 THEN small ELSE large END AS model FROM n, m""")
 def model_mapping(spark, d):
     n = F.length("text")
-    c = C.table(spark, d, "conversations").select("conv_id", "turn", engine.route(X.tokens(n) * 40, n).alias("size"), F.explode(F.array(*map(F.lit, judge.MODELS))).alias("provider"))
+    c = C.table(spark, d, "conversations").select("conv_id", "turn", engine.route(X.tokens(n) * 40, n).alias("size"), F.explode(F.array(*map(F.lit, providers.MODELS))).alias("provider"))
     return c.select("conv_id", "turn", "provider", judge.model_name(F.col("provider"), F.col("size")).alias("model"))
 
 
-@query("SELECT key, CASE WHEN starts_with(key, 'sk-ant-') THEN 'anthropic' WHEN starts_with(key, 'sk-') THEN 'openai' ELSE 'gemini' END AS provider FROM (VALUES ('sk-ant-1'), ('sk-2'), ('AIza'), ('')) v(key)")
+@query("""WITH k AS (SELECT conv_id, turn, ['sk-ant-', 'sk-', 'AIza', '', 'sk'][CAST((conv_id + turn) % 5 AS INT) + 1] || text AS key FROM conversations)
+SELECT conv_id, turn, CASE WHEN starts_with(key, 'sk-ant-') THEN 'anthropic' WHEN starts_with(key, 'sk-') THEN 'openai' ELSE 'gemini' END AS provider FROM k""")
 def provider_route(spark, d):
-    keys = spark.createDataFrame([("sk-ant-1",), ("sk-2",), ("AIza",), ("",)], "key string")
-    return keys.select("key", judge.provider(F.col("key")).alias("provider"))
+    c, starts = C.table(spark, d, "conversations"), F.array(*map(F.lit, ("sk-ant-", "sk-", "AIza", "", "sk")))
+    key = F.concat(F.get(starts, ((F.col("conv_id") + F.col("turn")) % 5).cast("int")), "text")
+    return c.select("conv_id", "turn", judge.provider(key).alias("provider"))
 
 
 _FAULTS = [
@@ -347,46 +351,32 @@ def lifecycle_invalid(spark, d):
     return t.where(~engine.is_allowed(F.col("before"), F.col("status"))).groupBy("user_id").agg(F.count("*").alias("n_invalid"))
 
 
-@query("""SELECT * FROM (VALUES ('no-lodash', 'No lodash', 'active', 'deterministic', 'src/**', 'rules/no-lodash.md', 2), ('no-moment', 'No moment', 'active', 'both', 'src/en/**', 'rules/no-moment.md', 0), ('layering', 'Layers', 'active', 'semantic', 'lib/**', 'rules/layering.md', 1),
-('old-rule', 'No jQuery', 'deprecated', 'deterministic', 'src/**', 'rules/old-rule.md', 0), ('new-rule', 'Naming', 'proposed', 'semantic', 'src/fr/**,src/de/**', 'rules/new-rule.md', 0)) v(id, title, status, "check", scope, "filePath", "anchorCount")""")
+@query(_WRITTEN + """SELECT id, title, status, "check", s1 || ',' || s2 AS scope, file_path AS "filePath", CAST(n_anchor AS INT) AS "anchorCount" FROM w""")
 def manifest_rows(spark, d):
-    return report.manifest(_rules(spark)).withColumn("scope", F.array_join("scope", ","))
-
-
-_INDEX = """# Intent Index
-
-_Generated by `rulestrata compile` — do not edit manually._
-
-## Active
-
-- **[layering](layering.md)** — Layers
-- **[no-lodash](no-lodash.md)** — No lodash
-- **[no-moment](no-moment.md)** — No moment
+    return report.manifest(C.rule_rows(spark, d)).withColumn("scope", F.array_join("scope", ","))
 
-## Proposed
 
-- [new-rule](new-rule.md) — Naming
+@query(_WRITTEN + """SELECT folder, md5('{"generatedAt":"2026-07-14T00:00:00.000Z","intentCount":' || count(*) || ',"entries":[' || string_agg('{"id":"' || id || '","title":"' || title || '","status":"' || status || '","check":"' || "check" || '","scope":["' || s1 || '","' || s2 || '"],"filePath":"' || file_path || '","anchorCount":' || n_anchor || '}', ',' ORDER BY id) || ']}') AS digest FROM w GROUP BY folder""")
+def manifest_json(spark, d):
+    """The manifest of each folder of rules."""
+    return report.manifest_json(C.rule_rows(spark, d), "2026-07-14T00:00:00.000Z", "folder").select("folder", F.md5("body").alias("digest"))
 
-## Deprecated
 
-- ~~[old-rule](old-rule.md)~~ — No jQuery
-
-_Total: 5 intent(s)_"""
-
-
-@query(f"SELECT $x${_INDEX}$x$ AS body")
+@query(_WRITTEN + r"""SELECT folder, md5('# Intent Index' || chr(10) || chr(10) || '_Generated by `rulestrata compile` — do not edit manually._' || chr(10) || chr(10) || string_agg('## ' || section || chr(10) || chr(10) || body || chr(10) || chr(10), '' ORDER BY rank) || '_Total: ' || CAST(sum(n) AS BIGINT) || ' intent(s)_') AS digest FROM sec GROUP BY folder""")
 def index_text(spark, d):
-    return report.index(_rules(spark))
+    """The index file of each folder of rules."""
+    return report.index(C.rule_rows(spark, d), "folder").select("folder", F.md5("body").alias("digest"))
 
 
-@query(PRE + """SELECT CASE status WHEN 'active' THEN 1 WHEN 'proposed' THEN 2 ELSE 3 END AS rank, upper(status[1]) || status[2:] AS section, string_agg('- ' || CASE status WHEN 'active' THEN '**' WHEN 'deprecated' THEN '~~' ELSE '' END || '[' || id || '](' || id || '.md)' || CASE status WHEN 'active' THEN '**' WHEN 'deprecated' THEN '~~' ELSE '' END || ' — ' || title, chr(10) ORDER BY id) AS body, count(*) AS n FROM rules GROUP BY status""")
+@query(_WRITTEN + "SELECT folder, rank, section, md5(body) AS digest, n FROM sec")
 def index_sections(spark, d):
-    return report.index_sections(_rules(spark))
+    return report.index_sections(C.rule_rows(spark, d), "folder").select("folder", "rank", "section", F.md5("body").alias("digest"), "n")
 
 
-@query(PRE + "SELECT count(*) AS total, count(*) FILTER (status = 'active') AS n_active, count(*) FILTER (status = 'proposed') AS n_proposed, count(*) FILTER (status = 'deprecated') AS n_deprecated, CAST(0 AS BIGINT) AS n_errors FROM rules")
+@query(_WRITTEN + "SELECT folder, count(*) FILTER (NOT wrong) AS total, count(*) FILTER (NOT wrong AND status = 'active') AS n_active, count(*) FILTER (NOT wrong AND status = 'proposed') AS n_proposed, count(*) FILTER (NOT wrong AND status = 'deprecated') AS n_deprecated, count(*) FILTER (wrong) AS n_errors FROM w GROUP BY folder")
 def rule_health(spark, d):
-    return report.health(_rules(spark), spark.createDataFrame([], "file_path string"))
+    r = C.rule_rows(spark, d)
+    return report.health(r.where("problem is null"), r.where("problem is not null"), "folder")
 
 
 _TREE = rf"{PRE}, two AS (SELECT CASE WHEN CAST(change_set AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS part, l.* FROM lines l)"
@@ -451,8 +441,11 @@ def _run_sql(mode: str) -> str:
     det = "(chk = 'deterministic' OR chk = 'both' AND n > 0)"
     return PRE + f""", content AS (SELECT * FROM (VALUES {_CONTENT}) v(rule_id, content)),
 body AS (SELECT change_set, string_agg(line, chr(10) ORDER BY ord, line_no) AS body FROM hunk JOIN files USING (change_set, path) GROUP BY 1),
+sec AS (SELECT *, count(h) OVER (PARTITION BY change_set ORDER BY line_no) AS sid FROM cur),
+secs AS (SELECT change_set, path, sid, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS dg FROM sec WHERE h IS NULL AND path IS NOT NULL AND (starts_with(line, '+') OR starts_with(line, '-') OR starts_with(line, '@@')) GROUP BY 1, 2, 3),
+tree AS (SELECT change_set, sha256(string_agg(fd, '' ORDER BY ord)) AS z FROM (SELECT change_set, path, sha256(string_agg(dg, '' ORDER BY sid)) AS fd FROM secs GROUP BY 1, 2) JOIN files USING (change_set, path) GROUP BY 1),
 shown AS (SELECT e.change_set, e.rule_id, string_agg(e.path || '|' || e.excerpt || '|Import of ' || chr(39) || r.module || chr(39) || ' is not allowed from ' || CASE r.id WHEN 'no-lodash' THEN 'src/**' ELSE 'src/en/**' END, chr(10) ORDER BY ord, line_no) AS evidence FROM ev e JOIN rules r ON r.id = e.rule_id JOIN files f USING (change_set, path) GROUP BY 1, 2),
-d AS (SELECT d.change_set, d.rule_id, d.n, r.chk, b.body, coalesce(s.evidence, '') AS own, sha256(c.content) AS a, sha256(coalesce(b.body, '')) AS z FROM det d JOIN rules r ON r.id = d.rule_id JOIN content c ON c.rule_id = d.rule_id LEFT JOIN body b ON b.change_set = d.change_set LEFT JOIN shown s ON s.change_set = d.change_set AND s.rule_id = d.rule_id),
+d AS (SELECT d.change_set, d.rule_id, d.n, r.chk, b.body, coalesce(s.evidence, '') AS own, sha256(c.content) AS a, coalesce(t.z, sha256('')) AS z FROM det d JOIN rules r ON r.id = d.rule_id JOIN content c ON c.rule_id = d.rule_id LEFT JOIN body b ON b.change_set = d.change_set LEFT JOIN tree t ON t.change_set = d.change_set LEFT JOIN shown s ON s.change_set = d.change_set AND s.rule_id = d.rule_id),
 k AS (SELECT *, sha256(a || '|||' || z || '|||{mode}') AS cache_key FROM d),
 held AS (SELECT cache_key, min(CASE WHEN quality = 1 THEN 'pass' WHEN toxic = 1 THEN 'violation' END) AS held FROM k JOIN labels ON CAST(doc_id AS VARCHAR) = change_set WHERE rule_id = 'no-lodash' AND (quality = 1 OR toxic = 1) GROUP BY 1),
 v AS (SELECT change_set, rule_id, coalesce(held, CASE WHEN {det} THEN CASE WHEN n > 0 THEN 'violation' ELSE 'pass' END ELSE {late['status']} END) AS status,
@@ -511,3 +504,44 @@ def markdown_report(spark, d):
     verdicts = _run(spark, d).verdicts
     r = report.outputs(report.markdown(C.diff_texts(spark, d), verdicts, "abc1234"), verdicts)
     return r.select("change_set", F.md5("report").alias("digest"), "violations")
+
+
+_AGAIN = """ UNION ALL SELECT (1000000000 + doc_id) * 1000000 AS pl, concat_ws(chr(10), 'diff --git a/' || p || ' b/' || p, '@@ -9 +9 @@', CASE WHEN doc_id % 10 = 0 THEN '+// rule-disable-next-line no-lodash' ELSE '+x' END) FROM paths WHERE doc_id % 5 = 0
+ UNION ALL SELECT (2000000000 + doc_id) * 1000000 AS pl, concat_ws(chr(10), 'diff --git a/' || p || ' b/' || p, '@@ -9 +9 @@', '+import q from ''lodash'';') FROM paths WHERE doc_id % 5 = 0"""
+_LARGE = f"lines AS (SELECT 'all' AS change_set, pl + unnest(range(0, len(s))) AS line_no, unnest(s) AS line FROM (SELECT pl, string_split(t, chr(10)) AS s FROM (SELECT doc_id * 1000000 AS pl, {_TEXT} AS t FROM paths{_AGAIN})))"
+
+
+def _large_sql(tail: str) -> str:
+    """The SQL of a run, over all documents as one diff."""
+    text = _run_sql("deterministic-only")
+    a = text.index("lines AS (")
+    b = text.index("\nhd AS (", a)
+    return text[:a] + _LARGE + "," + text[b:] + tail
+
+
+@query(_large_sql("SELECT rule_id, status, confidence, md5(evidence) AS evidence, suggestion, engine, cache_key FROM v"))
+def run_large_diff(spark, d):
+    """A run on one diff that comes in parts, files that come again among them."""
+    v = _shown(engine.run(C.large_diff(spark, d), C.RULES, "abc1234").verdicts)
+    return v.select("rule_id", "status", "confidence", F.md5("evidence").alias("evidence"), "suggestion", "engine", "cache_key")
+
+
+@query(_large_sql("SELECT path, ord, n, md5(previous) AS previous FROM (SELECT path, min(ord) // 1000000 AS ord, count(*) AS n, string_agg(coalesce(prev, ''), chr(10) ORDER BY line_no) AS previous FROM added JOIN files USING (change_set, path) GROUP BY 1)"))
+def large_diff_files(spark, d):
+    """Files of the same diff: first place, added lines, and the line before each of them."""
+    f = diffs.files_added(C.large_diff(spark, d))
+    before = F.array_join(F.transform("added", lambda x: F.coalesce(x["previous"], F.lit(""))), "\n")
+    return f.select("path", F.col("ord.at.doc_id").alias("ord"), F.size("added").cast("long").alias("n"), F.md5(before).alias("previous"))
+
+
+_MANY = [deterministic.Rule(f"r{i:05d}", (f"src/{'en fr de es'.split()[i % 4]}/**/doc_{i}*.ts",) if i % 3 else (f"src/*/*/doc_{i}.ts", f"!src/{'en fr de es'.split()[i % 4]}/**")) for i in range(10_000)]
+
+
+@query(r"""WITH p AS (SELECT DISTINCT 'src/' || lang || '/' || source || '/doc_' || doc_id || '.ts' AS path, lang, CAST(doc_id AS VARCHAR) AS id FROM documents),
+r AS (SELECT range AS i, ['en', 'fr', 'de', 'es'][range % 4 + 1] AS lang FROM range(10000)),
+x AS (SELECT path, p.lang, CAST(substr(id, 1, k) AS BIGINT) AS i, k = length(id) AS whole FROM p, (SELECT unnest(range(1, 20)) AS k) WHERE k <= length(id) AND (k = 1 OR id[1] <> '0'))
+SELECT path, 'r' || lpad(CAST(r.i AS VARCHAR), 5, '0') AS rule_id FROM x JOIN r USING (i) WHERE CASE WHEN r.i % 3 <> 0 THEN x.lang = r.lang ELSE whole AND x.lang <> r.lang END""")
+def many_rules(spark, d):
+    """10,000 rules against the paths of all documents, by an equi-join."""
+    files = C.snippets(spark, d).select(F.lit("all").alias("change_set"), "path")
+    return deterministic.file_rules(files, _MANY).select("path", "rule_id").distinct()
