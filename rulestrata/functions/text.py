@@ -65,7 +65,7 @@ def _units(s: Column) -> Column:
 
 def length16(s: Column) -> Column:
     """Length in UTF-16 units: a character beyond the basic plane counts as two."""
-    return F.when(s.rlike(_BEYOND), (F.octet_length(_units(s)) / 2).cast("int")).otherwise(F.length(s))
+    return F.when((F.octet_length(s) > F.length(s)) & s.rlike(_BEYOND), (F.octet_length(_units(s)) / 2).cast("int")).otherwise(F.length(s))
 
 
 def left16(s: Column, n: Column | int) -> Column:
@@ -76,16 +76,18 @@ def left16(s: Column, n: Column | int) -> Column:
     bytes_ = F.substring(_units(head), F.lit(1), 2 * n)
     half = F.hex(F.substring(bytes_, F.octet_length(bytes_) - 1, F.lit(1))).rlike("^D[89AB]")
     whole = F.when(half, F.concat(F.decode(F.substring(bytes_, F.lit(1), F.octet_length(bytes_) - 2), "UTF-16BE"), F.lit("�"))).otherwise(F.decode(bytes_, "UTF-16BE"))
-    return F.when(head.rlike(_BEYOND) & (n > 0), whole).otherwise(head)
+    return F.when(F.octet_length(s) <= n, s).when(head.rlike(_BEYOND) & (n > 0), whole).otherwise(head)
 
 
 def hash32(s: Column) -> Column:
     """h = 5381; h = (h * 33 mod 2^32) xor UTF-16 unit; eight hex digits."""
     step = lambda h, c: ((h * F.lit(33)).bitwiseAND(F.lit(4294967295))).bitwiseXOR(c.cast("bigint"))
-    codes = F.when(s == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(s, ""), lambda c: F.ascii(c)))
-    pair = lambda c: F.array(F.shiftright(c - 65536, 10) + 0xD800, (c - 65536).bitwiseAND(F.lit(1023)) + 0xDC00)
-    units = F.when(s.rlike(_BEYOND), F.flatten(F.transform(codes, lambda c: F.when(c > 65535, pair(c)).otherwise(F.array(c))))).otherwise(codes)
-    return F.lpad(F.lower(F.hex(F.aggregate(units, F.lit(5381).cast("bigint"), step))), 8, "0")
+    characters = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+    start = F.lit(5381).cast("bigint")
+    high, low = lambda c: F.shiftright(c - 65536, 10) + 0xD800, lambda c: (c - 65536).bitwiseAND(F.lit(1023)) + 0xDC00
+    both = lambda h, c: F.when(c > 65535, step(step(h, high(c)), low(c))).otherwise(step(h, c))
+    state = F.when(s.rlike(_BEYOND), F.aggregate(characters, start, lambda h, c: both(h, F.ascii(c)))).otherwise(F.aggregate(characters, start, lambda h, c: step(h, F.ascii(c))))
+    return F.lpad(F.lower(F.hex(state)), 8, "0")
 
 
 def state32(text: str, h: int = 5381) -> int:

@@ -11,6 +11,7 @@ goes on with the file before; its path is looked up among the parts before it.""
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,21 @@ def _is_hunk(line: Column) -> Column:
     return line.startswith("+") | line.startswith("-") | line.startswith("@@")
 
 
+_built: dict[object, tuple[object, Column]] = {}
+
+
+def once(key, build) -> Column:
+    """An expression over the column ``text`` that is built once: its hundreds of nodes are calls."""
+    context = SparkContext._active_spark_context
+    if _built.get(key, (None,))[0] is not context:
+        _built[key] = (context, build())
+    return _built[key][1]
+
+
+def _text_sections() -> Column:
+    return once("sections", lambda: _sections(F.col("text")))
+
+
 def _sections(text: Column) -> Column:
     """array<struct<path, no, lines: array<struct<no, line>>>> in order: what stands before the
     first header line, and after each; only added, removed and @@ lines. A line that begins as
@@ -111,12 +127,14 @@ def _by_file(texts: DataFrame, digests: bool = False, keep=None) -> DataFrame:
     rows before their first header have the path of the file that goes on."""
     known = lambda s: F.filter(s, lambda x: x["path"].isNotNull())
     place = [F.col(c) for c in ("change_set", "at") if c in texts.columns]
-    d = texts.select(*place, F.explode(_files(known(_sections(F.col("text"))), digests, keep)).alias("f")).select(*place, "f.*")
+    name = (digests, keep)
+    every = once(("files", *name), lambda: _files(known(_text_sections()), digests, keep))
+    d = texts.select(*place, F.explode(every).alias("f")).select(*place, "f.*")
     if not is_cut(texts):
         return d
-    lead = F.filter(_sections(F.col("text")), lambda x: x["path"].isNull() & (F.size(x["lines"]) > 0))
+    lead = F.filter(_text_sections(), lambda x: x["path"].isNull() & (F.size(x["lines"]) > 0))
     bad = _orphans(texts)
-    own = bad.select(*place, F.explode(_files(lead, digests, keep)).alias("f")).select(*place, "f.*")
+    own = bad.select(*place, F.explode(once(("lead", *name), lambda: _files(lead, digests, keep))).alias("f")).select(*place, "f.*")
     filled = own.drop("path").join(_paths_before(texts, bad), ["change_set", "at"])
     return d.unionByName(filled.select(d.columns))
 
@@ -130,7 +148,7 @@ def _orphans(texts: DataFrame) -> DataFrame:
 def _paths_before(texts: DataFrame, bad: DataFrame) -> DataFrame:
     """(change_set, at, path) of such parts: the last path before, in change sets that have any."""
     few = texts.join(bad.select("change_set").distinct(), "change_set", "left_semi")
-    paths = F.transform(F.filter(_sections(F.col("text")), lambda s: s["path"].isNotNull()), lambda s: s["path"])
+    paths = F.transform(F.filter(_text_sections(), lambda s: s["path"].isNotNull()), lambda s: s["path"])
     before = Window.partitionBy("change_set").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     d = few.select("change_set", "at", F.try_element_at(paths, F.lit(-1)).alias("own"))
     d = d.withColumn("path", F.last("own", ignorenulls=True).over(before)).where("path is not null")
@@ -152,11 +170,11 @@ def _number(texts: DataFrame, no: Column) -> Column:
 def sections(texts: DataFrame) -> DataFrame:
     """(change_set, path, ord, lines): a row per section of a file."""
     place = [F.col(c) for c in ("change_set", "at") if c in texts.columns]
-    d = texts.select(*place, F.explode(_sections(F.col("text"))).alias("s")).select(*place, "s.*")
+    d = texts.select(*place, F.explode(_text_sections()).alias("s")).select(*place, "s.*")
     if not is_cut(texts):
         return d.where("path is not null").select("change_set", "path", F.col("no").alias("ord"), "lines")
     bad = _orphans(texts)
-    own = bad.select(*place, F.explode(_sections(F.col("text"))).alias("s")).select(*place, "s.*").where("path is null")
+    own = bad.select(*place, F.explode(_text_sections()).alias("s")).select(*place, "s.*").where("path is null")
     d = d.where("path is not null").unionByName(own.drop("path").join(_paths_before(texts, bad), ["change_set", "at"]).select(d.columns))
     return d.select("change_set", "path", _number(texts, F.col("no")).alias("ord"), "lines", "at")
 
@@ -239,7 +257,7 @@ def hunk_heads(texts: DataFrame, limit: int) -> DataFrame:
         return F.filter(F.when(F.size(s) > 0, every), lambda x: x["content"] != "")
 
     def of(d: DataFrame, wanted) -> DataFrame:
-        return d.select(*place, F.explode(let(F.array_sort(F.filter(_sections(F.col("text")), wanted)), heads)).alias("h")).select(*place, "h.*")
+        return d.select(*place, F.explode(let(F.array_sort(F.filter(_text_sections(), wanted)), heads)).alias("h")).select(*place, "h.*")
 
     d = of(texts, lambda x: x["path"].isNotNull() & (F.size(x["lines"]) > 0))
     if not is_cut(texts):
