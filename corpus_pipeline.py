@@ -23,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality of 0.3 or more. Every row is scored by its own whole text, a
     null one as an empty one; rows with a null id and repeated rows are rows like others.
-    Without labels of both kinds all scores are 0.5, so all rows stay."""
+    Without labels of both kinds all scores are 0.5, so all rows stay; an empty table stays empty."""
     training = lambda c: ~labelled.held_out(c, 5, 0)
     net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), training)
     return quality_cnn.kept(docs.select(COLUMNS), net, 0.3)
@@ -34,7 +34,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with a similarity of 0.8 or more. Equal rows are one document and stay together; a row
     that repeats the doc_id with another text has the group of its own text. A row with a
     null id goes if its group has an id, and stays in a group without. Texts without words
-    are in no group."""
+    are in no group; very long texts are compared whole; an empty table stays empty."""
     d = docs.select(COLUMNS)
     found = ngram_join.near_duplicates(d, k=5, num=80, den=100, hashes=True)
     other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -53,18 +53,19 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that repeat a doc_id and source, a
-    null doc_id included, are all taken as often as the one of them that is taken most. Texts
-    without words are taken no time."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").cast("int").alias("copies"))
-    d, c = docs.select(COLUMNS).alias("d"), copies.alias("c")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    taken = d.join(c, same).select("d.*", "c.copies")
+    """Each row as often as the mix takes it: rows are numbered, and each gets its own copies,
+    whatever it shares with others. Rows with a null id are rows like others, of their source
+    (null is one). Texts without words are taken no time; very long texts are taken whole; an
+    empty table stays empty."""
+    d = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    copies = mixing.mix(d, row_col="_row").where("copies > 0").select(F.col("nth").alias("_row"), F.col("copies").cast("int"))
+    taken = d.join(copies, "_row")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and the ids of each row; a null text as an empty one."""
+    """doc_id, n_tokens, digests and the ids of each row; a null text as an empty one. Null ids and
+    repeated rows keep a row each; very long texts are encoded whole; an empty table gives no row."""
     return byte_bpe.encode(docs, *_tokenizer(), ids=True)
 
 

@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: While a step is written: its shuffle files go when it has ended, as the table holds what
-#: they held, and Arrow batches have few rows, as rows here are whole texts or sets.
-STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: they held, and Arrow batches have few rows and bytes, as rows here are whole texts or sets.
+STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 #: Steps after which the driver's garbage is collected: plans and generated classes of ended

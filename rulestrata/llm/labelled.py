@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample: documents of each label, and characters of all of them together.
-#: Texts are taken whole, in hash order of their ids; the sample ends before the text that
-#: would go over the second bound.
-PER_LABEL, TOTAL_CHARS = 1500, 64_000_000
+#: Bound of the sample: documents of each label. Texts are taken whole, whatever their length.
+PER_LABEL = 1500
+#: Parts in which the sampled texts come to the driver, one at a time.
+PARTS = 16
 
 
 def held_out(id_col, mod: int, held: int):
@@ -19,19 +19,16 @@ def held_out(id_col, mod: int, held: int):
 def sample(docs: DataFrame, labels: DataFrame, label: str, training, per_label: int = PER_LABEL) -> list[tuple[str, int]]:
     """(text, label) of at most ``per_label`` documents of each label among the labelled
     rows for which ``training`` holds, in hash order of the id. Ids, sources and
-    languages choose and order rows; they never reach a model."""
+    languages choose and order rows; they never reach a model. Rows are chosen by narrow
+    columns, at most four to each document that the bound allows; the texts of those chosen
+    come to the driver in parts, and no task sorts or holds them all."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null").where(training(F.col("id")))
     pick = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label)
     ids = F.broadcast(pick(0).union(pick(1)))  # at most 2 * per_label rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(ids, "id").where("text is not null").select(F.xxhash64("id").alias("h"), "id", "text", "y").orderBy("h", "id", "text").limit(4 * per_label)
-    out, held = [], 0
-    for r in rows.toLocalIterator():
-        held += len(r["text"])
-        if held > TOTAL_CHARS:
-            break
-        out.append((r["id"], r["text"], r["y"]))
-    return [(text, y) for _, text, y in sorted(out)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("t", F.xxhash64("text"))
+    chosen = texts.join(ids, "id").groupBy("id", "t", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("id"), "id", "t", "y").limit(4 * per_label)
+    rows = texts.join(F.broadcast(chosen), ["id", "t"]).groupBy("id", "t", "y").agg(F.max("n").alias("n"), F.max("text").alias("text")).select("id", "text", "y").repartition(PARTS)
+    return [(text, y) for _, text, y in sorted((r["id"], r["text"], r["y"]) for r in rows.toLocalIterator())]
 
 
 def logistic(x, y, steps: int = 400, rate: float = 0.5, decay: float = 1e-3):

@@ -106,20 +106,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     known = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, v)).alias("grams"), F.lit(most[k]).alias("most"), F.lit(math.ceil(least * len(v) / (2 - least) - 1e-9)).alias("need")) for k, v in sets.items()])
 
     def of_grams(g: Column) -> Column:
+        """Places of bigrams, each with the place before of the same bigram (-1: none)."""
+        ordered = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        prior = lambda o: F.array_sort(F.transform(o, lambda x, k: F.struct(x["i"].alias("i"), F.when(F.get(o, k - 1)["g"] == x["g"], F.get(o, k - 1)["i"]).otherwise(-1).alias("prev"))))
         near = F.filter(F.transform(g, lambda x, i: F.struct(i.alias("i"), x.alias("g"))), lambda x: x["g"].isin(every))
-        return bound(near, lambda n: F.flatten(F.transform(known, lambda t: bound(F.filter(n, lambda x: F.array_contains(t["grams"], x["g"])), lambda hits: of_template(g, t, hits)))))
-
-    def of_template(g: Column, t: Column, hits: Column) -> Column:
-        def tried(x: Column, y: Column) -> Column:
-            run = F.array_distinct(F.slice(g, x["i"] + 1, y["i"] - x["i"] + 1))
-            both = lambda r: F.size(F.array_intersect(r, t["grams"]))
-            return bound(run, lambda r: bound(both(r), lambda c: F.struct((-2.0 * c / (F.size(r) + F.size(t["grams"]))).alias("worse"), y["i"].alias("j"), (-c).alias("fewer"))))
+        met = lambda n, p: F.flatten(F.transform(known, lambda t: bound(F.transform(F.filter(n, lambda x: F.array_contains(t["grams"], x["g"])), lambda x: F.get(p, x["i"])), lambda hits: of_template(p, t, hits))))
+        return bound(near, lambda n: F.when(F.size(n) > 0, bound(bound(ordered, prior), lambda p: met(n, p))).otherwise(F.array().cast(f"array<{item}>")))
 
+    def of_template(p: Column, t: Column, hits: Column) -> Column:
         def best(x: Column, k: Column) -> Column:
-            # Hits are in order: windows of fewer than ``need`` can't match, and those in
-            # reach are among the next ``most``.
-            ends = F.filter(F.slice(hits, k + t["need"], t["most"]), lambda y: y["i"] - x["i"] < t["most"])
-            return bound(F.array_min(F.transform(ends, lambda y: tried(x, y))), lambda b: F.struct(x["i"].alias("i"), b["fewer"].alias("fewer"), b["worse"].alias("worse"), t["name"].alias("name"), b["j"].alias("j")))
+            # A bigram is new in a window if its place before is not in it: new bigrams are
+            # counted by their order, so each window is read once, whatever its ends. Ends at
+            # bigrams that are not new are no better; fewer than ``need`` hits can't match.
+            reach = lambda y: (y["i"] - x["i"] < t["most"]) & (y["prev"] < x["i"])
+            ends = F.filter(F.slice(hits, k + 1, t["most"]), reach)
+            new = F.transform(F.filter(F.slice(p, x["i"] + 1, t["most"]), reach), lambda y: y["i"])
+
+            def tried(n: Column, e: Column) -> Column:
+                one = lambda y, m: F.struct((-2.0 * (m + t["need"]) / (F.array_position(n, y["i"]) + F.size(t["grams"]))).alias("worse"), y["i"].alias("j"), (-(m + t["need"])).alias("fewer"))
+                return F.array_min(F.transform(F.slice(e, t["need"], F.size(e)), one))
+
+            found = bound(ends, lambda e: F.when(F.size(e) >= t["need"], bound(new, lambda n: tried(n, e))))
+            enough = F.coalesce(F.get(hits, k + t["need"] - 1)["i"] - x["i"] < t["most"], F.lit(False))
+            return bound(F.when(enough, found), lambda b: F.struct(x["i"].alias("i"), b["fewer"].alias("fewer"), b["worse"].alias("worse"), t["name"].alias("name"), b["j"].alias("j")))
 
         return F.filter(F.transform(hits, best), lambda f: f["worse"] <= -least)
 

@@ -13,7 +13,10 @@ share by about half its shortest documents.
 
 Defined cases: null, empty and wordless texts have size 0 and take 0; a source without
 words has the target 0; null is a source of its own, after all others; repeated rows are
-documents of their own; other columns are not read; an empty table gives an empty result."""
+documents of their own, and so are rows with a null id; rows that are equal in id, source and
+size are numbered and dealt to buckets like others, so no bucket holds them all; very long texts
+are counted whole and round like others; other columns are not read; an empty table gives an
+empty result."""
 
 from __future__ import annotations
 
@@ -96,20 +99,34 @@ def _round(b: pd.DataFrame) -> pd.DataFrame:
         c = min(CAP, max(0, (2 * owed + size * UNIT) // (2 * size * UNIT))) if size else 0
         owed -= c * size * UNIT
         copies.append(c)
-    return b.assign(copies=copies)[["seq", "doc_id", "source", "size", "copies"]]
+    return b.assign(copies=copies)[["nth", "doc_id", "source", "size", "copies"]]
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row: doc_id, size, source_size, target, taken, source, copies."""
-    docs = written(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size")))
+def _dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, nth): rows with one number among their equals, which are all alike.
+    Equal rows are counted first; a count is written out by blocks of ``BUCKET_ROWS``, dealt anew."""
+    n = docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BUCKET_ROWS).cast("long")))
+    many = n.where("n > 1").withColumn("first", block).repartition("doc_id", "source", "size", "first")
+    each = F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + BUCKET_ROWS) - 1))
+    return n.where("n = 1").select("doc_id", "source", "size", F.lit(0).cast("long").alias("nth")).unionByName(many.select("doc_id", "source", "size", each.alias("nth")))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per row: doc_id, size, source_size, target, taken, source, copies. ``row_col``, if
+    given, numbers the rows of ``df``; it is kept as ``nth``, so that copies find their rows."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *([F.col(row_col).alias("nth")] if row_col else []))
+    docs = written(docs)
     histogram = written(docs.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
     wanted = written(targets(sources.select("source", "source_size")))
     dual = duals(histogram, wanted)
     per = wanted.alias("w").join(sources.select("source", "rows").alias("r"), F.col("w.source").eqNullSafe(F.col("r.source"))).join(dual.alias("d"), F.col("w.source").eqNullSafe(F.col("d.source")), "left")
     per = per.select("w.source", "w.source_size", "w.target", F.ceil(F.col("r.rows") / float(BUCKET_ROWS)).alias("buckets"), "d.mean", "d.dual")
-    d = docs.withColumn("seq", F.xxhash64("doc_id", "source", "size")).alias("x").join(per.alias("p"), F.col("x.source").eqNullSafe(F.col("p.source")))
+    each = docs if row_col else _dealt(docs)
+    d = each.withColumn("seq", F.xxhash64("doc_id", "source", "size", "nth")).alias("x").join(per.alias("p"), F.col("x.source").eqNullSafe(F.col("p.source")))
     rate = F.when((F.col("size") == 0) | F.col("dual").isNull(), 0).otherwise(_rate(F.col("size"), F.col("mean"), F.col("dual"))).cast("long")
-    dealt = d.select("x.seq", "x.doc_id", "x.source", "x.size", rate.alias("rate"), F.pmod(F.col("x.seq"), F.col("p.buckets")).alias("bucket"))
-    rounded = dealt.groupBy("source", "bucket").applyInPandas(_round, "seq long, doc_id long, source string, size long, copies long")
-    return rounded.alias("t").join(wanted.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source"))).select("t.doc_id", "t.size", "w.source_size", "w.target", (F.col("t.copies") * F.col("t.size")).alias("taken"), "t.source", "t.copies")
+    dealt = d.select("x.seq", "x.doc_id", "x.source", "x.size", "x.nth", rate.alias("rate"), F.pmod(F.col("x.seq"), F.col("p.buckets")).alias("bucket"))
+    rounded = dealt.groupBy("source", "bucket").applyInPandas(_round, "nth long, doc_id long, source string, size long, copies long")
+    out = rounded.alias("t").join(wanted.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source")))
+    return out.select("t.doc_id", "t.size", "w.source_size", "w.target", (F.col("t.copies") * F.col("t.size")).alias("taken"), "t.source", "t.copies", *(["t.nth"] if row_col else []))

@@ -32,6 +32,8 @@ COMMON = {
 #: Largest distances that are kept, the lengths from which they are asked, and how many
 #: languages are broadcast (the result is the same for any number).
 MAX_CHARS, MAX_WORDS, MIN_CHARS, MIN_WORDS, MAX_LANGS = 0.21, 0.28, 400, 120, 64
+#: Keys that a rarer language is dealt to.
+SALT = 16
 
 
 def _let(value: Column, then) -> Column:
@@ -137,7 +139,10 @@ def _with_references(counts: DataFrame) -> DataFrame:
     if rest.isEmpty():
         return d
     rare = counts.where("lang is not null").join(F.broadcast(top.select("lang")), "lang", "left_anti")
-    return d.unionByName(rare.join(rest.drop("weight").hint("shuffle_merge"), "lang"))
+    # The largest of the rest may hold a 65th of all rows: its reference is dealt to ``SALT`` keys.
+    rare = rare.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "word_chars", "n_words", "n_symbols"), F.lit(SALT)))
+    rest = rest.drop("weight").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return d.unionByName(rare.join(rest.hint("shuffle_merge"), ["lang", "_salt"]).drop("_salt"))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -119,12 +119,13 @@ def test_odd_tables_with_fitted_models(spark, toxic, quality, monkeypatch):
     assert {r.predicted for r in T.classify(odd, none).where("doc_id = 6").collect()} == {1}
 
 
-def test_the_sample_takes_long_texts_whole(spark, monkeypatch):
+def test_the_sample_takes_long_texts_whole(spark):
     long = "w " * 50_000
     docs = spark.createDataFrame([(i, long if i % 2 else f"t{i}") for i in range(20)], "doc_id long, text string")
     known = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     got = labelled.sample(docs, known, "toxic", lambda c: c >= 0)
     assert len(got) == 20 and sum(t == long for t, _ in got) == 10
-    monkeypatch.setattr(labelled, "TOTAL_CHARS", 350_000)
-    few = labelled.sample(docs, known, "toxic", lambda c: c >= 0)
-    assert sum(t == long for t, _ in few) == 3 and all(t == long or len(t) < 9 for t, _ in few)
+    few = labelled.sample(docs, known, "toxic", lambda c: c >= 0, 5)
+    assert sum(t == long for t, _ in few) == 5 and len(few) == 10
+    again = docs.union(docs.where("doc_id = 1")).union(spark.createDataFrame([(1, "other"), (None, "none"), (2, None)], docs.schema))
+    assert len(labelled.sample(again, known, "toxic", lambda c: c >= 0)) == 21  # equal rows once
