@@ -15,6 +15,7 @@ from .. import schemas
 from ..functions.text import fold32, hash32
 from . import deterministic, diffs, judge
 from .deterministic import Rule
+from .verdict_cache import VerdictCache
 
 ALLOWED = [("proposed", "active"), ("active", "deprecated"), ("proposed", "deprecated")]
 SMALL_BUDGET = 6000
@@ -92,7 +93,7 @@ class Result:
     log: DataFrame | None = None
 
 
-def run(texts: DataFrame, rules: list[Rule], commit: str = "unknown", cache: DataFrame | None = None, ask: Callable | None = None, context: DataFrame | None = None, model: str = "small") -> Result:
+def run(texts: DataFrame, rules: list[Rule], commit: str = "unknown", cache: DataFrame | VerdictCache | None = None, ask: Callable | None = None, context: DataFrame | None = None, model: str = "small") -> Result:
     """Verdicts of all change sets (change_set, text) by all rules; texts may be parts with ``at``
     (``sources.git.diff_parts``), with the same verdicts, keys and metrics. ``ask`` is a judge:
     with it the mode is that of a key being present. Blank texts have no files, so no verdicts.
@@ -114,7 +115,9 @@ def run(texts: DataFrame, rules: list[Rule], commit: str = "unknown", cache: Dat
     d = deterministic.with_fields(det, rules_on, _content=rule_content, check=lambda r: r.check)
     d = d.withColumn("cache_key", lookup_key(F.col("_content"), F.col("digest"), F.lit(MODES[has_key]))).drop("digest", "n_evidence", "_content")
     value = [c for c in schemas.names(schemas.VERDICTS) if c not in ("change_set", "rule_id")]
-    if cache is not None:
+    if hasattr(cache, "lookup"):  # a verdict_cache.VerdictCache
+        d = cache.lookup(d).withColumn("_cached", F.when(F.col("_cached").isNotNull(), F.struct(*[F.col(f"_cached.{c}").alias(c) for c in value])))
+    elif cache is not None:
         held = cache.select("cache_key", F.struct(*value).alias("_cached"))
         d = lookup_cache(d, held)
     else:
