@@ -1,6 +1,7 @@
 """The metric range join: repeated and null ids, labels of any type, cells, no rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rulestrata.llm import embedding_dedup as E
@@ -65,3 +66,38 @@ def test_the_span_bounds_the_cosine():
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert E.near_duplicates(empty).count() == 0 and E.pruning(empty).first().all_pairs in (0, None)
+
+
+def test_fifty_thousand_vectors_with_links(spark):
+    """At the query's own size: near copies, chains of them and hot labels, against all pairs."""
+    r = np.random.default_rng(11)
+    n, dim = 50_000, 24
+    label = np.where(r.random(n) < 0.1, 0, r.integers(1, 40, n))
+    x = r.standard_normal((n, dim))
+    for i in range(1, n, 3):  # a near copy of an earlier vector of the label, so that chains arise
+        same = np.flatnonzero(label[:i] == label[i])
+        if len(same):
+            x[i] = x[same[r.integers(len(same))]] * r.uniform(0.5, 2) + 0.1 * r.standard_normal(dim)
+    links, parent = np.zeros(n, dtype=int), np.arange(n)
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for y in range(40):
+        own = np.flatnonzero(label == y)
+        u = E.unit(x[own])
+        a, b = np.nonzero(np.triu(u @ u.T >= 0.98, 1))
+        for i, j in zip(own[a].tolist(), own[b].tolist(), strict=True):
+            links[i] += 1
+            links[j] += 1
+            p, q = sorted((root(i), root(j)))
+            parent[q] = p
+    assert links.sum() > 10_000
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(x.ravel()))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": vectors, "label": label}))
+    got = E.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert (got.n_links.to_numpy() == links).all() and got.component_id.tolist() == [root(i) for i in range(n)]
+    assert (got.kept.to_numpy() == (got.component_id == got.vec_id).to_numpy()).all()
