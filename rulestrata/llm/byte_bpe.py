@@ -27,7 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS_HELD, LONG = 300_000, 64
+from .common import cut
+
+WORDS_HELD, LONG = 150_000, 64
 #: Code points with Unicode's White_Space property, as the tokenizer's pattern means by \s.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _coders: dict[tuple[str, str], "Coder"] = {}
@@ -131,7 +133,7 @@ def encoded_length(path: str, pattern: str):
 
     def run(batches):
         coder = Coder.of(path, pattern)
-        for b in batches:
+        for b in cut(batches):
             n = [len(coder.encode(t.as_py())) // 4 for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["id", "n_tokens"])
 
@@ -143,7 +145,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         coder = Coder.of(ranks_path, pattern)
-        for b in batches:
+        for b in cut(batches):
             n, a, d, kept = [], [], [], []
             for t in b.column(1):
                 e = coder.encode(t.as_py())

@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _return_large_blocks() -> None:
+    """Arrays of a megabyte and more go back to the system when they are freed. Else the C
+    library keeps blocks of up to 32 MB, and workers, which live from task to task, only grow."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        for option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            libc.mallopt(option, 1 << 20)
+    except (OSError, AttributeError):
+        pass
+
+
+_return_large_blocks()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,10 +123,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def cut(batches, rows: int = 1000):
-    """Arrow batches of few rows, as their texts are held as Python objects."""
+    """Arrow batches of few rows, as their texts are held as Python objects; after the last,
+    freed memory goes back to the system."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    trim()
 
 
 def in_blocks(df: DataFrame, size: str, item, limit: int) -> DataFrame:
