@@ -14,7 +14,7 @@ known to be personal or not - spelt-out addresses, gapped cards, local phones, a
 passport numbers, keys; and dates, versions, sums, orders, book numbers, commits, paths,
 identifiers, these also behind the words that announce personal data. The sample's own
 uncovered candidates count as not personal. The threshold is calibrated on the sentences of
-another generator (``_checks``: other words, other formats, which the trees never see) and
+another generator (``_checks``: mostly other words and formats; the trees never see it) and
 on held-out candidates of the sample: the least score from which at least ``PRECISION`` of
 them are personal. Candidates over it are added as the kinds address, number and secret.
 
@@ -386,7 +386,7 @@ def _plants(seed: Column) -> list[tuple[Column, bool]]:
 
 
 def _checks(seed: Column) -> list[tuple[Column, bool]]:
-    """Sentences as those of ``_plants``, of other words and formats, for the threshold."""
+    """Sentences as those of ``_plants``, mostly of other words and formats, for the threshold."""
     m = _Maker(F.xxhash64(seed, F.lit("checks")))
     say, pick, digits = _say, m.pick, m.digits
     who, host, tld = pick("o.brien", "tim-w", "r2d2", "frau.huber"), pick("company", "lab-7", "studio"), pick("io", "edu", "es", "co")
