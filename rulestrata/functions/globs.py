@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 CLASSES = {"alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "blank": " \\t", "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "\\x21-\\x7E", "lower": "a-z", "print": "\\x20-\\x7E", "punct": "!-/:-@\\[-`{-~", "space": " \\t\\r\\n\\v\\f", "upper": "A-Z", "word": "A-Za-z0-9_", "xdigit": "A-Fa-f0-9"}
 #: A range of braces is written out up to so many members; a longer one is refused.
 RANGE = 10_000
+#: Choices of a glob's braces that ``anchors`` writes out.
+VARIANTS = 64
 
 _START = r"(?<![^/])"  # the start of a path part
 _STAR = rf"(?!{_START}(?:[./]|\z))[^/]*"
@@ -101,6 +104,7 @@ def _split(glob: str, i: int, closing: str, bar: str) -> tuple[list[str], int] |
     return None
 
 
+@lru_cache(1024)
 def parse(glob: str, at_start: bool = True, at_end: bool = True) -> tuple[Node, ...]:
     """The syntax tree. ``at_start`` and ``at_end``: whether the text begins and ends a path part."""
     out: list[Node] = []
@@ -176,7 +180,10 @@ def to_regex(glob: str) -> str:
 def literal_prefix(glob: str) -> str:
     """What every match begins with: the glob itself where it has no wildcard, else its whole path
     parts before the first one."""
-    nodes = parse(glob)
+    return _prefix(parse(glob))
+
+
+def _prefix(nodes: tuple[Node, ...]) -> str:
     text = ""
     for n in nodes:
         if n.kind == "globstar" and n.value == "/..":
@@ -189,14 +196,56 @@ def literal_prefix(glob: str) -> str:
 
 def literal_suffix(glob: str) -> str:
     """What every match's name ends with, from a dot on; empty where the glob does not say."""
+    return _suffix(parse(glob))
+
+
+def _suffix(nodes: tuple[Node, ...]) -> str:
     text = ""
-    for n in reversed(parse(glob)):
+    for n in reversed(nodes):
         if n.kind != "text" or n.value == "/":
             break
         text = n.value + text
     return text[text.index(".") :] if "." in text else ""
 
 
+def _parts(nodes: tuple[Node, ...]) -> list[tuple[str, bool]]:
+    """What path parts of every match begin with, and whether that is the whole part."""
+    out, text, begins = [], "", True
+    for n in (*nodes, None):
+        ends = n is None or n == Node("text", "/") or n == Node("globstar", "/..")
+        if n and n.kind == "text" and not ends:
+            text += n.value if begins else ""
+            continue
+        if text:
+            out.append((text, ends))
+        text, begins = "", ends or n == Node("globstar", "/")
+    return out
+
+
+def _written_out(nodes: tuple[Node, ...]) -> list[tuple[Node, ...]]:
+    """The nodes with each choice of their braces in turn, up to ``VARIANTS`` in all; braces
+    beyond stay as they are."""
+    every: list[tuple[Node, ...]] = [()]
+    for n in nodes:
+        options = [v for c in n.choices for v in _written_out(c)] if n.kind == "alt" and n.value == "@" else [(n,)]
+        if len(every) * len(options) > VARIANTS:
+            options = [(n,)]
+        every = [v + o for v in every for o in options]
+    return every
+
+
+def anchors(glob: str) -> list[list[str]]:
+    """For each choice of the braces, what a match of it must have, as keys: a folder on its way or
+    itself (``/a/b``), a path part (``=b``), the beginning of one (``^b``), an ending of its
+    name from a dot on (``..ts``). A list is empty where the glob does not say."""
+    out = []
+    for nodes in _written_out(parse(glob)):
+        folder, ending = _prefix(nodes), _suffix(nodes)
+        keys = [f"/{folder}"] * bool(folder) + [f".{ending}"] * bool(ending) + [f"{'=' if whole else '^'}{text}" for text, whole in _parts(nodes)]
+        out.append(list(dict.fromkeys(keys)))
+    return out
+
+
 def is_negative(pattern: str) -> bool:
     return pattern.startswith("!") and not (pattern.startswith("!(") and _split(pattern, 2, ")", "|"))
 

@@ -3,20 +3,21 @@
 The modules that a line imports are taken out of it once; a rule forbids a line that has
 one of its modules. Up to ``LITERAL_RULES`` rules become literals of one projection per
 file (regex compiled once, literal prefixes first, no join). More rules meet the imported
-modules in an equi-join on the module, and the paths in an equi-join on the literal beginnings or
-endings of their globs, whatever their number: which side is broadcast, if any, is left to the
+modules in an equi-join on the module, and the paths in an equi-join on what the fewest globs
+have in common of their literal parts, whatever their number: which side is broadcast, if any, is left to the
 measured sizes. Both ways give the same rows. Files carry their rules in scope and their hits in
 one row, so verdicts are one aggregation without a join."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.globs import Globs, literal_prefix, literal_suffix, to_regex
+from ..functions.globs import Globs, anchors, to_regex
 
 LITERAL_RULES = 200
 #: UTF-16 units of a line that evidence shows.
@@ -68,29 +69,37 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 SPREAD = 64
 
 
-def glob_table(spark: SparkSession, rules: list[Rule], globs=lambda r: r.scope) -> DataFrame:
-    """(rule_id, key, rx, no): a row per glob, keyed by what each of its matches must have: a
-    folder it lies in (or the path itself), else an ending of its name; a glob that says neither
-    is dealt to ``SPREAD`` keys."""
-    rows = []
+def glob_rows(rules: list[Rule], globs=lambda r: r.scope) -> list[tuple[str, str, str, str | None]]:
+    """(rule_id, key, rx, no), a row per glob and key. A glob is keyed by what each of its matches must have (``globs.anchors``), of that by what the
+    fewest globs share, as all globs of a key meet all paths of it; of equals by the longest.
+    A glob that says nothing is dealt to ``SPREAD`` keys."""
+    every = []
     for r in rules:
         g = Globs.of(list(globs(r)))
-        no = g.exclude and g.exclude[:-1] + r"\z"
-        for p in g.positive:
-            folder, ending = literal_prefix(p), literal_suffix(p)
-            keys = [f"/{folder}"] if folder else [f".{ending}"] if ending else [f"*{i}" for i in range(SPREAD)]
-            rows += [(r.id, k, f"^(?:{to_regex(p)})\\z", no) for k in keys]
-    return spark.createDataFrame(rows, "rule_id string, key string, rx string, no string")
+        every += [(r.id, anchors(p), f"^(?:{to_regex(p)})\\z", g.exclude and g.exclude[:-1] + r"\z") for p in g.positive]
+    shared = Counter(k for _, found, _, _ in every for k in {k for keys in found for k in keys})
+    rows = []
+    for rule_id, found, rx, no in every:
+        keys = {min(keys, key=lambda k: (shared[k], -len(k), k)) if keys else None for keys in found}
+        chosen = [f"*{i}" for i in range(SPREAD)] if None in keys else sorted(keys)
+        rows += [(rule_id, k, rx, no) for k in chosen]
+    return rows
 
 
-def path_keys(path: Column) -> Column:
-    """The keys under which a path may meet a glob: each folder on its way and itself, each
-    ending of its name that begins with a dot, its deal."""
+def path_keys(path: Column, kinds: str = "/=.*", lengths: list[int] | tuple[int, ...] = ()) -> Column:
+    """The keys under which a path may meet a glob, of the ``kinds`` in use: each folder on its way
+    and itself, each part, each ending of its name that begins with a dot, its deal, and of
+    its parts the beginnings of the ``lengths`` in use."""
     parts, name = F.split(path, "/"), F.split(F.substring_index(path, "/", -1), "\\.")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
     endings = F.transform(F.sequence(F.lit(1), F.size(name)), lambda k: F.concat(F.lit(".."), F.array_join(F.slice(name, k + 1, F.size(name)), ".")))
     deal = F.concat(F.lit("*"), F.pmod(F.xxhash64(path), F.lit(SPREAD)).cast("string"))
-    return F.array_distinct(F.concat(folders, F.slice(endings, F.lit(1), F.size(name) - 1), F.array(deal)))
+    every = {"/": folders, "=": F.transform(parts, lambda p: F.concat(F.lit("="), p)), ".": F.slice(endings, F.lit(1), F.size(name) - 1), "*": F.array(deal)}
+    found = [every[k] for k in every if k in kinds]
+    if lengths:
+        begun = lambda n: F.transform(F.filter(parts, lambda p: F.length(p) >= n), lambda p: F.concat(F.lit("^"), p.substr(F.lit(1), n)))
+        found.append(F.flatten(F.transform(F.array(*map(F.lit, lengths)), begun)))
+    return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
 def file_rules(files: DataFrame, rules: list[Rule], globs=lambda r: r.scope) -> DataFrame:
@@ -98,8 +107,11 @@ def file_rules(files: DataFrame, rules: list[Rule], globs=lambda r: r.scope) ->
     distinct paths on the keys of ``path_keys``: an equi-join, then each glob's own pattern."""
     if len(rules) <= LITERAL_RULES:
         return files.select("change_set", "path", F.explode(_matching(F.col("path"), rules, globs)).alias("rule_id"))
-    paths = files.select("path").distinct().select("path", F.explode(path_keys(F.col("path"))).alias("key"))
-    met = paths.join(glob_table(files.sparkSession, rules, globs), "key").where(F.expr("path rlike rx and not coalesce(path rlike no, false)"))
+    rows = glob_rows(rules, globs)
+    kinds, lengths = "".join({k[0] for _, k, _, _ in rows}), sorted({len(k) - 1 for _, k, _, _ in rows if k[0] == "^"})
+    paths = files.select("path").distinct().select("path", F.explode(path_keys(F.col("path"), kinds, lengths)).alias("key"))
+    table = files.sparkSession.createDataFrame(rows, "rule_id string, key string, rx string, no string")
+    met = paths.join(table, "key").where(F.expr("path rlike rx and not coalesce(path rlike no, false)"))
     return files.select("change_set", "path").join(met.select("path", "rule_id").distinct(), "path").select("change_set", "path", "rule_id")
 
 

@@ -1,13 +1,14 @@
 """Globs: every form by cases, and against a matcher of its own that walks the text."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rulestrata.functions.globs import Globs, literal_prefix, literal_suffix, parse
+from rulestrata.functions.globs import Globs, anchors, literal_prefix, literal_suffix, parse
 from rulestrata.operators import deterministic
 from rulestrata.operators.deterministic import Rule
 
@@ -154,3 +155,38 @@ def test_many_rules_meet_paths_by_a_join(spark):
     assert got == {(p, x.id) for p in paths for x in rules if Globs.of(list(x.scope)).test(p)} and len(got) > 500
     plan = deterministic.file_rules(files, many_rules(10_000))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def keys_of(spark, paths, rows):
+    kinds, lengths = "".join({k[0] for _, k, _, _ in rows}), sorted({len(k) - 1 for _, k, _, _ in rows if k[0] == "^"})
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    return {r.path: r.k for r in df.select("path", deterministic.path_keys(F.col("path"), kinds, lengths).alias("k")).collect()}
+
+
+def test_many_rules_of_one_folder_meet_few_paths(spark):
+    """Rules that share their folder and ending meet on what tells them apart, not each with each path."""
+    shapes = [lambda i: f"src/*/doc_{i}.ts", lambda i: f"src/**/doc_{i}_*.ts", lambda i: f"src/*/{{m{i},n{i}}}/**", lambda i: f"src/?/part{i}[ab]/**/x.ts"]
+    rules = [Rule(f"r{i}", (shapes[i % 4](i), "!src/q/**")) for i in range(2000)]
+    paths = [f"src/{c}/{x}" for c in "pq" for i in range(0, 2000, 5) for x in (f"doc_{i}.ts", f"doc_{i}_a.ts", f"m{i}/b", f"n{i}/b.ts", f"part{i}a/y/x.ts", f"doc_{i}")]
+    rows = deterministic.glob_rows(rules)
+    at = {}
+    for _, k, _, _ in rows:
+        at[k] = at.get(k, 0) + 1
+    met = sum(at.get(k, 0) for ks in keys_of(spark, paths, rows).values() for k in ks)
+    got = {(x.path, x.rule_id) for x in deterministic.file_rules(spark.createDataFrame([("c", p) for p in paths], "change_set string, path string"), rules).collect()}
+    kept = [p for p in paths if p.startswith("src/p/")]
+    number = lambda p: int(re.search(r"\d+", p)[0])
+    want = {(p, f"r{number(p)}") for p in kept if Globs.of(list(rules[number(p)].scope)).test(p)}
+    assert got == want and len(got) > 400
+    assert met < 4 * len(paths)  # all rules with all paths: 2000 * len(paths)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", ".", "/", "*", "?", "[ab]", "/**", "**/", "{a,b}", "{a/,b}", "{a/**,}", "@(a|b/a)", "*(a|bb)", "!(a)", "\\/"]), min_size=1, max_size=5).map("".join), st.lists(st.text("ab./", max_size=6), max_size=12))
+def test_matches_have_an_anchor(glob, texts):
+    for t in texts:
+        if not Globs.of([glob]).test(t) or glob.startswith("!"):
+            continue
+        parts, name = t.split("/"), t.rpartition("/")[2]
+        own = {"/" + "/".join(parts[:k]) for k in range(1, len(parts) + 1)} | {f"={p}" for p in parts} | {f"^{p[:k]}" for p in parts for k in range(1, len(p) + 1)} | {f".{name[k:]}" for k, c in enumerate(name) if c == "."}
+        assert any(set(keys) <= own for keys in anchors(glob)), (glob, t)
