@@ -33,14 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _one_jvm(spark: SparkSession) -> bool:
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
     cluster names one. Only in one JVM (tests, local mode) may it be unset: then it is a
     temporary folder. On a cluster a folder of one machine would lose rows, so it is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
+        if not _one_jvm(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="rulestrata-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -62,8 +66,23 @@ def _tidy(spark: SparkSession) -> None:
     global _steps
     _steps += 1
     if _steps % TIDY == 0:
-        trim()
-        spark.sparkContext._jvm.System.gc()
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage in the driver and the executors. An executor's heap grows to its bound
+    in one step and stays there through all others, next to what Python's workers need then; a
+    full collection gives what is free back to the system, and unloads generated classes."""
+    trim()
+    spark.sparkContext._jvm.System.gc()
+    if not _one_jvm(spark):
+        collect_on_executors(spark)
+
+
+def collect_on_executors(spark: SparkSession) -> None:
+    """A task for each core, each of which asks its JVM for a collection."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 
 def trim() -> None:

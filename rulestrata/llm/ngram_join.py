@@ -145,23 +145,25 @@ def _short(k: int, num: int, den: int, hot):
 
 
 def _texts(k: int, wanted):
-    """(digest, text) of new sets of the documents whose bit is in the bitmap. A text is
-    smaller than its set, so texts move and sets are made again where they meet."""
+    """(id, digest, text) of the documents whose bit is in the bitmap, new ones of the task. A text
+    is smaller than its set, so texts move and sets are made again where they meet."""
 
     def run(batches):
         bits, seen = np.frombuffer(wanted.value, dtype=np.uint8), set()
         for b in cut(batches):
             at = b.column(1).to_numpy()
-            texts = b.column(0).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).to_pylist()
-            keep, digests = [], []
-            for text, s in zip(texts, shingle_sets(texts, k), strict=True):
-                if len(s) and (d := _digest(s)) not in seen:
-                    seen.add(d)
+            there = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            texts, ids = b.column(0).filter(there).to_pylist(), b.column(2).filter(there).to_pylist()
+            keep, digests, whose = [], [], []
+            for text, i, s in zip(texts, ids, shingle_sets(texts, k), strict=True):
+                if len(s) and (i, d := _digest(s)) not in seen:
+                    seen.add((i, d))
                     keep.append(text)
                     digests.append(d)
+                    whose.append(i)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keep, pa.string())], names=["digest", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(whose, pa.int64()), pa.array(digests, pa.binary()), pa.array(keep, pa.string())], names=["id", "digest", "text"])
 
     return run
 
@@ -321,10 +323,14 @@ class Cell:
 
 
 def _cells(k: int, num: int, den: int):
-    """Rows (cell, bi, bj, n, cid, text), in that order: links (x, y) of each cell."""
+    """Rows (cell, bi, bj, n, cid, text), in that order: links (x, y) of each cell. A class may
+    come several times, as rows of one id may have one set."""
 
     def links(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         cid = t.column("cid").to_numpy()
+        first = np.append(True, cid[1:] != cid[:-1])
+        if not first.all():
+            t, cid = t.filter(pa.array(first)), cid[first]
         root = Cell(shingle_sets(t.column("text").to_pylist(), k)).connect(num, den)
         other = np.flatnonzero(root != np.arange(len(root)))
         return cid[root[other]], cid[other]
@@ -415,9 +421,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bits = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << (16 * n).bit_length()))
         bit = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(0))), F.lit(bits))
         wanted = spark.sparkContext.broadcast(_bitmap(cell.select(bit("low").alias("bit")), bits))
-        texts = docs.select("text", bit("id").alias("bit")).mapInArrow(_texts(k, wanted), "digest binary, text string").dropDuplicates(["digest"])
-        goal = places.join(cell.select("id", "n", "digest"), "id").select("digest", F.col("component").alias("cell"), "bi", "bj", "n", F.col("id").alias("cid"))
-        rows = goal.join(texts, "digest").select("cell", "bi", "bj", "n", "cid", "text")
+        texts = docs.select("text", bit("id").alias("bit"), "id").mapInArrow(_texts(k, wanted), "id long, digest binary, text string")
+        goal = places.join(cell.select("id", "n", "digest", "low"), "id").select(F.col("digest").alias("_digest"), "low", F.col("component").alias("cell"), "bi", "bj", "n", F.col("id").alias("cid"))
+        # of each class the rows of its least id; hashed are the narrow rows, so texts are not sorted here
+        rows = texts.join(goal.hint("shuffle_hash"), (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("low"))).select("cell", "bi", "bj", "n", "cid", "text")
         rows = rows.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "n", "cid")
         return written(rows.mapInArrow(_cells(k, num, den), "x long, y long"))
 

@@ -83,3 +83,14 @@ def test_a_hot_list_is_not_dealt_to_all_blocks(spark):
     assert few.count() < 2.1 * 20_000  # 40 others meet 19,960: each of these goes to one block
     met = few.where("comp <> 1").select("cid", "bi", "bj").join(few.where("comp = 1").select(F.col("cid").alias("o"), "bi", "bj"), ["bi", "bj"])
     assert met.select("cid", "o").distinct().count() == met.count() == 40 * 19_960
+
+
+def test_a_class_that_comes_twice_is_one(spark):
+    """Texts are not made distinct before they meet: rows of one id may have one set."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words, "more"])]
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in ([7] * 3, [0] * 3, [0] * 3, [38, 38, 39], [1, 1, 2], texts)], names=["cell", "bi", "bj", "n", "cid", "text"])
+    got = [r for b in N._cells(3, 90, 100)(iter([rows])) for r in b.to_pylist()]
+    assert got == [{"x": 1, "y": 2}]

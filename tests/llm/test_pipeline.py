@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from rulestrata.llm import byte_bpe, labelled, pii, quality_cnn
-from rulestrata.llm.common import written
+from rulestrata.llm.common import collect_on_executors, written
 from rulestrata.llm.queries import _tokenizer
 
 from .test_classifiers import brute_score
@@ -134,3 +134,22 @@ def test_dedup_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows_], SCHEMA)
     got = [(r.doc_id, r.text) for r in pipeline.dedup(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (1, a), (0, b + " q"), (None, "quite alone here"), (None, "quite alone here"), (3, ""), (4, "")], key=str)
+
+
+def test_dedup_sorts_no_whole_texts(spark):
+    """Documents meet those to drop by a hash of the narrow side, so no task holds sorted texts."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text if i < 3 else f"{text} {i} {i + 1} {i + 2} " * i, "en", "a", 1) for i in range(6)]
+    out = pipeline.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan.split("LeftAnti")[0]
+    assert {r.doc_id for r in out.collect()} >= {0} and not {r.doc_id for r in out.collect()} & {1, 2}
+
+
+def test_garbage_is_collected_where_tasks_run(spark):
+    """The session's JVM is an executor here: its collections are counted."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    before = count()
+    collect_on_executors(spark)
+    assert count() > before
